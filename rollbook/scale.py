@@ -41,13 +41,19 @@ def is_small(df: DataFrame) -> bool:
     return estimated_bytes(df) <= limit
 
 
+def _fits_broadcast(df: DataFrame) -> bool:
+    """True when Catalyst itself would broadcast this side."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return estimated_bytes(df) <= limit
+
+
 def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Equi-join that splits the hot keys of `left`.
 
     `how` is one of inner, left, left_semi, left_anti. A hot key's left rows are spread over as many salts as its row
     count asks for and its right rows are repeated that often; other keys keep one salt. Output equals the plain join.
     """
-    if is_small(left):
+    if is_small(left) or _fits_broadcast(right):
         return left.join(right, on, how)
     rows_per_salt = int(left.sparkSession.conf.get(ROWS_PER_SALT_CONF, str(DEFAULT_ROWS_PER_SALT)))
     hot = (

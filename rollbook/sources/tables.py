@@ -11,10 +11,17 @@ from rollbook.functions.text import filled, strip, zip5
 from rollbook.sources.columns import resolve
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else ISO-8859-1, which always decodes."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
+def probe(spark: SparkSession, path: str | list[str]) -> tuple[str, bool]:
+    """(encoding, multi_line) of delimited text, found in one pass over the whole of it.
+
+    UTF-8 when every line is valid UTF-8, else ISO-8859-1, which always decodes. A line with an odd number of quotes
+    means that a field runs over a line end; such files cannot be split.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = spark.read.text(path).agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("broken"), F.bool_or(quotes % 2 == 1).alias("multi_line")
+    ).first()
+    return ("ISO-8859-1" if found["broken"] else "UTF-8"), bool(found["multi_line"])
 
 
 def read_delimited(
@@ -23,19 +30,25 @@ def read_delimited(
     encoding: str | None = None,
     column_map: Mapping[str, str] | None = None,
     sep: str = ",",
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """A delimited file with every column a string and trimmed headers; blanks arrive as ''.
+    """Delimited text with every column a string and trimmed headers; blanks arrive as ''.
 
-    `zip5` is derived from `primary_postal_code` when it is absent. Without `encoding` the whole file is checked once.
+    `zip5` is derived from `primary_postal_code` when it is absent. The text is probed once unless both `encoding` and
+    `multi_line` are given.
     """
+    if encoding is None or multi_line is None:
+        probed = probe(spark, path)
+        encoding = encoding or probed[0]
+        multi_line = probed[1] if multi_line is None else multi_line
     df = (
         spark.read.option("header", True)
         .option("inferSchema", False)
-        .option("encoding", encoding or detect_encoding(spark, path))
+        .option("encoding", encoding)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .csv(path)
     )
     renames = column_map or {}
