@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rollbook import fixed_values as fv
-from rollbook.functions.text import filled, strip
+from rollbook.functions.text import strip
 
 
 def norm_credential(c: Column | str) -> Column:
@@ -63,7 +63,3 @@ def boards_or_taxonomy(boards: Column | str, certification: Column | str, taxono
         .alias("subspecialty"),
     )
 
-
-__all__ = [
-    "boards_or_taxonomy", "display_title", "filled", "first_credential", "norm_credential", "parse_taxonomy", "title_of",
-]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook import fixed_values as fv
-from rollbook.functions.names import clean_name, first_token_key, name_key, parse_full_name, strip_suffix
+from rollbook.functions.names import first_token_key, name_key, parse_full_name, strip_suffix
 from rollbook.functions.text import (
     as_column, coalesce_blank, count_nonempty, digits, filled, first_word, norm, valid_npi, zip5,
 )
@@ -231,8 +231,3 @@ def pair_key(a: str, b: str) -> Column:
     """'a|b' with one trailing suffix removed; '|' when both are blank."""
     return strip_suffix(F.concat_ws("|", norm(a), norm(b)))
 
-
-__all__ = [
-    "add_gold_addresses", "clean_name", "completeness_key", "dedup_first", "dedup_most_complete", "dedup_priority",
-    "dropped_report", "duplicate_rows", "first_by", "flag_duplicates", "pair_key", "union_first", "whole_row",
-]
