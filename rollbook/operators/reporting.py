@@ -202,16 +202,17 @@ def addresses_compare(
 
 def reconcile(df: DataFrame, wide: DataFrame, dropped: DataFrame, slot: str = "num_addresses") -> DataFrame:
     """One row: input rows, people, extra address slots, dropped rows, and what stays unexplained."""
-    counts = (
-        df.agg(F.count(F.lit(1)).alias("input_rows"))
-        .join(wide.agg(F.count(F.lit(1)).alias("unique_rows"), F.sum(F.col(slot) - 1).alias("extra_slots")), F.lit(True))
-        .join(dropped.agg(F.count(F.lit(1)).alias("dropped_rows")), F.lit(True))
-    )
-    total = F.col("unique_rows") + F.coalesce("extra_slots", F.lit(0)) + F.col("dropped_rows")
-    return counts.select(
-        "input_rows", "unique_rows", F.coalesce("extra_slots", F.lit(0)).alias("extra_slots"), "dropped_rows",
-        total.alias("accounted"), (F.col("input_rows") - total).alias("difference"),
-    )
+    names = ("input_rows", "unique_rows", "extra_slots", "dropped_rows")
+
+    def part(frame: DataFrame, **aggs: Column) -> DataFrame:
+        one = frame.agg(*[e.alias(n) for n, e in aggs.items()])
+        return one.select(*[F.coalesce(n, F.lit(0)).alias(n) if n in aggs else F.lit(0).alias(n) for n in names])
+
+    n = F.count(F.lit(1))
+    parts = part(df, input_rows=n).unionByName(part(wide, unique_rows=n, extra_slots=F.sum(F.col(slot) - 1)))
+    counts = parts.unionByName(part(dropped, dropped_rows=n)).agg(*[F.sum(c).alias(c) for c in names])
+    total = F.col("unique_rows") + F.col("extra_slots") + F.col("dropped_rows")
+    return counts.withColumns({"accounted": total, "difference": F.col("input_rows") - total})
 
 
 # --- overlaps and counts -----------------------------------------------------------------------
