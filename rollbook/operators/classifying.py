@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.addresses import norm_addr
+from rollbook.functions.names import fullname_variants, name_variants
 from rollbook.functions.text import as_column, filled, norm, zip5
 from rollbook.operators.cleaning import in_states
 from rollbook.scale import keyed_join
@@ -67,38 +68,40 @@ def _per_key(entries: DataFrame, key: Column) -> DataFrame:
 
 
 def _verdicts(met: DataFrame, group: str, by_norm: bool) -> DataFrame:
-    """Status, count and address text per group of met entries."""
-    if by_norm:
-        longest = F.struct((-F.length("raw")).alias("len"), F.col("at"))
-        slots = met.groupBy(group, "norm").agg(F.min("at").alias("at"), F.min_by("raw", longest).alias("raw"))
-    else:
-        slots = met.groupBy(group, "raw").agg(F.min("at").alias("at"), F.min_by("norm", "at").alias("norm"))
-    addresses = slots.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("raws"), F.count_distinct("norm").alias("norms")
-    )
-    # people per group: distinct first, so that one frequent name does not gather its rows
+    """Status, count and address text per group of met entries.
+
+    People are counted first, over distinct (group, npi, middle); addresses are gathered only for groups that are one
+    person, so a frequent name shared by many people never collects its addresses.
+    """
     people = (
         met.groupBy(group, "npi", "middle")
-        .agg(F.lit(1).alias("one"))
+        .agg(F.count(F.lit(1)).alias("entries"))
         .groupBy(group)
         .agg(
             F.array_sort(F.collect_set(F.nullif("npi", F.lit("")))).alias("npis"),
-            F.count_distinct(F.nullif("middle", F.lit(""))).alias("middles"),
+            F.size(F.collect_set(F.nullif("middle", F.lit("")))).alias("middles"),
         )
     )
-    both = addresses.join(people, group)
-    n = F.size("raws")
-    several_people = (F.size("npis") > 1) | (F.col("middles") > 1)
-    status = F.when(several_people, "name_collision_different_people").when(n == 1, "unique")
+    several = (F.size("npis") > 1) | (F.col("middles") > 1)
+    calm = keyed_join(met, people.where(~several).select(group), [group], "left_semi")
+    if by_norm:
+        longest = F.struct((-F.length("raw")).alias("len"), F.col("at"))
+        slots = calm.groupBy(group, "norm").agg(F.min("at").alias("at"), F.min_by("raw", longest).alias("raw"))
+    else:
+        slots = calm.groupBy(group, "raw").agg(F.min("at").alias("at"), F.min_by("norm", "at").alias("norm"))
+    addresses = slots.groupBy(group).agg(
+        F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("raws"), F.count_distinct("norm").alias("norms")
+    )
+    status = F.when(several, "name_collision_different_people").when(F.size("raws") == 1, "unique")
     if not by_norm:
         status = status.when(F.col("norms") == 1, "same_address_variant")
     shown = F.when(F.size("npis") > 0, F.array_join("npis", " | ")).otherwise("no NPI")
-    count = F.when(several_people, F.when(F.size("npis") > 0, F.size("npis")).otherwise(F.col("middles").cast("int")))
-    return both.select(
+    people_count = F.when(F.size("npis") > 0, F.size("npis")).otherwise(F.col("middles"))
+    return people.join(addresses, group, "left").select(
         group,
         status.otherwise("multiple_addresses").alias("address_status"),
-        count.otherwise(n).alias("address_count"),
-        F.when(several_people, F.concat(F.lit("NPIs: "), shown))
+        F.when(several, people_count).otherwise(F.size("raws")).alias("address_count"),
+        F.when(several, F.concat(F.lit("NPIs: "), shown))
         .otherwise(F.array_join(F.transform("raws", lambda r: r["raw"]), " | "))
         .alias("addresses_found"),
     )
@@ -185,8 +188,6 @@ def address_status_round2(
 
 def gold_names(full: str | None, last: str | None, first: str | None, round2: bool = True) -> Column:
     """Reference name keys: from the full name when it is filled, else from last and first."""
-    from rollbook.functions.names import fullname_variants, name_variants
-
     parts = name_variants(last or F.lit(""), first or F.lit(""))
     if not full:
         return parts

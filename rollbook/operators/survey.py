@@ -240,20 +240,20 @@ def county_table(answers: DataFrame) -> DataFrame:
         .fillna(0)
         .rollup("county")
         .agg(
-            F.sum("eligible").alias("eligible_n"), F.sum("ineligible").alias("ineligible_n"),
+            F.sum("eligible").alias("eligible_n"),
+            F.sum("ineligible").alias("ineligible_n"),
             F.grouping("county").alias("is_total"),
         )
     )
-    whole = Window.partitionBy()
 
-    def share(n: str) -> Column:
-        total = F.max(F.when(F.col("is_total") == 1, F.col(n))).over(whole)
+    def share(n: str, group: str) -> Column:
+        total = answers.agg(F.count_if(F.col("group") == group)).scalar()
         return F.when(total > 0, percent(F.col(n), total))
 
     return counts.select(
         F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col("county")).alias("county"),
-        "eligible_n", share("eligible_n").alias("eligible_pct"), "ineligible_n",
-        share("ineligible_n").alias("ineligible_pct"),
+        "eligible_n", share("eligible_n", "eligible").alias("eligible_pct"),
+        "ineligible_n", share("ineligible_n", "ineligible").alias("ineligible_pct"),
         (F.col("eligible_n") + F.col("ineligible_n")).alias("total_n"), "is_total",
     ).orderBy("is_total", F.desc("total_n"), "county").drop("is_total")
 
@@ -336,8 +336,8 @@ def submission_range(times: DataFrame) -> DataFrame:
 
 def _one_side(freqs: DataFrame, question: str, prefix: str) -> DataFrame:
     rows = freqs.where(norm_question("question") == question)
-    base = rows.groupBy("response").agg(F.sum("n").alias("n"), F.max("n_answered").alias("most"))
-    most = F.max("most").over(Window.partitionBy())
+    base = rows.groupBy("response").agg(F.sum("n").alias("n"))
+    most = rows.agg(F.max("n_answered")).scalar()
     return base.select("response", F.col("n").alias(f"{prefix}_n"), percent(F.col("n"), most).alias(f"{prefix}_pct"))
 
 
@@ -351,7 +351,7 @@ def screener_combined(elig: DataFrame, inelig: DataFrame, pattern: str) -> DataF
     """Pooled counts of the questions that match, % of the pooled total, most frequent first."""
     rows = elig.unionByName(inelig, allowMissingColumns=True).where(F.lower("question").rlike(pattern))
     counts = rows.groupBy("response").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = rows.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", percent(F.col("n"), total)).orderBy(F.desc("n"), "response")
 
 
