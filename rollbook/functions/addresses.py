@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rollbook import fixed_values as fv
-from rollbook.functions.text import abbreviate, digits, filled, known, norm, strip, zip5
+from rollbook.functions.text import abbreviate, digits, filled, known, let, norm, strip, zip5
 
 PROFILES = ("basic", "multi", "round2", "strict")
 
@@ -94,8 +94,14 @@ def address_flags(
     """
     exceptions = {"WI": "hudson"} if exceptions is None else exceptions
     home = allowed[0].lower()
-    st = F.upper(strip(state))
-    d = digits(zip_)
+    st, d = F.upper(strip(state)), digits(zip_)
+    return let(
+        F.struct(st.alias("st"), d.alias("d")),
+        lambda x: _flags(addr, city, x["st"], x["d"], allowed, exceptions, home),
+    )
+
+
+def _flags(addr, city, st: Column, d: Column, allowed, exceptions, home: str) -> Column:
     odd_city = F.lit(None).cast("string")
     for code, place in exceptions.items():
         flag = F.lit(f"state_{code.lower()}_not_{place}")

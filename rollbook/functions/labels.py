@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from rollbook import fixed_values as fv
 from rollbook.functions.addresses import is_po_box
-from rollbook.functions.text import as_column, filled, known, strip
+from rollbook.functions.text import as_column, filled, known, let, strip
 
 
-def _starts_with_any(c: Column, patterns: tuple[str, ...]) -> Column:
-    return c.rlike(rf"(?iU)^(?:{'|'.join(patterns)})")
+def _starts_with_any(c: Column, patterns: tuple[str, ...], lead: str = "") -> Column:
+    return c.rlike(rf"(?iU)^{lead}(?:{'|'.join(patterns)})")
 
 
 def is_org_name(c: Column | str) -> Column:
     """Starts with a letter and is no PO box, suite, attention line or missing-value word."""
-    s = strip(c)
-    return s.rlike("^[a-zA-Z]") & ~is_po_box(s) & ~_starts_with_any(s, fv.NOT_A_LABEL)
+    text = filled(c)
+    return text.rlike(r"(?U)^\s*[a-zA-Z]") & ~is_po_box(text) & ~_starts_with_any(text, fv.NOT_A_LABEL, r"\s*")
 
 
 def is_bad_label(c: Column | str, extended: bool = True) -> Column:
@@ -33,9 +33,12 @@ def is_individual_label(c: Column | str) -> Column:
 
 
 def canonical_practice(c: Column | str) -> Column:
-    s = known(c)
-    low = F.lower(s)
-    return F.when(low.isin(*fv.SOLO_WORDS), fv.SOLO).when(low.isin(*fv.GROUP_WORDS), fv.GROUP).otherwise(s)
+    return let(
+        known(c),
+        lambda s: F.when(F.lower(s).isin(*fv.SOLO_WORDS), fv.SOLO)
+        .when(F.lower(s).isin(*fv.GROUP_WORDS), fv.GROUP)
+        .otherwise(s),
+    )
 
 
 def place_label(name: Column | str, types: Column | str, primary_type: Column | str, address: Column | str) -> Column:
@@ -44,9 +47,12 @@ def place_label(name: Column | str, types: Column | str, primary_type: Column |
     The city is the third-last part of the address, or the second-last when there are only two.
     """
     text = filled(name)
-    parts = F.split(filled(address), ",")
-    n = F.size(parts)
-    city = F.when(n >= 3, strip(F.get(parts, n - 3))).when(n == 2, strip(F.get(parts, F.lit(0)))).otherwise("")
+    city = let(
+        F.split(filled(address), ","),
+        lambda parts: F.when(F.size(parts) >= 3, strip(F.get(parts, F.size(parts) - 3)))
+        .when(F.size(parts) == 2, strip(F.get(parts, F.lit(0))))
+        .otherwise(""),
+    )
     medical = (
         text.rlike("(?iU)" + fv.MEDICAL_WORDS)
         | filled(primary_type).isin(*fv.MEDICAL_TYPES)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rollbook import fixed_values as fv
 from rollbook.functions.addresses import norm_addr
 from rollbook.functions.credentials import norm_credential
-from rollbook.functions.text import filled, first_word, norm, norm_name, strip, words_of, zip5
+from rollbook.functions.text import filled, first_word, let, norm, norm_name, strip, words_of, zip5
 
 NO_KEYS = "array<string>"
 
@@ -26,21 +26,31 @@ def clean_name(c: Column | str, long: bool = False) -> Column:
 
 def parse_full_name(c: Column | str) -> Column:
     """'Last, First Middle' or 'First Middle Last' to a struct (last, first, middle), suffix stripped."""
-    text = strip_suffix(strip(c))
-    comma = F.instr(text, ",") > 0
-    tail = words_of(F.substr(text, F.instr(text, ",") + 1))
-    words = words_of(text)
-    n = F.size(words)
-
-    def joined(a: Column, start: Column, length: Column) -> Column:
-        return F.when(length > 0, F.array_join(F.slice(a, start, F.greatest(length, F.lit(0))), " ")).otherwise("")
-
-    last = F.when(comma, strip(F.substring_index(text, ",", 1))).otherwise(F.coalesce(F.get(words, n - 1), F.lit("")))
-    first = F.when(comma, F.coalesce(F.get(tail, F.lit(0)), F.lit(""))).otherwise(
-        F.when(n >= 2, F.get(words, F.lit(0))).otherwise("")
-    )
-    middle = F.when(comma, joined(tail, F.lit(2), F.size(tail) - 1)).otherwise(joined(words, F.lit(2), n - 2))
-    return F.struct(last.alias("last"), first.alias("first"), middle.alias("middle"))
+
+    def tail(words: Column, length: Column) -> Column:
+        return F.array_join(F.slice(words, 2, F.greatest(length, F.lit(0))), " ")
+
+    def with_comma(text: Column) -> Column:
+        return let(
+            words_of(F.substr(text, F.instr(text, ",") + 1)),
+            lambda w: F.struct(
+                strip(F.substring_index(text, ",", 1)).alias("last"),
+                F.coalesce(F.get(w, F.lit(0)), F.lit("")).alias("first"),
+                tail(w, F.size(w) - 1).alias("middle"),
+            ),
+        )
+
+    def plain(text: Column) -> Column:
+        return let(
+            words_of(text),
+            lambda w: F.struct(
+                F.coalesce(F.get(w, F.size(w) - 1), F.lit("")).alias("last"),
+                F.when(F.size(w) >= 2, F.get(w, F.lit(0))).otherwise("").alias("first"),
+                tail(w, F.size(w) - 2).alias("middle"),
+            ),
+        )
+
+    return let(strip_suffix(strip(c)), lambda t: F.when(F.instr(t, ",") > 0, with_comma(t)).otherwise(plain(t)))
 
 
 def initial(c: Column | str) -> Column:
@@ -82,13 +92,17 @@ def name_variants(last: Column | str, first: Column | str, cleaned: bool = False
     `cleaned` also drops commas and periods from both sides first.
     """
     prepare = clean_name if cleaned else (lambda c: strip_suffix(norm(c)))
-    l, f = prepare(last), prepare(first)
+    return let(F.struct(prepare(last).alias("l"), prepare(first).alias("f")), lambda x: _variants(x["l"], x["f"]))
+
+
+def _variants(l: Column, f: Column) -> Column:
     f1 = first_word(f)
     return (
         F.when((l == "") & (f == ""), F.array().cast(NO_KEYS))
         .when(f == "", F.array(l))
         .when(l == "", F.array_distinct(F.array(f, f1)))
-        .otherwise(F.array_distinct(F.array(*_three_ways(f, l), *_three_ways(f1, l))))
+        .when(f == f1, F.array(*_three_ways(f, l)))
+        .otherwise(F.array(*_three_ways(f, l), *_three_ways(f1, l)))
     )
 
 
@@ -97,20 +111,25 @@ def fullname_variants(c: Column | str, min_words: int = 2, keep_full: bool = Tru
 
     `keep_full=False` starts from the text without suffix; `cleaned` passes every variant through `clean_name`.
     """
-    full = norm(c)
-    bare = strip_suffix(full)
-    if not keep_full:
-        full = bare
-    words = words_of(F.when(bare == "", full).otherwise(bare))
-    n = F.size(words)
-    head, tail = F.get(words, F.lit(0)), F.get(words, n - 1)
-    keys = F.concat(
-        F.array(full, F.when(bare == "", full).otherwise(bare)),
-        F.when(n >= min_words, F.array(*_three_ways(head, tail))).otherwise(F.array().cast(NO_KEYS)),
-    )
+
+    def variants(full: Column, bare: Column) -> Column:
+        base = F.when(bare == "", full).otherwise(bare)
+
+        def arranged(w: Column) -> Column:
+            ends = _three_ways(F.get(w, F.lit(0)), F.get(w, F.size(w) - 1))
+            return F.when(F.size(w) >= min_words, F.array(full, base, *ends)).otherwise(F.array(full, base))
+
+        return F.when(full == "", F.array().cast(NO_KEYS)).otherwise(let(words_of(base), arranged))
+
+    def from_full(full: Column) -> Column:
+        if keep_full:
+            return let(strip_suffix(full), lambda bare: variants(full, bare))
+        return let(strip_suffix(full), lambda bare: variants(bare, bare))
+
+    keys = let(norm(c), from_full)
     if cleaned:
         keys = F.transform(keys, lambda k: clean_name(k))
-    return F.when(full == "", F.array().cast(NO_KEYS)).otherwise(F.array_distinct(keys))
+    return F.array_distinct(keys)
 
 
 def _last_first_keys(last: Column, first: Column, initials: bool) -> list[Column]:
@@ -129,63 +148,75 @@ def mixed_name_keys(a: Column | str, b: Column | str, initials: bool = False) ->
     When `b` contains a blank it is the full name: the last word, and for three or more words the last two words,
     are tried as the surname. The position in the array is the rank of the key.
     """
-    whole = clean_name(b, long=True)
-    words = words_of(whole)
-    n = F.size(words)
-    head = F.get(words, F.lit(0))
-    surname = clean_name(F.coalesce(F.get(words, n - 1), F.lit("")), long=True)
-    compound = F.when(
-        n >= 3, clean_name(F.concat_ws(" ", F.get(words, n - 2), F.get(words, n - 1)), long=True)
-    ).otherwise("")
-    head_clean = F.coalesce(clean_name(head, long=True), F.lit(""))
-    full_name = [*_last_first_keys(surname, head_clean, initials), *_last_first_keys(compound, head_clean, initials)]
-    plain = _last_first_keys(clean_name(a, long=True), whole, initials)
-    if initials:
-        full_name = [full_name[i] for i in (0, 1, 3, 4, 2, 5)]
-    return F.when(F.instr(whole, " ") > 0, F.array_distinct(F.array_compact(F.array(*full_name)))).otherwise(
-        F.array_distinct(F.array_compact(F.array(*plain)))
-    )
+
+    def from_words(w: Column) -> Column:
+        n = F.size(w)
+        compound = F.when(n >= 3, F.concat_ws(" ", F.get(w, n - 2), F.get(w, n - 1))).otherwise("")
+        parts = F.struct(
+            clean_name(F.get(w, F.lit(0)), long=True).alias("first"),
+            clean_name(F.get(w, n - 1), long=True).alias("surname"),
+            clean_name(compound, long=True).alias("compound"),
+        )
+
+        def keys(x: Column) -> Column:
+            one = _last_first_keys(x["surname"], x["first"], initials)
+            two = _last_first_keys(x["compound"], x["first"], initials)
+            return F.array(*one[:2], *two[:2], *one[2:], *two[2:])
+
+        return let(parts, keys)
+
+    def from_whole(whole: Column) -> Column:
+        plain = let(clean_name(a, long=True), lambda last: F.array(*_last_first_keys(last, whole, initials)))
+        return F.when(F.instr(whole, " ") > 0, let(words_of(whole), from_words)).otherwise(plain)
+
+    return F.array_distinct(F.array_compact(let(clean_name(b, long=True), from_whole)))
 
 
 def slash_name_keys(last: Column | str, first: Column | str) -> Column:
     """'l|f' and 'f|l' for the cleaned first name and its first token; a single side stands alone."""
-    l, f = clean_name(last), clean_name(first)
-    f1 = first_word(f)
-    both = [F.concat_ws("|", l, f), F.concat_ws("|", f, l), F.concat_ws("|", l, f1), F.concat_ws("|", f1, l)]
-    return (
-        F.when((l == "") & (f == ""), F.array().cast(NO_KEYS))
-        .when(f == "", F.array(l))
-        .when(l == "", F.array_distinct(F.array(f, f1)))
-        .otherwise(F.array_distinct(F.array(*both)))
-    )
+
+    def keys(l: Column, f: Column) -> Column:
+        f1 = first_word(f)
+        both = [F.concat_ws("|", l, f), F.concat_ws("|", f, l), F.concat_ws("|", l, f1), F.concat_ws("|", f1, l)]
+        return (
+            F.when((l == "") & (f == ""), F.array().cast(NO_KEYS))
+            .when(f == "", F.array(l))
+            .when(l == "", F.array(f, f1))
+            .otherwise(F.array(*both))
+        )
+
+    names = F.struct(clean_name(last).alias("l"), clean_name(first).alias("f"))
+    return F.array_distinct(let(names, lambda x: keys(x["l"], x["f"])))
 
 
 def slash_fullname_keys(c: Column | str) -> Column:
     """The same keys from a full name: first and last word, or the single word."""
-    text = clean_name(c)
-    words = words_of(text)
-    n = F.size(words)
-    head, tail = F.get(words, F.lit(0)), F.get(words, n - 1)
-    return (
-        F.when(n == 0, F.array().cast(NO_KEYS))
-        .when(n == 1, F.array(text))
-        .otherwise(F.array_distinct(F.array(F.concat_ws("|", tail, head), F.concat_ws("|", head, tail))))
-    )
+
+    def keys(w: Column) -> Column:
+        head, tail = F.get(w, F.lit(0)), F.get(w, F.size(w) - 1)
+        return (
+            F.when(F.size(w) == 0, F.array().cast(NO_KEYS))
+            .when(F.size(w) == 1, F.array(head))
+            .otherwise(F.array(F.concat_ws("|", tail, head), F.concat_ws("|", head, tail)))
+        )
+
+    return F.array_distinct(let(words_of(clean_name(c)), keys))
 
 
 def round2_name_keys(a: Column | str, b: Column | str) -> Column:
     """Union of the keys of (a=last, b=first), of b as a full name, and of (last word of b, a)."""
-    whole = norm(b)
-    words = words_of(whole)
-    surname = F.coalesce(F.get(words, F.size(words) - 1), F.lit(""))
-    plain = name_variants(a, whole)
-    mixed = F.array_union(
-        F.array_union(plain, fullname_variants(whole, 2, keep_full=False)), name_variants(surname, norm(a))
-    )
-    return F.when(F.instr(whole, " ") > 0, mixed).otherwise(plain)
+
+    def keys(a_: Column, b_: Column) -> Column:
+        surname = F.substring_index(b_, " ", -1)
+        mixed = F.array_union(
+            F.array_union(name_variants(a_, b_), fullname_variants(b_, 2, keep_full=False)), name_variants(surname, a_)
+        )
+        return F.when(F.instr(b_, " ") > 0, mixed).otherwise(name_variants(a_, b_))
+
+    return let(F.struct(norm(a).alias("a"), norm(b).alias("b")), lambda x: keys(x["a"], x["b"]))
 
 
 def source_label(existing: Column | str, b: Column | str) -> Column:
     """Existing labels are normalised; a blank one becomes mailingaddition when `b` holds a blank, else firstmailing."""
-    label = norm(existing)
-    return F.when(label != "", label).when(F.instr(strip(b), " ") > 0, "mailingaddition").otherwise("firstmailing")
+    blank = F.when(F.instr(strip(b), " ") > 0, "mailingaddition").otherwise("firstmailing")
+    return F.coalesce(F.nullif(norm(existing), F.lit("")), blank)

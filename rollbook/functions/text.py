@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ def filled(c: Column | str) -> Column:
     return F.coalesce(as_column(c).cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a costly value once for an expression that reads it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Drop white space of any kind at both ends."""
     return F.regexp_replace(filled(c), r"(?U)^\s+|\s+$", "")
@@ -51,9 +56,7 @@ def zip5(c: Column | str) -> Column:
 def norm_phone(c: Column | str) -> Column:
     """NNN-NNN-NNNN when there are exactly ten digits, else the stripped original."""
     d = digits(c)
-    return F.when(
-        F.length(d) == 10, F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 4))
-    ).otherwise(strip(c))
+    return F.when(F.length(d) == 10, F.regexp_replace(d, "^(...)(...)(....)$", "$1-$2-$3")).otherwise(strip(c))
 
 
 def title_case(c: Column | str) -> Column:
@@ -77,13 +80,12 @@ def normalize_county(c: Column | str) -> Column:
 
 def present(c: Column | str) -> Column:
     """True unless null, blank or the text "nan"."""
-    return ~F.lower(strip(c)).isin("", "nan")
+    return ~filled(c).rlike(r"(?iU)^\s*(?:nan\s*)?$")
 
 
 def known(c: Column | str) -> Column:
     """The stripped text; "nan" counts as blank."""
-    s = strip(c)
-    return F.when(F.lower(s) == "nan", "").otherwise(s)
+    return F.regexp_replace(filled(c), r"(?iU)^\s*nan\s*$|^\s+|\s+$", "")
 
 
 def coalesce_blank(*cols: Column | str) -> Column:
@@ -94,20 +96,18 @@ def coalesce_blank(*cols: Column | str) -> Column:
 def count_nonempty(cols: list[Column | str]) -> Column:
     total = F.lit(0)
     for c in cols:
-        total = total + F.when(strip(c).isin("", "nan", "NaN"), 0).otherwise(1)
+        total = total + F.when(filled(c).rlike(r"(?U)^\s*(?:(?:nan|NaN)\s*)?$"), 0).otherwise(1)
     return total
 
 
 def valid_npi(c: Column | str) -> Column:
     """The identifier when it is exactly ten digits, else ''."""
-    s = norm(c)
-    return F.when(s.rlike(r"^[0-9]{10}$"), s).otherwise("")
+    return F.regexp_extract(filled(c), r"(?U)^\s*([0-9]{10})\s*$", 1)
 
 
 def words_of(c: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    s = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
+    return F.array_remove(F.split(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), " "), "")
 
 
 def first_word(c: Column) -> Column:

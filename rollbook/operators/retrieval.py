@@ -42,7 +42,8 @@ def parse_courses(docs: DataFrame, text: str = "text", name: str = "file_name")
 
     def header(pattern: str) -> Column:
         found = F.transform(F.slice("__lines", 2, 3), lambda x: _captured(strip(x), pattern))
-        return F.element_at(F.array_compact(found), -1)
+        kept = F.array_compact(found)
+        return F.get(kept, F.size(kept) - 1)
 
     first = strip(F.col("__lines")[0])
     start = F.when((n > 3) & (strip(F.get("__lines", F.lit(3))) == ""), 5).otherwise(4)
@@ -70,7 +71,7 @@ def parse_courses(docs: DataFrame, text: str = "text", name: str = "file_name")
         begin = at + F.when(link.isNotNull(), 2).otherwise(1)
         lines_ = F.slice("__content", begin + 1, F.greatest(end - begin, F.lit(0)))
         return F.struct(
-            _captured(head, fv.LESSON_LINE).cast("int").alias("lesson_number"),
+            _captured(head, fv.LESSON_LINE).try_cast("int").alias("lesson_number"),
             _captured(head, fv.LESSON_LINE, 2).alias("title"),
             link.alias("lesson_link"),
             strip(F.array_join(lines_, "\n")).alias("text"),
@@ -80,7 +81,7 @@ def parse_courses(docs: DataFrame, text: str = "text", name: str = "file_name")
     rows = rows.withColumn("lessons", lessons)
     body = F.when((F.size("lessons") == 0) & (n > 2), strip(F.array_join("__content", "\n"))).otherwise("")
     return rows.select(
-        *[as_column(c) for c in docs.columns if c not in ("title", "course_link", "instructor", "lessons", "body")],
+        *[as_column(c) for c in docs.columns if c not in (text, "title", "course_link", "instructor", "lessons", "body")],
         "title", "course_link", "instructor", "lessons", body.alias("body"),
     )
 
@@ -295,29 +296,35 @@ def _score(chunks, batch, k, chunk_id, query_id, vector, filters, metric, schema
         squares = (points**2).sum(axis=1)[:, None] + (block**2).sum(axis=1)[None, :]
         return np.maximum(squares - 2 * dots, 0)
 
+    def keep_nearest(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best columns per row, ties by id."""
+        by_id = np.argsort(ids, axis=1, kind="stable")
+        d, ids = np.take_along_axis(d, by_id, 1), np.take_along_axis(ids, by_id, 1)
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+
     def nearest(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for table in tables:
             if not table.num_rows:
                 continue
             ids = table.column(chunk_id).to_numpy(zero_copy_only=False)
+            by_id = np.argsort(ids, kind="stable")
             block = np.stack(table.column(vector).to_numpy(zero_copy_only=False)).astype("float64")
             d = distances(block)
             for f, values in conditions:
                 own = np.array(table.column(f).to_pylist(), dtype=object)
                 d[~(pd.isna(values)[:, None] | (values[:, None] == own[None, :]))] = np.inf
-            ids = np.broadcast_to(ids, d.shape)
-            if kept is not None:
-                d, ids = np.hstack([kept[0], d]), np.hstack([kept[1], ids])
-            order = np.lexsort((ids, d), axis=1)[:, :k]
-            kept = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+            d, ids = d[:, by_id], ids[by_id]
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            d, ids = np.take_along_axis(d, order, 1), ids[order]
+            kept = (d, ids) if kept is None else keep_nearest(np.hstack([kept[0], d]), np.hstack([kept[1], ids]))
         if kept is not None:
             d, ids = kept
             real = np.isfinite(d)
             owner = np.broadcast_to(names[:, None], d.shape)
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame({query_id: owner[real], chunk_id: ids[real], "distance": d[real]}), preserve_index=False
-            )
+            found = pd.DataFrame({query_id: owner[real], chunk_id: ids[real], "distance": d[real]})
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     return rows.mapInArrow(nearest, schema)
 
