@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rollbook import fixed_values as fv
 from rollbook.functions.names import first_token_key, name_key, parse_full_name, strip_suffix
 from rollbook.functions.text import (
-    as_column, coalesce_blank, count_nonempty, digits, filled, first_word, norm, valid_npi, zip5,
+    as_column, coalesce_blank, count_nonempty, digits, filled, first_word, let, norm, strip, valid_npi, zip5,
 )
 from rollbook.scale import global_rank, keyed_join
 from rollbook.sources.columns import resolve
@@ -129,10 +129,12 @@ def dedup_priority(
 
     The key is a valid NPI, else last|first|middle|zip. Rows without any of these are removed. Removed rows say why.
     """
-    number = valid_npi(npi)
     zip_values = [F.nullif(zip5(z), F.lit("")) for z in zips if z in df.columns]
     name = F.concat_ws("|", norm(last), norm(first), norm(middle), F.coalesce(*zip_values, F.lit("")))
-    rows = df.withColumn("__npi", number != "").withColumn("__key", F.when(number != "", number).otherwise(name))
+    rows = df.withColumn("__number", valid_npi(npi))
+    rows = rows.withColumns(
+        {"__npi": F.col("__number") != "", "__key": F.when(F.col("__number") != "", F.col("__number")).otherwise(name)}
+    ).drop("__number")
     order = F.struct(_rank_of(tab, tab_ranks), _rank_of(file, file_ranks or {}), as_column(order_by))
     usable = rows.where(F.col("__key") != "|||")
     grouped = usable.groupBy("__npi", "__key")
@@ -160,18 +162,23 @@ def add_gold_addresses(df: DataFrame) -> DataFrame:
     return df.withColumns({n: coalesce_blank(*[c for c in cs if c in df.columns]) for n, cs in plans.items()})
 
 
-def completeness_key(df: DataFrame, npi: str | None, full: str | None, last: str | None, first: str | None) -> Column:
+def completeness_key(npi: str | None, full: str | None, last: str | None, first: str | None) -> Column:
     """'npi:...' for ten digits, else 'name:last first' with the name taken from the full name when there is one."""
-    number = digits(npi) if npi else F.lit("")
-    text = norm(full) if full else F.lit("")
-    parsed = parse_full_name(text)
-    single = strip_suffix(text)
-    surname = F.when(text == "", norm(last) if last else F.lit("")).otherwise(
-        F.when(parsed["last"] == "", F.when(F.instr(single, ",") > 0, "").otherwise(single)).otherwise(parsed["last"])
+    parsed = parse_full_name(norm(full)) if full else F.struct(F.lit("").alias("last"), F.lit("").alias("first"))
+    surname, given = norm(last) if last else F.lit(""), first_word(norm(first)) if first else F.lit("")
+    parts = F.struct(
+        (digits(npi) if npi else F.lit("")).alias("n"), filled(full or F.lit("")).alias("full"), surname.alias("l"),
+        given.alias("f"), parsed.alias("p"),
     )
-    given = F.when(text == "", first_word(norm(first)) if first else F.lit("")).otherwise(parsed["first"])
-    name = F.when(surname == "", "").otherwise(F.trim(F.concat(F.lit("name:"), surname, F.lit(" "), given)))
-    return F.when(F.length(number) == 10, F.concat(F.lit("npi:"), number)).otherwise(name)
+
+    def key(x: Column) -> Column:
+        whole = strip(x["full"]) != ""
+        l = F.when(whole, x["p"]["last"]).otherwise(x["l"])
+        f = F.when(whole, x["p"]["first"]).otherwise(x["f"])
+        name = F.when(l == "", "").otherwise(F.trim(F.concat(F.lit("name:"), l, F.lit(" "), f)))
+        return F.when(F.length(x["n"]) == 10, F.concat(F.lit("npi:"), x["n"])).otherwise(name)
+
+    return let(parts, key)
 
 
 def dedup_most_complete(
@@ -184,7 +191,7 @@ def dedup_most_complete(
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): per key the row with the most filled fields, the first one on ties. Keyless rows all stay."""
     counted = [c for c in df.columns if c != order_by]
-    rows = df.withColumn("_dedup_key", completeness_key(df, npi, full, last, first)).withColumn(
+    rows = df.withColumn("_dedup_key", completeness_key(npi, full, last, first)).withColumn(
         "_field_count", count_nonempty(counted)
     )
     order = F.struct(-F.col("_field_count"), as_column(order_by))

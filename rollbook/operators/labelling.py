@@ -11,7 +11,7 @@ from rollbook import fixed_values as fv
 from rollbook.functions.addresses import base_addr_key, is_po_box
 from rollbook.functions.labels import is_bad_label, is_individual_label, is_org_name, place_label
 from rollbook.functions.names import parse_full_name, strip_suffix
-from rollbook.functions.text import as_column, filled, known, norm, strip, title_case
+from rollbook.functions.text import as_column, filled, known, let, norm, strip, title_case
 from rollbook.operators.matching import attach_first, lookup_first
 from rollbook.scale import keyed_join
 from rollbook.sources.columns import resolve
@@ -66,8 +66,10 @@ def assign_label(
     when address 1 is a department   3 address 1 as an organisation, then address 2, then address 3
     4 reference table by address 1, 2, 3. `organisations=False` runs the overrides only.
     """
-    rows = with_label_columns(df)
-    a1, a2, a3 = (known(c) if c else F.lit("") for c in (addr1, addr2, addr3))
+    rows = with_label_columns(df).withColumns(
+        {f"__a{i}": known(c) if c else F.lit("") for i, c in enumerate((addr1, addr2, addr3), 1)}
+    )
+    a1, a2, a3 = F.col("__a1"), F.col("__a2"), F.col("__a3")
     own_city = known(city) if city else F.lit("")
     empty = F.lit(None).cast("struct<label:string,city:string>")
 
@@ -115,22 +117,25 @@ def name_query(
     default_state: str = "MN",
 ) -> Column:
     """Search text of a person: first, last, up to three words of specialty, city, state, "physician"; '' if nameless."""
-    l = known(last) if last else F.lit("")
-    f = known(first) if first else F.lit("")
-    if full:
-        parsed = parse_full_name(known(full))
-        comma = F.instr(known(full), ",") > 0
-        given = strip_suffix(F.substr(known(full), F.instr(known(full), ",") + 1))
-        f = F.when(l != "", f).otherwise(
-            F.when(comma, F.substring_index(given, " ", 1)).otherwise(parsed["first"])
-        )
-        l = F.when(l != "", l).otherwise(
-            F.when(comma, strip_suffix(F.substring_index(known(full), ",", 1))).otherwise(parsed["last"])
-        )
-    words = F.substring_index(F.regexp_replace(known(specialty) if specialty else F.lit(""), r"(?U)\s+", " "), " ", 3)
-    parts = [f, l, words, known(city) if city else F.lit(""), known(state) if state else F.lit(default_state)]
-    text = F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts], F.lit("physician"))
-    return F.when(l == "", "").otherwise(text)
+    def text(c: str | None, default: str = "") -> Column:
+        return known(c) if c else F.lit(default)
+
+    words = F.substring_index(F.regexp_replace(text(specialty), r"(?U)\s+", " "), " ", 3)
+
+    def query(l: Column, f: Column) -> Column:
+        parts = [f, l, words, text(city), text(state, default_state)]
+        joined = F.concat_ws(" ", *[F.when(p != "", p) for p in parts], F.lit("physician"))
+        return F.when(l == "", "").otherwise(joined)
+
+    def from_full(whole: Column) -> Column:
+        given = F.substring_index(strip_suffix(F.substr(whole, F.instr(whole, ",") + 1)), " ", 1)
+        surname = strip_suffix(F.substring_index(whole, ",", 1))
+        with_comma = F.struct(surname.alias("last"), given.alias("first"), F.lit("").alias("middle"))
+        return F.when(F.instr(whole, ",") > 0, with_comma).otherwise(parse_full_name(whole))
+
+    own = F.struct(text(last).alias("last"), text(first).alias("first"), F.lit("").alias("middle"))
+    name = own if not full else F.when(text(last) != "", own).otherwise(let(known(full), from_full))
+    return let(name, lambda x: query(x["last"], x["first"]))
 
 
 def address_query(addr: str, city: str, zip_: str) -> Column:
@@ -179,8 +184,7 @@ def enrich_places(
 
 
 def _at_address(df: DataFrame, addr: str, city: str) -> DataFrame:
-    key = base_addr_key(addr, city)
-    return df.withColumn("__base", F.when(key != "|", key))
+    return df.withColumn("__base", F.nullif(base_addr_key(addr, city), F.lit("|")))
 
 
 def _votes(rows: DataFrame, keep: Column, order_by: str) -> DataFrame:

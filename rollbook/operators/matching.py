@@ -156,14 +156,14 @@ def crossref(
         return normaliser(roles[name]) if roles.get(name) else F.lit("")
 
     def keyed(df: DataFrame, last: Column, first: Column, zip_: Column, city: Column) -> DataFrame:
-        def key(tail: Column) -> Column:
-            text = F.concat_ws("|", last, first, tail)
-            usable = F.length(text) > 2
+        def key(tail: str) -> Column:
+            usable = F.length(F.concat("__l", "__f", tail)) > 0
             if require_name:
-                usable = usable & (F.concat(last, first) != "") & (tail != "")
-            return F.when(usable, text)
+                usable = (F.concat("__l", "__f") != "") & (F.col(tail) != "")
+            return F.when(usable, F.concat_ws("|", "__l", "__f", tail))
 
-        return df.withColumns({"__zip_key": key(zip_), "__city_key": key(city)})
+        parts = df.withColumns({"__l": last, "__f": first, "__z": zip_, "__c": city})
+        return parts.withColumns({"__zip_key": key("__z"), "__city_key": key("__c")}).drop("__l", "__f", "__z", "__c")
 
     left = keyed(npi, norm_name("last_name"), norm_name("first_name"), zip5("zip5"), norm_name("primary_city"))
     right = keyed(ext, role("last", norm_name), role("first", norm_name), role("zip", zip5), role("city", norm_name))

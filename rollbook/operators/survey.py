@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from rollbook import fixed_values as fv
 from rollbook.functions.questions import (
-    answer, checkbox_checked, choice_label, collapse, is_demographic, norm_question, parent_question, question_class,
+    checkbox_checked, choice_label, collapse, is_demographic, norm_question, parent_question, question_class,
     scale_of, short_label,
 )
 from rollbook.functions.text import as_column, coalesce_blank, filled, normalize_county, strip
 
 SINGLE = "Single choice"
 MULTIPLE = "Select all that apply"
+UNSCALED = 1 << 20  # rank of an answer outside its question's scale
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -143,29 +144,33 @@ def freq_single(
 
     Known scales come in scale order, then every other answer by count and text. One long-form pass, one small shuffle.
     """
-    known = {c: (scales or {}).get(c) or scale_of(c) for c in columns}
-    entries = []
-    for i, c in enumerate(columns):
-        value = answer(c)
-        rank = F.lit(len(known[c] or ()))
-        for j, option in reversed(list(enumerate(known[c] or ()))):
-            rank = F.when(value == option, j).otherwise(rank)
-        entries.append(
-            F.struct(
-                F.lit((positions or {}).get(c, i)).alias("question_order"),
-                F.lit(collapse((labels or {}).get(c, c))).alias("question"),
-                value.alias("response"),
-                rank.alias("scale"),
-            )
+    at = {c: (positions or {}).get(c, i) for i, c in enumerate(columns)}
+    entries = [
+        F.struct(
+            F.lit(at[c]).alias("question_order"), F.lit(collapse((labels or {}).get(c, c))).alias("question"),
+            strip(c).alias("response"),
         )
+        for c in columns
+    ]
     keys = [*by, "question_order", "question"]
     counts = (
         df.select(*by, F.explode(F.array(*entries)).alias("e"))
         .select(*by, "e.*")
-        .where("response is not null")
-        .groupBy(*keys, "response", "scale")
+        .where(~F.col("response").isin("", "nan"))
+        .groupBy(*keys, "response")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # ranks of known answers, looked up on the counted rows only
+    ranks = {}
+    for c in columns:
+        for j, option in enumerate((scales or {}).get(c) or scale_of(c) or ()):
+            ranks[f"{at[c]}|{option}"] = j
+    rank = F.lit(UNSCALED)
+    if ranks:
+        table = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+        own = F.concat_ws("|", F.col("question_order").cast("string"), "response")
+        rank = F.coalesce(F.try_element_at(table, own), rank)
+    counts = counts.withColumn("scale", rank)
     per_question = Window.partitionBy(*keys)
     return counts.select(
         *by, "question", F.lit(SINGLE).alias("type"), "response", "n",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rollbook.plans import function_queries
+from rollbook.plans import function_queries, list_queries
 
-MODULES = (function_queries,)
+MODULES = (function_queries, list_queries)
 
 
 def queries() -> dict:
