@@ -27,17 +27,16 @@ from rollbook.scale import keyed_join
 
 def exploded_keys(df: DataFrame, kinds: Mapping[str, Column], order_by: str, extra: Sequence[str] = ()) -> DataFrame:
     """One narrow row per key: order, kind, rank, key. `kinds` maps a name to an array of keys; blank keys go."""
-    ranked = F.concat(
-        *[
-            F.transform(
-                keys,
-                lambda k, j, i=i, name=name: F.struct(
-                    F.lit(name).alias("kind"), (F.lit(i * 1000) + j).cast("int").alias("rank"), k.alias("key")
-                ),
-            )
-            for i, (name, keys) in enumerate(kinds.items())
-        ]
-    )
+
+    def ranked_keys(position: int, kind: str, keys: Column) -> Column:
+        return F.transform(
+            keys,
+            lambda key, at: F.struct(
+                F.lit(kind).alias("kind"), (F.lit(position * 1000) + at).cast("int").alias("rank"), key.alias("key")
+            ),
+        )
+
+    ranked = F.concat(*[ranked_keys(i, kind, keys) for i, (kind, keys) in enumerate(kinds.items())])
     rows = df.select(as_column(order_by), *extra, F.explode(ranked).alias("__k"))
     return rows.select(order_by, *extra, "__k.kind", "__k.rank", "__k.key").where(filled("key") != "")
 

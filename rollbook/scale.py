@@ -6,7 +6,7 @@ Three needs recur in the operators:
 * numbering a large set of distinct keys in sorted order without a one-partition window (`global_rank`),
 * cutting lineage or storing a result where every executor can read it (`checkpointed`, `scratch_path`).
 
-Each of them looks at Catalyst's own size estimate first and keeps the plain plan when one task could hold the data.
+The first two look at the size of the sources and keep the plain plan when one task could hold the data.
 """
 
 from __future__ import annotations
@@ -31,20 +31,25 @@ HOT_KEYS = 1000
 NULL_SALTS = 64
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a DataFrame; nothing is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def source_bytes(df: DataFrame) -> int:
+    """Size of everything a DataFrame reads, from the leaves of its plan; nothing is run or optimised.
+
+    Sources of unknown size count as huge. Catalyst's estimate for the whole plan is of no use here: it multiplies the
+    two sides of every outer join.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame) -> bool:
     limit = int(df.sparkSession.conf.get(SMALL_BYTES_CONF, str(DEFAULT_SMALL_BYTES)))
-    return estimated_bytes(df) <= limit
+    return source_bytes(df) <= limit
 
 
 def _fits_broadcast(df: DataFrame) -> bool:
     """True when Catalyst itself would broadcast this side."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return estimated_bytes(df) <= limit
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
 def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
