@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rollbook.plans import function_queries, list_queries, match_queries
+from rollbook.plans import function_queries, list_queries, match_queries, report_queries
 
-MODULES = (function_queries, list_queries, match_queries)
+MODULES = (function_queries, list_queries, match_queries, report_queries)
 
 
 def queries() -> dict:
