@@ -18,7 +18,7 @@ from rollbook.functions.credentials import boards_or_taxonomy, display_title, fi
 from rollbook.functions.labels import canonical_practice, is_bad_label, is_individual_label
 from rollbook.functions.names import fullname_variants, mixed_name_keys, name_key, name_variants, parse_full_name
 from rollbook.functions.similarity import best_ratio
-from rollbook.functions.text import as_column, filled, known, norm, norm_name, strip, zip5
+from rollbook.functions.text import as_column, filled, known, let, norm, norm_name, strip, zip5
 from rollbook.scale import keyed_join
 
 
@@ -186,10 +186,11 @@ def crossref(
 
 
 def name_city_keys(names: Column, city: Column) -> Column:
-    c = norm(city)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(
-        F.transform(names, lambda n: F.concat_ws("|", n, c))
-    )
+    def paired(x: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.when(x["c"] == "", none).otherwise(F.transform(x["n"], lambda n: F.concat_ws("|", n, x["c"])))
+
+    return let(F.struct(norm(city).alias("c"), names.alias("n")), paired)
 
 
 def address_keys(sets: Sequence[tuple[Column | str, Column | str, Column | str]]) -> Column:
@@ -216,7 +217,7 @@ def coverage(
     provider_keys = {
         "name": names,
         "address": address_keys(provider_addresses),
-        "name_city": F.flatten(F.transform(cities, lambda c: name_city_keys(names, c))),
+        "name_city": let(names, lambda n: F.flatten(F.transform(cities, lambda c: name_city_keys(n, c)))),
     }
     full_names = fullname_variants(full, 3)
     mailing_keys = {

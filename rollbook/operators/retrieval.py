@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook import fixed_values as fv
-from rollbook.functions.text import as_column, filled, strip
+from rollbook.functions.text import as_column, filled, let, strip
+
+# a lesson line that may be indented
+LESSON_START = r"^\s*" + fv.LESSON_LINE[1:]
 
 # --- parsing -----------------------------------------------------------------------------------
 
@@ -36,56 +39,66 @@ def parse_courses(docs: DataFrame, text: str = "text", name: str = "file_name")
     lesson, an optional link line follows. `lessons` is an array of (lesson_number, title, lesson_link, text) without
     empty lessons; content before the first marker is left out; without any lesson `body` holds the whole content.
     """
-    lines = F.split(strip(text), "\n")
-    rows = docs.withColumn("__lines", lines)
-    n = F.size("__lines")
-
-    def header(pattern: str) -> Column:
-        found = F.transform(F.slice("__lines", 2, 3), lambda x: _captured(strip(x), pattern))
-        kept = F.array_compact(found)
-        return F.get(kept, F.size(kept) - 1)
-
-    first = strip(F.col("__lines")[0])
-    start = F.when((n > 3) & (strip(F.get("__lines", F.lit(3))) == ""), 5).otherwise(4)
-    rows = rows.withColumns(
-        {
-            "title": F.when(first == "", filled(name)).otherwise(F.coalesce(_captured(first, fv.COURSE_TITLE_LINE), first)),
-            "course_link": header(fv.COURSE_LINK_LINE),
-            "instructor": F.nullif(header(fv.INSTRUCTOR_LINE), F.lit("Unknown")),
-            "__content": F.when(n >= start, F.slice("__lines", start, F.greatest(n, F.lit(1)))).otherwise(
-                F.array().cast("array<string>")
-            ),
-        }
-    )
-    marker = F.transform("__content", lambda x: strip(x).rlike("(?iU)" + fv.LESSON_LINE))
-    rows = rows.withColumn("__marks", marker)
-    starts = F.filter(
-        F.transform("__marks", lambda m, i: F.when(m, i)), lambda i: i.isNotNull()
-    )
-    rows = rows.withColumn("__starts", starts)
+    def headers(lines: Column) -> Column:
+        first = strip(F.get(lines, F.lit(0)))
 
-    def lesson(at: Column, i: Column) -> Column:
-        head = strip(F.get("__content", at))
-        link = _captured(strip(F.coalesce(F.get("__content", at + 1), F.lit(""))), fv.LESSON_LINK_LINE)
-        end = F.coalesce(F.get("__starts", i + 1), F.size("__content"))
-        begin = at + F.when(link.isNotNull(), 2).otherwise(1)
-        lines_ = F.slice("__content", begin + 1, F.greatest(end - begin, F.lit(0)))
+        def header(pattern: str) -> Column:
+            found = F.array_compact(F.transform(F.slice(lines, 2, 3), lambda x: _captured(strip(x), pattern)))
+            return F.get(F.reverse(found), F.lit(0))
+
+        blank_fourth = (F.size(lines) > 3) & (strip(F.get(lines, F.lit(3))) == "")
+        start = F.when(blank_fourth, 5).otherwise(4)
+        empty = F.array().cast("array<string>")
+        return F.struct(
+            F.when(first == "", filled(name)).otherwise(F.coalesce(_captured(first, fv.COURSE_TITLE_LINE), first)).alias("title"),
+            header(fv.COURSE_LINK_LINE).alias("course_link"),
+            F.nullif(header(fv.INSTRUCTOR_LINE), F.lit("Unknown")).alias("instructor"),
+            F.when(F.size(lines) >= start, F.slice(lines, start, F.size(lines))).otherwise(empty).alias("content"),
+        )
+
+    def with_lessons(h: Column) -> Column:
+        marks = F.transform(h["content"], lambda x, i: F.when(x.rlike("(?iU)" + LESSON_START), i))
+        lessons = let(F.array_compact(marks), lambda starts: _lessons(h["content"], starts))
+        body = strip(F.array_join(h["content"], "\n"))
         return F.struct(
-            _captured(head, fv.LESSON_LINE).try_cast("int").alias("lesson_number"),
-            _captured(head, fv.LESSON_LINE, 2).alias("title"),
-            link.alias("lesson_link"),
-            strip(F.array_join(lines_, "\n")).alias("text"),
+            h["title"].alias("title"), h["course_link"].alias("course_link"), h["instructor"].alias("instructor"),
+            lessons.alias("lessons"), body.alias("body"),
         )
 
-    lessons = F.filter(F.transform("__starts", lesson), lambda x: x["text"] != "")
-    rows = rows.withColumn("lessons", lessons)
-    body = F.when((F.size("lessons") == 0) & (n > 2), strip(F.array_join("__content", "\n"))).otherwise("")
-    return rows.select(
-        *[as_column(c) for c in docs.columns if c not in (text, "title", "course_link", "instructor", "lessons", "body")],
-        "title", "course_link", "instructor", "lessons", body.alias("body"),
+    # every intermediate value is bound once, so a document is split and scanned once however many lessons it has
+    parsed = let(F.split(strip(text), "\n"), lambda lines: let(headers(lines), with_lessons))
+    added = ("title", "course_link", "instructor", "lessons")
+    body = F.when(F.size("__p.lessons") == 0, F.col("__p.body")).otherwise("")
+    return docs.withColumn("__p", parsed).select(
+        *[as_column(c) for c in docs.columns if c not in (text, "body", *added)],
+        *[F.col(f"__p.{c}").alias(c) for c in added],
+        body.alias("body"),
     )
 
 
+def _lessons(content: Column, starts: Column) -> Column:
+    """Lessons between the marker positions, empty ones left out."""
+
+    def lesson(at: Column, i: Column) -> Column:
+        head = strip(F.get(content, at))
+        link = _captured(strip(F.coalesce(F.get(content, at + 1), F.lit(""))), fv.LESSON_LINK_LINE)
+        end = F.coalesce(F.get(starts, i + 1), F.size(content))
+
+        def parts(link: Column) -> Column:
+            begin = at + F.when(link.isNotNull(), 2).otherwise(1)
+            lines = F.slice(content, begin + 1, F.greatest(end - begin, F.lit(0)))
+            return F.struct(
+                _captured(head, fv.LESSON_LINE).try_cast("int").alias("lesson_number"),
+                _captured(head, fv.LESSON_LINE, 2).alias("title"),
+                link.alias("lesson_link"),
+                strip(F.array_join(lines, "\n")).alias("text"),
+            )
+
+        return let(link, parts)
+
+    return F.filter(F.transform(starts, lesson), lambda x: x["text"] != "")
+
+
 # --- chunking ----------------------------------------------------------------------------------
 
 
@@ -142,7 +155,7 @@ def course_chunks(courses: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int =
     parts = F.when(count > 0, F.col("lessons")).when(F.col("body") != "", body)
     rows = courses.select(F.col("title").alias("course_title"), count.alias("n"), F.posexplode(parts).alias("at", "part"))
     rows = rows.select(
-        "course_title", "n", "at", "part.lesson_number", chunk_text("part.text", size, overlap).alias("chunks")
+        "course_title", "n", "at", "part.lesson_number", chunk_text(F.col("part.text"), size, overlap).alias("chunks")
     )
     # a course is one row again after this, so chunk numbers need no window
     rows = rows.select("*", F.posexplode("chunks").alias("i", "chunk"))
@@ -226,6 +239,7 @@ def lesson_links(catalog: DataFrame) -> DataFrame:
 # --- search ------------------------------------------------------------------------------------
 
 QUERY_BATCH_BYTES = 64 << 20
+PLACES = 12  # distances are rounded to this many places, so that equal vectors tie whatever the order of summation
 
 
 def _query_batches(queries: DataFrame, key: str, vector: str, filters: Sequence[str]) -> Iterator[pd.DataFrame]:
@@ -292,9 +306,9 @@ def _score(chunks, batch, k, chunk_id, query_id, vector, filters, metric, schema
         dots = points @ block.T
         if metric == "cosine":
             lengths = np.linalg.norm(points, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None, :]
-            return 1 - dots / np.where(lengths == 0, 1, lengths)
+            return np.round(1 - dots / np.where(lengths == 0, 1, lengths), PLACES)
         squares = (points**2).sum(axis=1)[:, None] + (block**2).sum(axis=1)[None, :]
-        return np.maximum(squares - 2 * dots, 0)
+        return np.round(np.maximum(squares - 2 * dots, 0), PLACES)
 
     def keep_nearest(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k best columns per row, ties by id."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from rollbook.plans import function_queries, list_queries, match_queries, report_queries
+from rollbook.plans import (
+    course_queries, file_queries, function_queries, list_queries, match_queries, report_queries, survey_queries,
+)
 
-MODULES = (function_queries, list_queries, match_queries, report_queries)
+MODULES = (
+    file_queries, function_queries, list_queries, match_queries, report_queries, survey_queries, course_queries,
+)
 
 
 def queries() -> dict:

@@ -197,7 +197,10 @@ COURSE_TEXT = (
     "case when doc_id % 3 = 0 then '' else 'Lesson Link: http://l/' || cast(doc_id as string) || chr(10) end || text "
     "|| chr(10) || 'lesson 1:  More' || chr(10) || case when doc_id % 4 = 0 then ' ' else text end end"
 )
-COURSES_SQL = f"select doc_id as _ord, 'doc' || cast(doc_id as string) || '.txt' as file_name, {COURSE_TEXT} as text from documents"
+COURSES = {
+    "_ord": "doc_id", "file_name": "'doc' || cast(doc_id as string) || '.txt'", "lang": "lang", "text": COURSE_TEXT,
+}
+COURSES_SQL = f"select {select_list(COURSES)} from documents"
 MESSAGES_SQL = "select cast(conv_id as string) as session_id, turn, role, text as content from conversations"
 
 
@@ -230,9 +233,7 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def course_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(
-        "doc_id as _ord", "'doc' || cast(doc_id as string) || '.txt' as file_name", f"{COURSE_TEXT} as text"
-    )
+    return _derive(table(spark, sf_dir, "documents"), COURSES)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,7 @@ def write_tables(
         writer = df.write.mode("overwrite").format(format)
         if format == "csv":
             writer = writer.option("header", True).option("escape", '"')
+            writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         writer.save(f"{path.rstrip('/')}/{name}")
         written.append(name)
     return written

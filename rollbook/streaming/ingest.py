@@ -46,13 +46,17 @@ def ingest_stream(
     checkpoint: str,
     size: int = fv.CHUNK_SIZE,
     overlap: int = fv.CHUNK_OVERLAP,
+    order_by: str = "file_name",
     trigger: dict | None = None,
     then: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Start the ingestion of a stream of (file_name, text). Restarting is safe: known titles are skipped."""
+    """Start the ingestion of a stream of (file_name, text). Restarting is safe: known titles are skipped.
+
+    Of several documents with one title in a batch the first by `order_by` counts.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        append_new_courses(df, catalog_path, chunks_path, size, overlap)
+        append_new_courses(df, catalog_path, chunks_path, size, overlap, order_by)
         if then:
             then(df, number)
 
