@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from rollbook import fixed_values as fv
 
 
+# everything Unicode calls white space, plus the four separators that count as white space in text files
+WHITE_SPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def as_column(c: Column | str) -> Column:
     return c if isinstance(c, Column) else F.col(c if "`" in c else f"`{c}`")
 
@@ -26,12 +33,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(filled(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(filled(c), F.lit(WHITE_SPACE))
 
 
 def norm(c: Column | str) -> Column:
     """Lower case, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(filled(c)), r"(?U)\s+", " "))
+    return collapse(F.lower(filled(c)))
+
+
+def collapse(c: Column) -> Column:
+    """Runs of white space become one blank, none stays at the ends. Single blanks are left alone, not rewritten."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def norm_name(c: Column | str) -> Column:
@@ -74,7 +86,7 @@ def fips5(c: Column | str) -> Column:
 
 
 def normalize_county(c: Column | str) -> Column:
-    s = F.regexp_replace(strip(c), r"(?U)\s+", " ")
+    s = collapse(filled(c))
     return title_case(F.regexp_replace(s, r"(?iU)\bSt\.", "St"))
 
 
@@ -107,7 +119,7 @@ def valid_npi(c: Column | str) -> Column:
 
 def words_of(c: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    return F.array_remove(F.split(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), " "), "")
+    return F.array_remove(F.split(collapse(c), " "), "")
 
 
 def first_word(c: Column) -> Column:

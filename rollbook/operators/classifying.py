@@ -67,28 +67,39 @@ def _per_key(entries: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def _verdicts(met: DataFrame, group: str, by_norm: bool) -> DataFrame:
-    """Status, count and address text per group of met entries.
+def _signature(keys: Column) -> Column:
+    return F.array_join(F.array_sort(keys), "\u0001")
+
+
+def _finish(rows: DataFrame, verdicts: DataFrame, group: str, columns: Sequence[str], miss: str) -> DataFrame:
+    return keyed_join(rows, verdicts, [group]).select(
+        *[as_column(c) for c in columns],
+        F.coalesce("address_status", F.lit(miss)).alias("address_status"),
+        F.coalesce("address_count", F.lit(0)).alias("address_count"),
+        F.coalesce("addresses_found", F.lit("")).alias("addresses_found"),
+    )
+
 
-    People are counted first, over distinct (group, npi, middle); addresses are gathered only for groups that are one
-    person, so a frequent name shared by many people never collects its addresses.
+def _judge(groups: DataFrame, table: DataFrame, group: str, by_norm: bool) -> DataFrame:
+    """Status, count and address text per distinct group of keys.
+
+    The people behind a group are found first, over distinct (key, npi, middle). Only groups that are one person meet
+    the addresses, so a frequent name shared by many people never multiplies or collects its addresses.
     """
-    people = (
-        met.groupBy(group, "npi", "middle")
-        .agg(F.count(F.lit(1)).alias("entries"))
-        .groupBy(group)
-        .agg(
-            F.array_sort(F.collect_set(F.nullif("npi", F.lit("")))).alias("npis"),
-            F.size(F.collect_set(F.nullif("middle", F.lit("")))).alias("middles"),
-        )
+    keys = groups.select(group, F.explode(F.split(group, "\u0001")).alias("key")).where("key <> ''")
+    persons = table.select("key", "npi", "middle").distinct()
+    people = keyed_join(persons, keys, ["key"], "inner").groupBy(group).agg(
+        F.array_sort(F.collect_set(F.nullif("npi", F.lit("")))).alias("npis"),
+        F.size(F.collect_set(F.nullif("middle", F.lit("")))).alias("middles"),
     )
     several = (F.size("npis") > 1) | (F.col("middles") > 1)
-    calm = keyed_join(met, people.where(~several).select(group), [group], "left_semi")
+    calm = keyed_join(keys, people.where(~several).select(group), [group], "left_semi")
+    met = keyed_join(table, calm, ["key"], "inner")
     if by_norm:
         longest = F.struct((-F.length("raw")).alias("len"), F.col("at"))
-        slots = calm.groupBy(group, "norm").agg(F.min("at").alias("at"), F.min_by("raw", longest).alias("raw"))
+        slots = met.groupBy(group, "norm").agg(F.min("at").alias("at"), F.min_by("raw", longest).alias("raw"))
     else:
-        slots = calm.groupBy(group, "raw").agg(F.min("at").alias("at"), F.min_by("norm", "at").alias("norm"))
+        slots = met.groupBy(group, "raw").agg(F.min("at").alias("at"), F.min_by("norm", "at").alias("norm"))
     addresses = slots.groupBy(group).agg(
         F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("raws"), F.count_distinct("norm").alias("norms")
     )
@@ -107,25 +118,6 @@ def _verdicts(met: DataFrame, group: str, by_norm: bool) -> DataFrame:
     )
 
 
-def _signature(keys: Column) -> Column:
-    return F.array_join(F.array_sort(keys), "\u0001")
-
-
-def _finish(rows: DataFrame, verdicts: DataFrame, group: str, columns: Sequence[str], miss: str) -> DataFrame:
-    return keyed_join(rows, verdicts, [group]).select(
-        *[as_column(c) for c in columns],
-        F.coalesce("address_status", F.lit(miss)).alias("address_status"),
-        F.coalesce("address_count", F.lit(0)).alias("address_count"),
-        F.coalesce("addresses_found", F.lit("")).alias("addresses_found"),
-    )
-
-
-def _judge(groups: DataFrame, table: DataFrame, group: str, by_norm: bool) -> DataFrame:
-    """Judge each distinct group of keys against the per-key entries."""
-    keys = groups.select(group, F.explode(F.split(group, "\u0001")).alias("key")).where("key <> ''")
-    return _verdicts(keyed_join(table, keys, ["key"], "inner"), group, by_norm)
-
-
 def address_status(
     mailing: DataFrame,
     refs: DataFrame,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook import fixed_values as fv
-from rollbook.functions.text import as_column, filled, let, strip
+from rollbook.functions.text import as_column, collapse, filled, let, strip
 
 # a lesson line that may be indented
 LESSON_START = r"^\s*" + fv.LESSON_LINE[1:]
@@ -104,8 +104,7 @@ def _lessons(content: Column, starts: Column) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """White space collapsed, then split where a sentence ends and a capital follows; abbreviations do not end one."""
-    flat = F.trim(F.regexp_replace(filled(c), r"(?U)\s+", " "))
-    return F.filter(F.split(flat, "(?U)" + fv.SENTENCE_BREAK), lambda s: s != "")
+    return F.array_remove(F.split(collapse(filled(c)), "(?U)" + fv.SENTENCE_BREAK), "")
 
 
 def chunk_spans(lengths: Sequence[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
