@@ -8,6 +8,7 @@ from rollbook import fixed_values as fv
 from rollbook.operators import retrieval as ops
 from rollbook.plans import sql
 from rollbook.plans.inputs import course_documents, messages, table
+from rollbook.scale import dealt
 
 QUERIES = {}
 SQL = {}
@@ -73,14 +74,14 @@ def _chunks(spark, sf_dir):
 
 @query("h2_chunk_text")
 def _chunk_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ops.chunk_text("text")).alias("chunk_index", "content"))
+    rows = dealt(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(ops.chunk_text("text")).alias("chunk_index", "content"))
     return rows
 
 
 # every sentence begins or ends where the flat text says so: the sentence texts in order give the flat text back
 @query("h2_sentences", "select doc_id, length(" + sql.norm("text").replace("lower(", "(") + ") as n_chars from documents")
 def _sentences(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", ops.sentences("text").alias("s"))
+    found = dealt(table(spark, sf_dir, "documents")).select("doc_id", ops.sentences("text").alias("s"))
     return found.select("doc_id", F.length(F.array_join("s", " ")).cast("long").alias("n_chars"))
 
 

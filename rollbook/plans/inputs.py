@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.scale import dealt
+
 
 def _pick(selector: str, *values: str) -> str:
     cases = " ".join(f"when {i} then {v}" for i, v in enumerate(values[:-1]))
@@ -213,11 +215,11 @@ def _derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(table(spark, sf_dir, "part"), PEOPLE)
+    return _derive(dealt(table(spark, sf_dir, "part")), PEOPLE)
 
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(table(spark, sf_dir, "customer"), BOARD)
+    return _derive(dealt(table(spark, sf_dir, "customer")), BOARD)
 
 
 def survey_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +235,7 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def course_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(table(spark, sf_dir, "documents"), COURSES)
+    return _derive(dealt(table(spark, sf_dir, "documents")), COURSES)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,18 @@ def is_small(df: DataFrame) -> bool:
     return source_bytes(df) <= limit
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal a small input that arrives in fewer partitions than there are cores over all of them.
+
+    A small file with one row group is one task, however costly the columns derived from it are. Large inputs come in
+    many splits already and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not is_small(df) or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def _fits_broadcast(df: DataFrame) -> bool:
     """True when Catalyst itself would broadcast this side."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
