@@ -149,7 +149,7 @@ def write_tables(
 def read_documents(spark: SparkSession, path: str, suffixes: Sequence[str] = (".txt",)) -> DataFrame:
     """Whole text files as (file_name, text); undecodable bytes and a byte-order mark are dropped."""
     pattern = "{" + ",".join(f"*{s}" for s in suffixes) + "}"
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
     clean = F.regexp_replace(F.make_valid_utf8("value"), "�", "")
     text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(clean)
     return raw.select(

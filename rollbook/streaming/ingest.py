@@ -67,6 +67,6 @@ def ingest_stream(
 def document_stream(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt",)) -> DataFrame:
     """Whole text files arriving in a folder as (file_name, text)."""
     pattern = "{" + ",".join(f"*{s}" for s in suffixes) + "}"
-    raw = spark.readStream.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    raw = spark.readStream.text(path, wholetext=True, pathGlobFilter=pattern)
     text = F.regexp_replace(F.make_valid_utf8("value"), "^﻿", "")
     return raw.select(F.col("_metadata.file_name").alias("file_name"), text.alias("text"))
