@@ -51,7 +51,7 @@ def clean(
     order_by: str = "_ord",
     blank_is_key: bool = False,
 ) -> DataFrame:
-    """Normalise, keep active rows, keep the first row per key, sort by the keys that exist.
+    """Normalise, keep active rows, keep the first row per key, sort by the keys that exist (`()` for no sort).
 
     In npi mode rows without NPI all stay, unless `blank_is_key` asks for blank to count as one value.
     """
@@ -63,7 +63,7 @@ def clean(
     keys = [] if dedup_on == "none" else _dedup_keys(rows, dedup_on)
     if keys:
         rows = dedup_first(rows, keys, order_by, blank_is_key=blank_is_key or dedup_on != "npi")
-    return sort_rows(rows, sort_keys or fv.NAME_SORT, order_by)
+    return sort_rows(rows, fv.NAME_SORT if sort_keys is None else sort_keys, order_by)
 
 
 def sort_rows(

@@ -124,50 +124,57 @@ def chunk_spans(lengths: Sequence[int], size: int, overlap: int) -> Iterator[tup
         start = max(tail, start + 1)
 
 
-def chunk_text(text: Column | str, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> Column:
-    """Array of chunks of a text."""
+def _pack(size: int, overlap: int):
+    """Arrow function: sentences of several texts to chunks of each text."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pack(parts: pd.Series) -> pd.Series:
-        def chunks(row) -> list[str]:
-            found = [] if row is None else list(row)
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def pack(texts: pd.Series) -> pd.Series:
+        def chunks(found: list[str]) -> list[str]:
             return [" ".join(found[i:j]) for i, j in chunk_spans([len(s) for s in found], size, overlap)]
 
-        return parts.map(chunks)
+        return texts.map(lambda row: [] if row is None else [chunks(list(t)) for t in row])
+
+    return pack
 
-    return pack(sentences(text))
+
+def chunk_text(text: Column | str, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> Column:
+    """Array of chunks of a text."""
+    return F.get(_pack(size, overlap)(F.array(sentences(text))), F.lit(0))
 
 
-def course_chunks(courses: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
-    """(course_title, lesson_number, chunk_index, content) of parsed courses.
+def numbered_chunks(courses: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
+    """(course_title, lesson_number, chunk_index, content, chunk_id) of parsed courses with unique titles.
 
     The first chunk of a lesson is introduced by "Lesson N content:"; every chunk of a course's last lesson by
-    "Course T Lesson N content:". Courses without lessons give plain chunks of the body.
+    "Course T Lesson N content:". Courses without lessons give plain chunks of the body. A course is one row until its
+    chunks are numbered, so neither texts nor chunks are shuffled.
     """
-    body = F.array(
-        F.struct(
-            F.lit(None).cast("int").alias("lesson_number"), F.lit("").alias("title"),
-            F.lit(None).cast("string").alias("lesson_link"), F.col("body").alias("text"),
-        )
-    )
-    count = F.size("lessons")
-    parts = F.when(count > 0, F.col("lessons")).when(F.col("body") != "", body)
-    rows = courses.select(F.col("title").alias("course_title"), count.alias("n"), F.posexplode(parts).alias("at", "part"))
-    rows = rows.select(
-        "course_title", "n", "at", "part.lesson_number", chunk_text(F.col("part.text"), size, overlap).alias("chunks")
+    no_number = F.lit(None).cast("int")
+    parts = F.when(
+        F.size("lessons") > 0,
+        F.transform("lessons", lambda x: F.struct(x["lesson_number"].alias("number"), x["text"].alias("text"))),
+    ).otherwise(F.array(F.struct(no_number.alias("number"), F.col("body").alias("text"))))
+    rows = courses.select("title", F.size("lessons").alias("n"), parts.alias("parts"))
+    packed = _pack(size, overlap)(F.transform("parts", lambda x: sentences(x["text"])))
+    rows = rows.select("title", "n", F.transform("parts", lambda x: x["number"]).alias("numbers"), packed.alias("packed"))
+
+    def introduced(chunks: Column, at: Column) -> Column:
+        number = F.get("numbers", at)
+        text = number.cast("string")
+        last = F.concat(F.lit("Course "), F.col("title"), F.lit(" Lesson "), text, F.lit(" content: "))
+        head = F.concat(F.lit("Lesson "), text, F.lit(" content: "))
+
+        def content(chunk: Column, i: Column) -> Column:
+            lead = F.when(F.col("n") == 0, "").when(at == F.col("n") - 1, last).when(i == 0, head).otherwise("")
+            return F.struct(number.alias("lesson_number"), F.concat(lead, chunk).alias("content"))
+
+        return F.transform(chunks, content)
+
+    every = F.flatten(F.transform("packed", introduced))
+    exploded = rows.select(F.col("title").alias("course_title"), F.posexplode(every).alias("chunk_index", "c"))
+    return exploded.select(
+        "course_title", "c.lesson_number", "chunk_index", "c.content", chunk_ids("course_title", "chunk_index").alias("chunk_id")
     )
-    # a course is one row again after this, so chunk numbers need no window
-    rows = rows.select("*", F.posexplode("chunks").alias("i", "chunk"))
-    number = F.col("lesson_number").cast("string")
-    last = F.concat(F.lit("Course "), "course_title", F.lit(" Lesson "), number, F.lit(" content: "), "chunk")
-    head = F.concat(F.lit("Lesson "), number, F.lit(" content: "), "chunk")
-    content = (
-        F.when(F.col("n") == 0, F.col("chunk"))
-        .when(F.col("at") == F.col("n") - 1, last)
-        .when(F.col("i") == 0, head)
-        .otherwise(F.col("chunk"))
-    )
-    return rows.select("course_title", "lesson_number", "at", "i", content.alias("content"))
 
 
 # --- catalog and ingestion ---------------------------------------------------------------------
@@ -212,14 +219,6 @@ def ingest(
     return build_catalog(fresh, order_by), numbered_chunks(fresh, size, overlap)
 
 
-def numbered_chunks(courses: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
-    """`course_chunks` with chunk_index counted through the course and the chunk id. Titles must be unique."""
-    chunks = course_chunks(courses, size, overlap)
-    index = F.row_number().over(Window.partitionBy("course_title").orderBy("at", "i")) - 1
-    numbered = chunks.select("course_title", "lesson_number", index.alias("chunk_index"), "content")
-    return numbered.withColumn("chunk_id", chunk_ids("course_title", "chunk_index"))
-
-
 def course_link(catalog: DataFrame, title: str) -> DataFrame:
     return catalog.where(F.col("title") == title).select("title", "course_link")
 
@@ -237,7 +236,8 @@ def lesson_links(catalog: DataFrame) -> DataFrame:
 
 # --- search ------------------------------------------------------------------------------------
 
-QUERY_BATCH_BYTES = 64 << 20
+QUERY_BATCH_BYTES = 4 << 20  # vectors of one batch of queries, held by every task
+CELLS = 4 << 20  # distances held at a time
 PLACES = 12  # distances are rounded to this many places, so that equal vectors tie whatever the order of summation
 
 
@@ -289,6 +289,24 @@ def search(
     return ranked.select(query_id, "rank", chunk_id, "distance")
 
 
+def k_smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the k smallest distances with their ids, ties to the smaller id."""
+    if d.shape[1] > k:
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        near = d <= limit
+        counts = near.sum(axis=1)
+        if (counts == k).all():
+            picked = np.nonzero(near)[1].reshape(-1, k)
+        else:  # somewhere the k-th distance is shared
+            picked = np.argsort(~near, axis=1, kind="stable")[:, : int(counts.max())]
+        d = np.where(np.take_along_axis(near, picked, 1), np.take_along_axis(d, picked, 1), np.inf)
+        ids = np.take_along_axis(ids, picked, 1)
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    d, ids = np.take_along_axis(d, by_id, 1), np.take_along_axis(ids, by_id, 1)
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def _score(chunks, batch, k, chunk_id, query_id, vector, filters, metric, schema) -> DataFrame:
     if batch.empty:
         return chunks.sparkSession.createDataFrame([], schema)
@@ -309,61 +327,35 @@ def _score(chunks, batch, k, chunk_id, query_id, vector, filters, metric, schema
         squares = (points**2).sum(axis=1)[:, None] + (block**2).sum(axis=1)[None, :]
         return np.round(np.maximum(squares - 2 * dots, 0), PLACES)
 
-    def keep_nearest(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best columns per row, ties by id."""
-        by_id = np.argsort(ids, axis=1, kind="stable")
-        d, ids = np.take_along_axis(d, by_id, 1), np.take_along_axis(ids, by_id, 1)
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+    block_rows = max(1, CELLS // len(points))
 
-    def nearest(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+    def blocks(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            if not table.num_rows:
-                continue
+            for start in range(0, table.num_rows, block_rows):
+                yield table.slice(start, block_rows)
+
+    def nearest(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_d, kept_ids = np.empty((len(points), 0)), None
+        for table in blocks(tables):
             ids = table.column(chunk_id).to_numpy(zero_copy_only=False)
-            by_id = np.argsort(ids, kind="stable")
             block = np.stack(table.column(vector).to_numpy(zero_copy_only=False)).astype("float64")
             d = distances(block)
             for f, values in conditions:
                 own = np.array(table.column(f).to_pylist(), dtype=object)
                 d[~(pd.isna(values)[:, None] | (values[:, None] == own[None, :]))] = np.inf
-            d, ids = d[:, by_id], ids[by_id]
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            d, ids = np.take_along_axis(d, order, 1), ids[order]
-            kept = (d, ids) if kept is None else keep_nearest(np.hstack([kept[0], d]), np.hstack([kept[1], ids]))
-        if kept is not None:
-            d, ids = kept
-            real = np.isfinite(d)
-            owner = np.broadcast_to(names[:, None], d.shape)
-            found = pd.DataFrame({query_id: owner[real], chunk_id: ids[real], "distance": d[real]})
+            ids = np.broadcast_to(ids, d.shape)
+            if kept_ids is not None:
+                d, ids = np.hstack([kept_d, d]), np.hstack([kept_ids, ids])
+            kept_d, kept_ids = k_smallest(d, ids, k)
+        if kept_ids is not None:
+            real = np.isfinite(kept_d)
+            owner = np.broadcast_to(names[:, None], kept_d.shape)
+            found = pd.DataFrame({query_id: owner[real], chunk_id: kept_ids[real], "distance": kept_d[real]})
             yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     return rows.mapInArrow(nearest, schema)
 
 
-def approximate_search(
-    chunks: DataFrame, queries: DataFrame, k: int = fv.TOP_K, bucket_length: float = 0.5, tables: int = 8,
-    chunk_id: str = "chunk_id", query_id: str = "query_id", vector: str = "embedding", max_dist: float = 10.0,
-) -> DataFrame:
-    """Opt-in approximate variant by random-projection buckets; it may miss neighbours. Distance is squared L2."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    a = queries.select(F.col(query_id), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    b = chunks.select(F.col(chunk_id), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=7
-    ).fit(b)
-    near = model.approxSimilarityJoin(a, b, max_dist, "d").select(
-        F.col(f"datasetA.{query_id}").alias(query_id), F.col(f"datasetB.{chunk_id}").alias(chunk_id),
-        (F.col("d") * F.col("d")).alias("distance"),
-    )
-    order = Window.partitionBy(query_id).orderBy("distance", chunk_id)
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(query_id, "rank", chunk_id, "distance")
-
-
 def resolve_title(
     catalog: DataFrame, queries: DataFrame, title: str = "title", query_id: str = "query_id", vector: str = "embedding",
     metric: str = "l2", max_dist: float | None = None,

@@ -67,12 +67,49 @@ def _bodies(spark, sf_dir):
     return courses(spark, sf_dir).select("file_name", F.size("lessons").alias("lessons"), F.md5("body").alias("body_md5"))
 
 
-@query("h2_course_chunks")
+def chunk_ctes(source: str, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> dict[str, str]:
+    """CTEs that end in chunk(k, i, e, content): chunks of a source (k, text), by recursion over their start sentences.
+
+    A break is marked wherever a sentence end meets a capital, and taken back after an abbreviation.
+    """
+    word = "[\\p{L}\\p{N}_]"
+    flat = f"trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+    marked = f"regexp_replace({flat}, '([.!?]) ([A-Z])', '\\1' || chr(1) || '\\2', 'g')"
+    kept = f"regexp_replace({marked}, '({word}\\.{word}.|[A-Z][a-z]\\.)' || chr(1), '\\1 ', 'g')"
+    return {
+        "sent": f"select k, list_filter(string_split({kept}, chr(1)), lambda x: x <> '') as s from {source}",
+        "each": "select k, i, length(s[i]) + 1 as n from (select k, s, unnest(generate_series(1, len(s))) as i from sent)",
+        "ends": "select k, list_prepend(0, list(total order by i)) as ends from (select k, i, sum(n) over (partition by k order by i) as total from each) group by k",
+        "span": f"select k, i, ends, greatest(i + 1, list_max(list_filter(generate_series(0, len(ends) - 1), lambda j: ends[j + 1] <= ends[i + 1] + {size + 1}))) as e "
+                "from (select k, ends, unnest(generate_series(0, len(ends) - 2)) as i from ends)",
+        "step": f"select k, i, e, greatest(i + 1, coalesce(list_min(list_filter(generate_series(i, e - 1), lambda t: ends[e + 1] - ends[t + 1] - 1 <= {overlap})), e)) as nxt from span",
+        "chain": "select k, cast(0 as bigint) as i from ends union all select c.k, st.nxt from chain c join step st on st.k = c.k and st.i = c.i join ends on ends.k = c.k where st.nxt < len(ends.ends) - 1",
+        "chunk": "select c.k, c.i, st.e, array_to_string(sent.s[c.i + 1:st.e], ' ') as content from chain c join step st on st.k = c.k and st.i = c.i join sent on sent.k = c.k",
+    }
+
+
+_LESSON_TEXTS = {
+    **PARSED,
+    "fd": "select title, min(_ord) as _ord from h group by title",
+    "texts": "select _ord * 1000 + pos as k, text from kept where _ord in (select _ord from fd) union all "
+             f"select _ord * 1000, {sql.strip('array_to_string(lines[start:], chr(10))')} from h where _ord in (select _ord from fd) and _ord not in (select _ord from kept)",
+}
+
+
+@query("h2_course_chunks", sql.with_inputs(
+    "docs",
+    "select title as course_title, lesson_number, cast(row_number() over (partition by title order by k, i) - 1 as integer) as chunk_index, replace(title, ' ', '_') || '_' || "
+    "(row_number() over (partition by title order by k, i) - 1) as chunk_id, case when lesson_number is null then '' when k = last_k then 'Course ' || title || ' Lesson ' || lesson_number || ' content: ' "
+    "when i = 0 then 'Lesson ' || lesson_number || ' content: ' else '' end || content as content from (select c.*, h.title, x.lesson_number, max(c.k) over (partition by h.title) as last_k from chunk c "
+    "join h on h._ord = c.k // 1000 left join kept x on x._ord = c.k // 1000 and x.pos = c.k % 1000)",
+    **_LESSON_TEXTS, **chunk_ctes("texts")).replace("with docs", "with recursive docs", 1))
 def _chunks(spark, sf_dir):
     return ops.numbered_chunks(ops.new_courses(courses(spark, sf_dir), None))
 
 
-@query("h2_chunk_text")
+@query("h2_chunk_text", "with recursive " + ", ".join(
+    f"{n} as ({q})" for n, q in {"src": "select doc_id as k, text from documents", **chunk_ctes("src")}.items())
+    + " select k as doc_id, cast(row_number() over (partition by k order by i) - 1 as integer) as chunk_index, content from chunk")
 def _chunk_text(spark, sf_dir):
     rows = dealt(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(ops.chunk_text("text")).alias("chunk_index", "content"))
     return rows
@@ -170,11 +207,6 @@ def _search_cosine(spark, sf_dir):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
-@query("h5_search_approximate")
-def _search_approximate(spark, sf_dir):
-    return ops.approximate_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
-
-
 _HITS = f"with pairs as ({_PAIRS}), hits as ({_top(3, 'ql = 0 or label = ql')})"
 
 

@@ -21,7 +21,8 @@ def session_history_stream(
     """(session_id, turn, history) after every batch that touches a session.
 
     `messages` needs session_id (string), turn, role, content and an event time `ts`. State holds the last 2n lines of
-    a session; it is dropped when the watermark passes the session's last message by `keep_minutes`.
+    a session; it is dropped when the watermark passes the session's last message by `keep_minutes`. Every Arrow batch
+    is cut to the last 2n messages per session before the shuffle, so a busy session does not flood its task.
     """
     size = 2 * n
 
@@ -45,8 +46,18 @@ def session_history_stream(
             {"session_id": [key[0]], "turn": [kept[-1][0]], "history": ["\n".join(line for _, line in kept)]}
         )
 
+    def latest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            last = batch.sort_values("turn", kind="stable").groupby("session_id").tail(size)
+            # the newest message keeps the newest time of its session, which drives watermark and expiry
+            newest = batch.groupby("session_id")["ts"].max()
+            is_last = ~last["session_id"].duplicated(keep="last")
+            yield last.assign(ts=last["ts"].where(~is_last, last["session_id"].map(newest)))
+
+    columns = messages.select("session_id", "turn", "role", "content", "ts")
+    reduced = columns.mapInPandas(latest, columns.schema)
     return (
-        messages.withWatermark("ts", watermark)
+        reduced.withWatermark("ts", watermark)
         .groupBy("session_id")
         .applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
     )
