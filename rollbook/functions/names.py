@@ -142,6 +142,13 @@ def _last_first_keys(last: Column, first: Column, initials: bool) -> list[Column
     return keys
 
 
+def last_first_keys(last: Column | str, first: Column | str, initials: bool = True) -> Column:
+    """Ranked keys of a last and a first name: whole first name, first token, marked initial."""
+    parts = F.struct(clean_name(last, long=True).alias("l"), clean_name(first, long=True).alias("f"))
+    keys = let(parts, lambda x: F.array(*_last_first_keys(x["l"], x["f"], initials)))
+    return F.array_distinct(F.array_compact(keys))
+
+
 def mixed_name_keys(a: Column | str, b: Column | str, initials: bool = False) -> Column:
     """Keys for columns that hold either (last, first) or (first, full name); exact keys come before initials.
 

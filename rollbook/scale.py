@@ -150,6 +150,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/rollbook/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the plan between phases that each join a table with something computed from itself; without it the plan doubles
+    with every phase. Unlike a checkpoint the result has a known size and can be read column by column.
+    """
+    where = scratch_path(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
