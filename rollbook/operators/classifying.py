@@ -14,7 +14,7 @@ from rollbook.functions.addresses import norm_addr
 from rollbook.functions.names import fullname_variants, name_variants
 from rollbook.functions.text import as_column, filled, norm, zip5
 from rollbook.operators.cleaning import in_states
-from rollbook.scale import keyed_join
+from rollbook.scale import keyed_join, reused
 
 AddressSet = tuple[str, str | None, str | None, str | None]
 
@@ -134,7 +134,7 @@ def address_status(
     address|city|zip, raw and abbreviated (`multi` profile).
     """
     entries = _entries(refs, ref_names, ref_sets, ref_npi, ref_middle, order_by, "multi", None)
-    table = _per_key(entries.withColumn("name", F.explode("names")), F.col("name"))
+    table = reused(_per_key(entries.withColumn("name", F.explode("names")), F.col("name")), "address-keys")
     rows = mailing.withColumn("__group", F.nullif(_signature(names), F.lit("")))
     groups = rows.select("__group").where("__group is not null").distinct()
     return _finish(rows, _judge(groups, table, "__group", False), "__group", mailing.columns, "not_in_originals")
@@ -165,14 +165,16 @@ def address_status_round2(
     )
     number = norm(npi) if npi else F.lit("")
     rows = mailing.withColumn("__npi", F.when(number != "", F.concat(F.lit("npi:"), number)))
-    known = by_npi.select(F.col("key").alias("__npi")).distinct().withColumn("__known", F.lit(True))
+    table = reused(by_npi.unionByName(by_name), "address-keys")
+    known = table.where(F.col("key").startswith("npi:")).select(F.col("key").alias("__npi")).distinct()
+    known = known.withColumn("__known", F.lit(True))
     rows = keyed_join(rows, known, ["__npi"])
     signature = _signature(F.transform(F.filter(names, lambda k: k != ""), lambda k: F.concat(F.lit("name:"), k)))
     rows = rows.withColumn(
         "__group", F.when(F.col("__known"), F.col("__npi")).otherwise(F.nullif(signature, F.lit("")))
     )
     groups = rows.select("__group").where("__group is not null").distinct()
-    verdicts = _judge(groups, by_npi.unionByName(by_name), "__group", True)
+    verdicts = _judge(groups, table, "__group", True)
     done = _finish(rows, verdicts, "__group", [*mailing.columns, "__known"], "not_in_gold")
     method = F.when(F.col("address_status") == "not_in_gold", "none").when(F.col("__known"), "npi").otherwise("name")
     return done.withColumn("_match_method", method).drop("__known")

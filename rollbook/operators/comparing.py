@@ -11,7 +11,7 @@ from rollbook.functions.credentials import first_credential, norm_credential
 from rollbook.functions.names import name_key, name_key_mid
 from rollbook.functions.text import as_column, filled, norm, strip, zip5
 from rollbook.operators.reporting import consolidate
-from rollbook.scale import keyed_join
+from rollbook.scale import keyed_join, reused
 
 
 def name_verdicts(npi: DataFrame, mn: DataFrame) -> DataFrame:
@@ -62,10 +62,11 @@ def compare(
             }
         )
 
-    left, right = keyed(npi, "NPI"), keyed(consolidate(mn, order_by=order_by), "MN")
+    left, right = keyed(npi, "NPI"), reused(keyed(consolidate(mn, order_by=order_by), "MN"), "compare-board")
     verdicts = name_verdicts(left, right)
-    left = keyed_join(left, verdicts, ["_match_key"])
-    right = keyed_join(right, verdicts, ["_match_key"])
+    # every output reads both, so large ones are written once
+    left = reused(keyed_join(left, verdicts, ["_match_key"]), "compare-left")
+    right = reused(keyed_join(right, verdicts, ["_match_key"]), "compare-right")
 
     def pick(verdict: str, kind: str | None = None) -> DataFrame:
         both = left.where(F.col("__verdict") == verdict).unionByName(

@@ -161,6 +161,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(where)
 
 
+def reused(df: DataFrame, name: str) -> DataFrame:
+    """A table that several branches of a plan read: stored once when it is large, recomputed when it is small."""
+    return df if is_small(df) else stored(df, name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
