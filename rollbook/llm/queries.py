@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import media, packing, simhash
+from rollbook.llm import language, media, ngram_trie, packing, quality, sentencepieces, simhash, token_files, toxicity
+from rollbook.llm.shared import fold
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 END_ID = 1
 
 
@@ -29,14 +31,60 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), end_id=END_ID).withColumnRenamed("id", "doc_id")
 
 
+def op3_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as id files in the order of doc_id, found again through the perfect hash index."""
+    docs = documents(spark, sf_dir)
+    files = token_files.write(docs, public_tokenizers.path(WORD_TOKENIZER), end_id=END_ID)
+    return files.read(docs, "doc_id").withColumnRenamed("key", "doc_id")
+
+
+def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all texts, learned from labelled documents outside fold 0 of 5."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learned = fold("doc_id", 5) != 0
+    model = toxicity.fit_documents(docs.filter(learned), labels.filter(learned))
+    scored = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), toxicity.toxicity(model, "text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all texts and the verdict of the voting rules."""
+    judged = quality.judge(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*base, "quality")
+
+
 def op6_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the smallest doc_id each one reaches over links of up to 4 bits."""
     found = simhash.near_copies(documents(spark, sf_dir), words=4, bits=4)
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op8_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all texts, learned from documents outside fold 2 of 4."""
+    docs = documents(spark, sf_dir)
+    model = language.fit_documents(docs.filter(fold("doc_id", 4) != 2))
+    judged = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), language.language(model, "text").alias("r"))
+    return judged.select("doc_id", "held_out", "r.*")
+
+
+def op9_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded and decoded with the SentencePiece model, with agreement of both libraries."""
+    coded = sentencepieces.round_trip(public_tokenizers.path(PIECE_MODEL), "text")
+    return documents(spark, sf_dir).select("doc_id", coded.alias("r")).select("doc_id", "r.*")
+
+
+def op10_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all texts, learned from documents outside fold 1 of 5."""
+    docs = documents(spark, sf_dir)
+    trie = ngram_trie.train(docs.filter(fold("doc_id", 5) != 1))
+    scored = docs.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), ngram_trie.score(trie, "text").alias("r"))
+    tokens = F.lit(trie.tokens).cast("long").alias("train_tokens")
+    return scored.select("doc_id", "held_out", "r.n_tokens", "r.n_known", tokens, "r.base_score", "r.score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_gif_media, op2_best_fit_packing, op6_simhash_copies)
+    found = (op1_gif_media, op2_best_fit_packing, op3_perfect_hash_files, op4_compression_toxicity, op5_weak_supervision, op6_simhash_copies, op8_kneser_ney_language, op9_piece_round_trip, op10_ngram_trie_scores)
     return {f.__name__: f for f in found}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,11 +82,71 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of each run of `values`; empty runs give 0."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    total = np.zeros(len(offsets) - 1)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        total[full] = np.add.reduceat(np.asarray(values, np.float64), offsets[full])
+    return total
 
 
 def fold(id_column: str | Column, folds: int) -> Column:
     """crc32 of the id's decimal text modulo `folds`; a null id is in fold 0."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
+
+
+def letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As `words_of`, for lower-cased runs of letters."""
+    return words_of(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " "))
+
+
+def hashed_share(column: str | Column, share: Column) -> Column:
+    """True for a share (0 to 1) of the rows, fixed by the column's hash."""
+    return F.pmod(F.xxhash64(F.lit("share"), F.col(column) if isinstance(column, str) else column), F.lit(1 << 30)) < share * (1 << 30)
+
+
+MAGIC = b"ARRAYS01"
+
+
+def write_file(uri: str, parts: list[bytes | memoryview]) -> None:
+    """Write a file under a name of its own and move it into place, so that a repeated task leaves one whole file."""
+    files, path = file_system(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    with files.open_output_stream(draft) as out:
+        for part in parts:
+            out.write(part)
+    files.move(draft, path)
+
+
+def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """Several arrays as one file: a header in JSON, then each array at a multiple of 64 bytes."""
+    spec, at, parts = {}, 0, []
+    for name, array in arrays.items():
+        data = np.ascontiguousarray(array)
+        spec[name] = (data.dtype.str, data.shape, at)
+        fill = -data.nbytes % 64
+        parts += [data.tobytes(), bytes(fill)]
+        at += data.nbytes + fill
+    head = json.dumps(spec).encode()
+    head += b" " * (-(len(head) + 16) % 64)
+    write_file(uri, [MAGIC, len(head).to_bytes(8, "little"), head, *parts])
+
+
+def open_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of a file: memory-mapped where the shared folder is mounted, else read once."""
+    files, path = file_system(uri)
+    if isinstance(files, fs.LocalFileSystem):
+        data = np.memmap(path, np.uint8, "r")
+    else:
+        with files.open_input_stream(path) as file:
+            data = np.frombuffer(file.read(), np.uint8)
+    if bytes(data[:8]) != MAGIC:
+        raise ValueError(f"{uri} is no array file")
+    size = int.from_bytes(bytes(data[8:16]), "little")
+    out = {}
+    for name, (kind, shape, at) in json.loads(bytes(data[16 : 16 + size])).items():
+        count = int(np.prod(shape))
+        begin = 16 + size + at
+        out[name] = data[begin : begin + count * np.dtype(kind).itemsize].view(kind).reshape(shape)
+    return out

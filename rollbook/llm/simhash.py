@@ -145,7 +145,7 @@ def _grid_links(distinct: DataFrame, bits: int, groups: int, cell_rows: int) ->
             edges = np.concatenate([pairs, np.array(found, np.int64).reshape(-1, 2)])
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
-    members = spread.join(small.select("cell"), "cell").groupBy("cell").agg(F.collect_list("fp").alias("members"))
+    members = spread.join(small.select("cell").hint("merge"), "cell").groupBy("cell").agg(F.collect_list("fp").alias("members"))
     links = members.select("members").mapInArrow(verify, "a long, b long")
     crowded = spread.join(large.select("cell"), "cell", "left_semi").select("fp").distinct()
     return links.unionByName(ball_links(crowded, bits))
