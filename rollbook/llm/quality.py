@@ -2,7 +2,8 @@
 
 Rules look at a document's features and vote good (1), bad (-1) or abstain (0). Documents with the same votes count as one
 row, so expectation-maximisation runs over at most 3 ^ rules rows: the E step is a column expression with the present
-accuracies as literals, the M step one aggregate. The posterior probability of good quality replaces all-must-pass.
+accuracies as literals, the M step one aggregate. It learns from documents that pass the base limits (20 words, 30 % of words
+in repeated windows), as the others are out anyway. The posterior probability of good quality replaces all-must-pass.
 
 Null text has no words. Repeated rows come back repeated, a table without rows gives none; columns of the input other than
 id and text are ignored. Two different 8-word windows of a text are taken for equal if their 64-bit hashes meet.
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 from rollbook.llm.shared import stored
 
 WINDOW = 8
-ROUNDS = 25
+ROUNDS = 15
 FIRST_ACCURACY, FIRST_PRIOR = 0.8, 0.8
-LEAST, MOST = 0.5, 0.999
+MOST = 0.999
+#: Weight of the first belief in an accuracy, as a share of all documents.
+HOLD = 0.002
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -81,7 +84,8 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(F.col("n_words") >= 40, F.col("n_words") < 20),
         "word_length": _vote(mean.between(3, 10), (mean < 2) | (mean > 16)),
-        "symbols": _vote(symbols <= 0.05, symbols > 0.2),
+        "symbols": _vote(symbols <= 0.02, symbols > 0.1),
+        "symbol_share": _vote(F.col("n_symbols") / chars <= 0.005, F.col("n_symbols") / chars > 0.03),
         "lines": _vote(lines <= 0.1, lines > 0.3),
         "repeats": _vote(repeats <= 0.1, repeats > 0.3),
         "digits": _vote(digits <= 0.1, digits > 0.3),
@@ -90,33 +94,43 @@ def rules() -> dict[str, Column]:
     }
 
 
-def posterior(accuracies: dict[str, float], prior: float) -> Column:
-    """Probability of good quality, given the votes."""
+def posterior(accuracies: dict[str, tuple[float, float]], prior: float) -> Column:
+    """Probability of good quality, given the votes and each rule's accuracy on good and on bad documents."""
     odds = F.lit(math.log(prior / (1 - prior)))
-    for name, accuracy in accuracies.items():
-        odds = odds + F.col(f"vote_{name}") * F.lit(math.log(accuracy / (1 - accuracy)))
+    for name, (good, bad) in accuracies.items():
+        vote, up, down = F.col(f"vote_{name}"), math.log(good / (1 - bad)), math.log((1 - good) / bad)
+        odds = odds + F.when(vote == 1, up).when(vote == -1, down).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Accuracies of the rules and share of good documents, by expectation-maximisation over vote patterns."""
+def estimate(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, tuple[float, float]], float]:
+    """Accuracies of the rules and share of good documents, by expectation-maximisation over vote patterns.
+
+    Each accuracy starts from, and is held by `HOLD` of all documents to, the belief that rules are mostly right.
+    """
     patterns = stored(votes.groupBy(*[f"vote_{n}" for n in names]).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    accuracies, prior = dict.fromkeys(names, FIRST_ACCURACY), FIRST_PRIOR
+    accuracies, prior = dict.fromkeys(names, (FIRST_ACCURACY, FIRST_ACCURACY)), FIRST_PRIOR
     for _ in range(rounds):
-        good = F.col("good")
-        right = [
-            F.sum(F.when(F.col(f"vote_{n}") == 1, F.col("n") * good).when(F.col(f"vote_{n}") == -1, F.col("n") * (1 - good))).alias(f"right_{n}")
-            for n in names
-        ]
-        cast = [F.sum(F.when(F.col(f"vote_{n}") != 0, F.col("n"))).alias(f"cast_{n}") for n in names]
-        total = [F.sum("n").alias("total"), F.sum(F.col("n") * good).alias("good")]
-        row = patterns.withColumn("good", posterior(accuracies, prior)).agg(*right, *cast, *total).first()
+        good, bad = F.col("n") * F.col("good"), F.col("n") * (1 - F.col("good"))
+        found = [F.sum("n").alias("total"), F.sum(good).alias("good")]
+        for n in names:
+            vote = F.col(f"vote_{n}")
+            found += [F.sum(F.when(vote == 1, good)).alias(f"good_right_{n}"), F.sum(F.when(vote != 0, good)).alias(f"good_cast_{n}")]
+            found += [F.sum(F.when(vote == -1, bad)).alias(f"bad_right_{n}"), F.sum(F.when(vote != 0, bad)).alias(f"bad_cast_{n}")]
+        row = patterns.withColumn("good", posterior(accuracies, prior)).agg(*found).first()
         if not row["total"]:
             break
-        before = [prior, *accuracies.values()]
+        held = HOLD * row["total"]
+
+        def share(kind: str, name: str, row=row, held=held) -> float:  # noqa: ANN001
+            right, cast = row[f"{kind}_right_{name}"] or 0.0, row[f"{kind}_cast_{name}"] or 0.0
+            return min(max((right + held * FIRST_ACCURACY) / (cast + held), 1 - MOST), MOST)
+
+        before = [prior, *(v for pair in accuracies.values() for v in pair)]
         prior = min(max(row["good"] / row["total"], 0.01), 0.99)
-        accuracies = {n: min(max(row[f"right_{n}"] / row[f"cast_{n}"], LEAST), MOST) if row[f"cast_{n}"] else FIRST_ACCURACY for n in names}
-        if max(abs(a - b) for a, b in zip(before, [prior, *accuracies.values()], strict=True)) < 1e-6:
+        accuracies = {n: (share("good", n), share("bad", n)) for n in names}
+        after = [prior, *(v for pair in accuracies.values() for v in pair)]
+        if max(abs(x - y) for x, y in zip(before, after, strict=True)) < 1e-4:
             break
     return accuracies, prior
 
@@ -126,6 +140,6 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     votes = rules()
     table = features(docs, id_column, text_column).select("*", *[v.alias(f"vote_{n}") for n, v in votes.items()])
     table = stored(table, "votes")
-    accuracies, prior = estimate(table, list(votes))
+    accuracies, prior = estimate(table.filter(~F.col("base_failed")), list(votes))
     judged = table.withColumn("quality", posterior(accuracies, prior))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))

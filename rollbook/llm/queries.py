@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import language, media, ngram_trie, packing, quality, sentencepieces, simhash, token_files, toxicity
+from rollbook.llm import language, media, ngram_trie, packing, quality, secrets, sentencepieces, simhash, token_files, toxicity
 from rollbook.llm.shared import fold
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,18 @@ def op6_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all texts: by pattern, and runs that the randomness battery finds."""
+    found = secrets.find(documents(spark, sf_dir))
+    counts = [F.size(f"secret_{kind}").cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(secrets.listed("secret_base").cast("binary"), 256).alias("base_sha256"),
+        secrets.listed("secret_spans").alias("spans"),
+    )
+
+
 def op8_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all texts, learned from documents outside fold 2 of 4."""
     docs = documents(spark, sf_dir)
@@ -84,7 +96,7 @@ def op10_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_gif_media, op2_best_fit_packing, op3_perfect_hash_files, op4_compression_toxicity, op5_weak_supervision, op6_simhash_copies, op8_kneser_ney_language, op9_piece_round_trip, op10_ngram_trie_scores)
+    found = (op1_gif_media, op2_best_fit_packing, op3_perfect_hash_files, op4_compression_toxicity, op5_weak_supervision, op6_simhash_copies, op7_secret_spans, op8_kneser_ney_language, op9_piece_round_trip, op10_ngram_trie_scores)
     return {f.__name__: f for f in found}
 
 
