@@ -34,10 +34,10 @@ from rollbook.llm.shared import new_folder, open_arrays, slices, stored, sums, t
 #: A word never holds a blank, so this is the hash of no word.
 END_HASH = xxhash.xxh64_intdigest(b" ")
 VOCABULARY_BITS = 4
-TOKENS_PER_FILE = 3_000_000
-SLICE = 8 << 20
+TOKENS_PER_FILE = 2_000_000
+SLICE = 4 << 20
 #: Pairs that a counting task gathers before it hands them on.
-HELD_PAIRS = 4_000_000
+HELD_PAIRS = 1_500_000
 WEIGHTS = (0.5, 2.0, 10.0, 50.0, 250.0, 1000.0, 5000.0, 25000.0, 125000.0)
 SCALE = 4096.0
 
@@ -85,6 +85,7 @@ def _counted(texts: DataFrame, keys_of, name: str, files: int = 1) -> DataFrame:
                 keys = keys_of(plain[begin:until])
                 held.append(_count(keys, np.ones(len(keys), np.int64)))
                 size += len(held[-1][0])
+                pa.default_memory_pool().release_unused()
                 if size > HELD_PAIRS:
                     held = [merged()]
                     size = len(held[0][0])
