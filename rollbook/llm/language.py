@@ -14,12 +14,15 @@ without any training row every text is `und`. Repeated rows come back repeated.
 
 from __future__ import annotations
 
+import copy
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import hashed_share, letters_of, slices, sums, text_or_empty
+from rollbook.llm.shared import hashed_share, kept, letters_of, slices, sums, text_or_empty
 
 ORDER = 4
 BITS = 16
@@ -27,7 +30,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Training documents of each language, about, and characters of each.
 DOCS_PER_LANGUAGE = 1000
 FIT_CHARS = 50_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Share of the way from a language's mean cross-entropy to that of random characters that every document may go.
 ROOM = 0.4
 BLANK = 1
@@ -200,8 +203,11 @@ RESULT = "lang_pred string, score double, cross_entropy double, characters long,
 def language(held, column: str | Column) -> Column:  # noqa: ANN001
     """Struct column `RESULT` of a text column; `held` is a broadcast Model."""
 
+    name = uuid.uuid4().hex
+
     def of(texts: pa.Array) -> pa.Array:
-        model, plain = held.value, text_or_empty(texts)
+        # the broadcast holds the tables, the worker's own copy the words as well
+        model, plain = kept("language", name, lambda: copy.copy(held.value)), text_or_empty(texts)
         parts = [model.judge(plain[a:b]) for a, b in slices(plain)]
         best, score, entropy, size = (np.concatenate([np.zeros(0), *(p[i] for p in parts)]) for i in range(4))
         at = best.astype(np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.elias_fano import EliasFano
-from rollbook.llm.shared import new_folder, open_arrays, slices, stored, sums, text_or_empty, words_of, write_arrays
+from rollbook.llm.shared import kept, new_folder, open_arrays, slices, stored, sums, text_or_empty, words_of, write_arrays
 
 #: A word never holds a blank, so this is the hash of no word.
 END_HASH = xxhash.xxh64_intdigest(b" ")
@@ -110,7 +110,7 @@ class Trie:
     weight: float = 0.0
 
     def vocabulary(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return _cached(f"{self.folder}/words", self._vocabulary)
+        return kept(self.folder, "words", self._vocabulary)
 
     def _vocabulary(self) -> list[tuple[np.ndarray, np.ndarray]]:
         parts = [open_arrays(f"{self.folder}/words-{i}") if n else None for i, n in enumerate(np.diff([*self.bases, self.words]))]
@@ -143,24 +143,11 @@ class Trie:
         cuts = np.searchsorted(place[order], np.arange(self.files + 1))
         for number in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[number] : cuts[number + 1]]
-            level = _cached(f"{self.folder}/pairs-{number}", lambda n=number: Level(open_arrays(f"{self.folder}/pairs-{n}")))
+            level = kept(self.folder, f"pairs-{number}", lambda n=number: Level(open_arrays(f"{self.folder}/pairs-{n}")))
             logs[own] = level.find(distinct[own], self.words)
         return logs[back]
 
 
-CACHE: dict[str, object] = {}
-
-
-def _cached(key: str, make):  # noqa: ANN001, ANN202
-    """An opened file of the worker; files of another trie are let go."""
-    folder = key.rpartition("/")[0]
-    if key not in CACHE:
-        for other in [k for k in CACHE if k.rpartition("/")[0] != folder]:
-            del CACHE[other]
-        CACHE[key] = make()
-    return CACHE[key]
-
-
 def file_of(values: np.ndarray, files: int) -> np.ndarray:
     """Which file holds a pair: the leading bits of a product, so neighbouring values are spread."""
     mixed = (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)

@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import slices, text_or_empty
+from rollbook.llm.shared import kept, slices, text_or_empty
 
 MARK = "▁"
 #: Fixed values of the model format: piece kinds and model kinds.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, PAIRS = 1, 2
 THREADS = 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -224,15 +224,14 @@ class Pieces:
         return [o[1:] if self.spec.dummy_prefix and o[:1] == b" " else o for o in out]
 
 
-PIECES: dict[str, Pieces] = {}
-
-
 def pieces(path: str, threads: int = THREADS) -> Pieces:
     """The worker's coder of a model file."""
-    if path not in PIECES:
+
+    def load() -> Pieces:
         with open(path, "rb") as file:
-            PIECES[path] = Pieces(file.read(), threads)
-    return PIECES[path]
+            return Pieces(file.read(), threads)
+
+    return kept("pieces", path, load)
 
 
 def encode(path: str, column: str | Column, threads: int = THREADS) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,3 +153,21 @@ def open_arrays(uri: str) -> dict[str, np.ndarray]:
         begin = 16 + size + at
         out[name] = data[begin : begin + count * np.dtype(kind).itemsize].view(kind).reshape(shape)
     return out
+
+
+#: What the present operator keeps from task to task in a worker.
+KEPT: dict[tuple[str, str], object] = {}
+
+
+def kept(operator: str, key: str, make: Callable[[], object]) -> object:
+    """An object that a worker keeps between tasks; what another operator kept is let go, so a job of many stages needs no
+    more memory than its largest one."""
+    if (operator, key) not in KEPT:
+        if any(other != operator for other, _ in KEPT):
+            KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+        KEPT[operator, key] = make()
+    return KEPT[operator, key]

@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from rollbook.llm.shared import words_of
+from rollbook.llm.shared import kept, words_of
 
 #: Words kept per worker before the cache starts anew; about 200 bytes each.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Pieces that are encoded in one call.
 JOINED = 64
 
@@ -107,11 +107,6 @@ class WordEncoder:
         return np.insert(ids, offsets[1:], end_id).astype("<u4", copy=False), offsets + np.arange(len(offsets))
 
 
-ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of a file."""
-    if path not in ENCODERS:
-        ENCODERS[path] = WordEncoder(path)
-    return ENCODERS[path]
+    return kept("tokens", path, lambda: WordEncoder(path))

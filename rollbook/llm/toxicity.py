@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import letters_of, slices, text_or_empty
+from rollbook.llm.shared import kept, letters_of, slices, text_or_empty
 
 #: Labelled documents that the model is fitted on, at most, and characters of each.
 TOXIC_DOCS = 2000
@@ -37,7 +38,7 @@ LEVEL = 6
 ORDINARY_BYTES = 32_768
 TOXIC_BYTES = 2_048
 TRAILER = b"0x1F=27;{~48}[93]#57"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def _window(word: str) -> bytes:
@@ -186,10 +187,11 @@ def fit_documents(
 def toxicity(model: Model, column: str | Column) -> Column:
     """Score 0 to 1 of a text column."""
 
+    name = uuid.uuid4().hex
+
     def of(texts: pa.Array) -> pa.Array:
-        plain = text_or_empty(texts)
-        return pa.array(np.concatenate([np.zeros(0), *(held.scores(plain[a:b]) for a, b in slices(plain))]))
+        own, plain = kept("toxicity", name, lambda: model), text_or_empty(texts)
+        return pa.array(np.concatenate([np.zeros(0), *(own.scores(plain[a:b]) for a, b in slices(plain))]))
 
-    held = model
     text = F.col(column) if isinstance(column, str) else column
     return F.arrow_udf(of, "double")(text.cast("string"))
