@@ -30,7 +30,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Training documents of each language, about, and characters of each.
 DOCS_PER_LANGUAGE = 1000
 FIT_CHARS = 50_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Share of the way from a language's mean cross-entropy to that of random characters that every document may go.
 ROOM = 0.4
 BLANK = 1

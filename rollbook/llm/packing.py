@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.shared import slices, stored, text_or_empty
-from rollbook.llm.tokens import encoder
+from rollbook.llm.tokens import CACHE_WORDS, encoder
 
 CAPACITY = 2048
 GROUP_PIECES = 65_536
@@ -85,6 +85,7 @@ def pieces(
     end_id: int = 1,
     capacity: int = CAPACITY,
     with_ids: bool = False,
+    cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
     """Pieces of at most `capacity` ids: id, start, length, ids_crc32, doc_tokens and, on request, the ids (binary)."""
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -92,7 +93,7 @@ def pieces(
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_with_end
+        encode = encoder(tokenizer, cache_words).encode_with_end
         for batch in batches:
             texts = text_or_empty(batch.column(1))
             for begin, until in slices(texts):

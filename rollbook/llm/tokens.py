@@ -107,6 +107,6 @@ class WordEncoder:
         return np.insert(ids, offsets[1:], end_id).astype("<u4", copy=False), offsets + np.arange(len(offsets))
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """The worker's encoder of a file."""
-    return kept("tokens", path, lambda: WordEncoder(path))
+    return kept("tokens", path, lambda: WordEncoder(path, cache_words))

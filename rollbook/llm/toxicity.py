@@ -38,7 +38,7 @@ LEVEL = 6
 ORDINARY_BYTES = 32_768
 TOXIC_BYTES = 2_048
 TRAILER = b"0x1F=27;{~48}[93]#57"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def _window(word: str) -> bytes:
