@@ -32,7 +32,9 @@ def exploded_keys(df: DataFrame, kinds: Mapping[str, Column], order_by: str, ext
         return F.transform(
             keys,
             lambda key, at: F.struct(
-                F.lit(kind).alias("kind"), (F.lit(position * 1000) + at).cast("int").alias("rank"), key.alias("key")
+                F.lit(kind).alias("kind"),
+                F.struct(F.lit(position).alias("position"), at.alias("at")).alias("rank"),
+                key.alias("key"),
             ),
         )
 

@@ -243,7 +243,7 @@ PLACES = 12  # distances are rounded to this many places, so that equal vectors
 
 def _query_batches(queries: DataFrame, key: str, vector: str, filters: Sequence[str]) -> Iterator[pd.DataFrame]:
     """Queries in batches whose size on every worker is bounded; a hash of the key splits larger tables."""
-    wanted = queries.select(key, vector, *filters)
+    wanted = queries.select(key, vector, *filters).where(F.col(vector).isNotNull())
     facts = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
     batches = max(1, -(-int(facts["n"]) * int(facts["d"] or 1) * 8 // QUERY_BATCH_BYTES))
     for b in range(batches):
@@ -278,6 +278,7 @@ def search(
             T.StructField("distance", T.DoubleType()),
         ]
     )
+    chunks = chunks.where(F.col(vector).isNotNull())  # without a vector there is no distance
     best = None
     for batch in _query_batches(queries, query_id, vector, filters):
         part = _score(chunks, batch, k, chunk_id, query_id, vector, list(filters), metric, schema)

@@ -23,13 +23,6 @@ ROWS_PER_SALT_CONF = "spark.rollbook.rowsPerSalt"
 DEFAULT_SMALL_BYTES = 64 << 20
 DEFAULT_ROWS_PER_SALT = 2_000_000
 
-# A key holding more than 1/HOT_KEYS of all rows is always among the HOT_KEYS most frequent ones, so a table of that
-# many keys catches every hot key and is safe to broadcast at any data size.
-HOT_KEYS = 1000
-
-# Rows with a null key match nothing; they are spread over this many salts.
-NULL_SALTS = 64
-
 
 def source_bytes(df: DataFrame) -> int:
     """Size of everything a DataFrame reads, from the leaves of its plan; nothing is run or optimised.
@@ -73,23 +66,20 @@ def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     if is_small(left) or _fits_broadcast(right):
         return left.join(right, on, how)
     rows_per_salt = int(left.sparkSession.conf.get(ROWS_PER_SALT_CONF, str(DEFAULT_ROWS_PER_SALT)))
-    hot = (
-        left.groupBy(*on)
+    blank, filled = left.where(~_all_set(on)), left.where(_all_set(on))
+    # at most one key per rows_per_salt rows, so small enough to broadcast; stored once, read by both sides
+    hot = stored(
+        filled.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .orderBy(F.desc("__rows"))
-        .limit(HOT_KEYS)
-        .where((F.col("__rows") > rows_per_salt) & _all_set(on))
-        .select(*on, F.ceil(F.col("__rows") / F.lit(rows_per_salt)).cast("int").alias("__salts"))
+        .where(F.col("__rows") > rows_per_salt)
+        .select(*on, F.ceil(F.col("__rows") / F.lit(rows_per_salt)).cast("int").alias("__salts")),
+        "hot-keys",
     )
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    hashable = [f"`{f.name}`" for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = F.xxhash64(*[F.col(c) for c in hashable])
     salted_left = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn(
-            "__salt",
-            F.when(~_all_set(on), F.pmod(spread, F.lit(NULL_SALTS)))
-            .otherwise(F.pmod(spread, F.coalesce(F.col("__salts"), F.lit(1))))
-            .cast("int"),
-        )
+        filled.join(F.broadcast(hot), on, "left")
+        .withColumn("__salt", F.pmod(spread, F.coalesce(F.col("__salts"), F.lit(1))).cast("int"))
         .drop("__salts")
     )
     salted_right = (
@@ -97,7 +87,11 @@ def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
         .drop("__salts")
     )
-    return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
+    met = salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
+    if how in ("inner", "left_semi"):
+        return met
+    # rows with a null key meet nothing and are not shuffled
+    return met.unionByName(blank, allowMissingColumns=True)
 
 
 def _all_set(columns: list[str]):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,10 +133,13 @@ def read_tables(
 def write_tables(
     outputs: Mapping[str, DataFrame], path: str, skip_empty: bool = True, format: str = "parquet"
 ) -> list[str]:
-    """Write each named table below `path`; empty ones are left out. Returns the names written."""
+    """Write each named table below `path`. Returns the names written.
+
+    Empty tables are left out, but one that is there already is replaced, so no rows of an earlier run are read again.
+    """
     written = []
     for name, df in outputs.items():
-        if skip_empty and df.isEmpty():
+        if skip_empty and df.isEmpty() and not _is_there(df.sparkSession, f"{path.rstrip('/')}/{name}", format):
             continue
         writer = df.write.mode("overwrite").format(format)
         if format == "csv":
@@ -146,6 +150,16 @@ def write_tables(
     return written
 
 
+def _is_there(spark: SparkSession, path: str, format: str) -> bool:
+    try:
+        spark.read.format(format).load(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def read_documents(spark: SparkSession, path: str, suffixes: Sequence[str] = (".txt",)) -> DataFrame:
     """Whole text files as (file_name, text); undecodable bytes and a byte-order mark are dropped."""
     pattern = "{" + ",".join(f"*{s}" for s in suffixes) + "}"

@@ -163,3 +163,14 @@ def test_supplement_shapes_rows_to_the_gold_table(table):
     missing = table("full addr", ("Doe, Jane Q MD", " 5 Elm "), ("", "6"))
     got = matching.supplement(gold, missing, "full", "addr")
     assert rows_of(got, "last_name", "first_name", "_addr1", "extra") == [("A", "B", "1", "x"), ("doe", "jane", "5 Elm", "")]
+
+
+def test_cascade_ranks_kinds_before_a_long_list_of_keys(spark):
+    from pyspark.sql import functions as F
+
+    from rollbook.operators.matching import match_cascade
+
+    left = spark.createDataFrame([(0, [f"n{i}" for i in range(1500)], ["x"])], "_ord long, npi array<string>, name array<string>")
+    right = spark.createDataFrame([(0, ["n1400"], ["x"])], "_ord long, npi array<string>, name array<string>")
+    keys = {"npi": F.col("npi"), "name": F.col("name")}
+    assert [r.match_method for r in match_cascade(left, right, keys, keys).collect()] == ["npi"]

@@ -50,3 +50,15 @@ def test_global_rank(spark, large, request):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert scale.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_many_hot_keys_and_blank_keys_join_as_a_plain_join(spark, spread):
+    from pyspark.sql import functions as F
+
+    from rollbook.scale import keyed_join
+
+    left = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 10 >= 3, F.col("id") % 3000).alias("k"))
+    right = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 7).alias("v"))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        got, want = keyed_join(left, right, ["k"], how), left.join(right, ["k"], how)
+        assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)

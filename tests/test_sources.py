@@ -82,3 +82,13 @@ def test_crosswalk(table):
     assert rows_of(crosswalk.load_crosswalk(df), "zip5", "county_name", "county_fips") == [("55401", "Hennepin", "27053"), ("55402", "Aa", "01001")]
     bare = crosswalk.load_crosswalk(df.select("ZIP_CODE"))
     assert bare.where(F.col("county_name") != "").count() == 0 and bare.count() == 2
+
+
+def test_an_empty_table_replaces_an_older_one(spark, tmp_path):
+    from rollbook.sources.tables import write_tables
+
+    full = spark.createDataFrame([("a",)], "x string")
+    assert write_tables({"t": full}, str(tmp_path)) == ["t"]
+    write_tables({"t": full.limit(0), "u": full.limit(0)}, str(tmp_path))
+    assert spark.read.schema("x string").parquet(f"{tmp_path}/t").count() == 0
+    assert not (tmp_path / "u").exists()
