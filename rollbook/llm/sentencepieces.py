@@ -173,7 +173,10 @@ class Pieces:
             some = fresh[at : at + 50_000]
             for part, coded in zip(some, self.bare.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.parts[part] = np.array(coded.ids, "<u4").tobytes()
-        for word, parts, wanted in zip(words, cut, self.other.encode(words, num_threads=1), strict=True):
+        # alone, the empty word between blanks would be no text at all
+        alone = self.other.encode("a ")[len(self.other.encode("a")) :]
+        for word, parts, found in zip(words, cut, self.other.encode(words, num_threads=1), strict=True):
+            wanted = found if word else alone
             ids = b"".join([self.parts[p] for p in parts])
             self.words[word] = (ids, ids == struct.pack(f"<{len(wanted)}I", *wanted))
 
