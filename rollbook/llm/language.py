@@ -243,7 +243,8 @@ def fit_documents(docs: DataFrame, text_column: str = "text", language_column: s
     model = Model(languages, [(g["word"].tolist(), g["count"].to_numpy(np.float64)) for g in groups])
     if not languages:
         return context.broadcast(model)
-    judged = sample.select("lang", language(context.broadcast(model), "text").alias("r")).filter("r.lang_pred = lang")
+    first = context.broadcast(model)
+    judged = sample.select("lang", language(first, "text").alias("r")).filter("r.lang_pred = lang")
     judged = judged.select("lang", F.col("r.cross_entropy").alias("e"), F.col("r.characters").alias("n"))
     mean = judged.groupBy("lang").agg((F.sum(F.col("e") * F.col("n")) / F.sum("n")).alias("mean"))
     off = judged.join(F.broadcast(mean), "lang").withColumn("off", (F.col("e") - F.col("mean")) * F.sqrt("n"))
@@ -253,4 +254,5 @@ def fit_documents(docs: DataFrame, text_column: str = "text", language_column: s
         model.mean[n], model.deviation[n] = row["mean"], max(row.deviation, 1e-6)
         model.limit[n] = max(3.0, row.most / model.deviation[n])
         model.room[n] = ROOM * max(0.0, np.log((model.codes > 0).sum()) - model.mean[n])
+    first.unpersist()
     return context.broadcast(model)

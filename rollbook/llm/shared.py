@@ -69,6 +69,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         until = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield at, until
         at, before = until, int(ends[until - 1])
+    release()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -155,6 +156,13 @@ def open_arrays(uri: str) -> dict[str, np.ndarray]:
     return out
 
 
+def release() -> None:
+    """Give freed memory back, as a worker waits between tasks beside its executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: What the present operator keeps from task to task in a worker.
 KEPT: dict[tuple[str, str], object] = {}
 
@@ -166,8 +174,6 @@ def kept(operator: str, key: str, make: Callable[[], object]) -> object:
         if any(other != operator for other, _ in KEPT):
             KEPT.clear()
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
         KEPT[operator, key] = make()
     return KEPT[operator, key]

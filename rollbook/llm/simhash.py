@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import slices, stored, text_or_empty, words_of
+from rollbook.llm.shared import kept, slices, stored, text_or_empty, words_of
 
 SEED = 42
 BITS = 64
@@ -66,6 +66,7 @@ def with_fingerprint(docs: DataFrame, text_column: str = "text", name: str = "fi
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
+        kept("simhash", "", object)
         plain = text_or_empty(texts)
         found = [fingerprints(plain[a:b], words) for a, b in slices(plain)]
         return pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), pa.int64())
