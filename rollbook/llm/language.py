@@ -19,10 +19,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import hashed_share, kept, letters_of, slices, sums, text_or_empty
+from rollbook.llm.shared import hashed_share, kept, letters_of, slices, sums, text_or_empty, tidy
 
 ORDER = 4
 BITS = 16
@@ -31,6 +32,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 DOCS_PER_LANGUAGE = 1000
 FIT_CHARS = 50_000
 CACHE_WORDS = 150_000
+#: Bytes of text that a task scores at a time.
+SCORED_BYTES = 1 << 20
 #: Share of the way from a language's mean cross-entropy to that of random characters that every document may go.
 ROOM = 0.4
 BLANK = 1
@@ -45,7 +48,7 @@ def _spread(words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     behind = np.searchsorted(blanks, np.arange(len(points)), "left")  # blanks before the character
     word = behind - 1
     depth = np.arange(len(points)) - blanks[np.maximum(word, 0)]
-    return chars, word, depth
+    return chars, word.astype(np.int32), depth.astype(np.int32)
 
 
 def _packed(chars: np.ndarray, order: int) -> np.ndarray:
@@ -94,6 +97,7 @@ class Model:
                 keys, at = np.unique(_packed(chars, order)[here], return_inverse=True)
                 row.append((keys, np.bincount(at, counts[word[here]], len(keys))))
             found.append(row)
+        del spread
         self.keys, self.logs, self.backs = [], [], []
         lower: np.ndarray | None = None
         for order in range(1, ORDER + 1):
@@ -208,7 +212,7 @@ def language(held, column: str | Column) -> Column:  # noqa: ANN001
     def of(texts: pa.Array) -> pa.Array:
         # the broadcast holds the tables, the worker's own copy the words as well
         model, plain = kept("language", name, lambda: copy.copy(held.value)), text_or_empty(texts)
-        parts = [model.judge(plain[a:b]) for a, b in slices(plain)]
+        parts = [model.judge(plain[a:b]) for a, b in slices(plain, SCORED_BYTES)]
         best, score, entropy, size = (np.concatenate([np.zeros(0), *(p[i] for p in parts)]) for i in range(4))
         at = best.astype(np.int64)
         names = pa.array([model.languages[i] if i >= 0 else UNKNOWN for i in at.tolist()], pa.string())
@@ -237,10 +241,12 @@ def fit_documents(docs: DataFrame, text_column: str = "text", language_column: s
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_language / n))) for k, n in sizes.items()])
     sample = rows.filter(hashed_share("id", share)).withColumn("text", F.substring("text", 1, FIT_CHARS))
     split = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    counts = sample.select("lang", split.alias("word")).filter("word <> ''").groupBy("lang", "word").count().orderBy("lang", "word").toPandas()
-    languages = sorted(counts["lang"].unique())
-    groups = [counts[counts["lang"] == k] for k in languages]
-    model = Model(languages, [(g["word"].tolist(), g["count"].to_numpy(np.float64)) for g in groups])
+    counts = sample.select("lang", split.alias("word")).filter("word <> ''").groupBy("lang", "word").count().orderBy("lang", "word").toArrow()
+    languages = sorted(pc.unique(counts["lang"]).to_pylist())
+    groups = [counts.filter(pc.equal(counts["lang"], k)) for k in languages]
+    model = Model(languages, [(g["word"].to_pylist(), g["count"].to_numpy().astype(np.float64)) for g in groups])
+    del counts, groups
+    tidy()
     if not languages:
         return context.broadcast(model)
     first = context.broadcast(model)
@@ -254,5 +260,8 @@ def fit_documents(docs: DataFrame, text_column: str = "text", language_column: s
         model.mean[n], model.deviation[n] = row["mean"], max(row.deviation, 1e-6)
         model.limit[n] = max(3.0, row.most / model.deviation[n])
         model.room[n] = ROOM * max(0.0, np.log((model.codes > 0).sum()) - model.mean[n])
-    first.unpersist()
-    return context.broadcast(model)
+    first.destroy()
+    final = context.broadcast(model)
+    del model
+    tidy()
+    return final

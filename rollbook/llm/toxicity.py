@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import kept, letters_of, slices, text_or_empty
+from rollbook.llm.shared import kept, letters_of, slices, text_or_empty, tidy
 
 #: Labelled documents that the model is fitted on, at most, and characters of each.
 TOXIC_DOCS = 2000
@@ -181,7 +181,10 @@ def fit_documents(
     text = F.substring(F.col(text_column).cast("string"), 1, FIT_CHARS).alias("text")
     texts = docs.select(F.col(id_column).alias("id"), text)
     rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").orderBy("label", *order, "text").collect()
-    return fit([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0])
+    model = fit([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0])
+    del rows
+    tidy()
+    return model
 
 
 def toxicity(model: Model, column: str | Column) -> Column:
