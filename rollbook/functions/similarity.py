@@ -27,9 +27,12 @@ def _best_of_pairs(own: pd.Series, theirs: pd.Series) -> pd.Series:
     return pd.Series([best(a, b) for a, b in zip(own, theirs)], index=own.index, dtype="float64")
 
 
-def best_ratio(own: Column, theirs: Column) -> Column:
-    """The best matching-blocks ratio between two arrays of strings; null when either array is null."""
-    return _best_of_pairs(own, theirs)
+def best_ratio(own: Column, theirs: Column, method: str = "blocks") -> Column:
+    """The best `seq_ratio` between two arrays of strings; null when either array is null, 0 without a pair."""
+    if method == "blocks":
+        return _best_of_pairs(own, theirs)
+    best = F.array_max(F.transform(own, lambda a: F.array_max(F.transform(theirs, lambda b: seq_ratio(a, b, method)))))
+    return F.when(own.isNotNull() & theirs.isNotNull(), F.coalesce(best, F.lit(0.0)))
 
 
 def seq_ratio(a: Column | str, b: Column | str, method: str = "blocks") -> Column:

@@ -480,11 +480,12 @@ def compare_addresses(
     name: str = "ref_name",
     ref_name: Column | None = None,
     threshold: float | None = None,
+    method: str = "blocks",
 ) -> DataFrame:
     """same, possible_match, different or not_found for each left row against its looked-up reference row.
 
     Both address columns are arrays of (addr, city, zip); any left address may meet any reference address. Similarity
-    is computed only for rows that were found and have no equal pair.
+    is computed only for rows that were found and have no equal pair, by a method of `seq_ratio`; `lev` stays native.
     """
     limit = fv.FUZZY_THRESHOLD if threshold is None else threshold
     source = ref.select(
@@ -494,7 +495,7 @@ def compare_addresses(
     rows = lookup_first(left, source, keys, F.col("__keys"), ["__theirs", name], order_by)
     rows = rows.withColumn("__own", _strict_keys(addresses)).withColumn("__same", F.arrays_overlap("__own", "__hit.__theirs"))
     undecided = F.col("__hit").isNotNull() & ~F.coalesce("__same", F.lit(False))
-    best = best_ratio(F.when(undecided, F.col("__own")), F.when(undecided, F.col("__hit.__theirs")))
+    best = best_ratio(F.when(undecided, F.col("__own")), F.when(undecided, F.col("__hit.__theirs")), method)
     verdict = (
         F.when(F.col("__hit").isNull(), "not_found")
         .when(F.col("__same"), "same")

@@ -204,10 +204,13 @@ def course_titles(catalog: DataFrame) -> DataFrame:
 
 
 def new_courses(courses: DataFrame, catalog: DataFrame | None, order_by: str = "_ord") -> DataFrame:
-    """Parsed documents whose title the catalog lacks; of several with one title the first. No catalog is a rebuild."""
+    """Parsed documents whose title the catalog lacks; of several with one title the first. No catalog is a rebuild.
+
+    Known titles go before the documents are grouped, so their texts are not shuffled for it.
+    """
     row = F.struct(*[as_column(c) for c in courses.columns])
-    firsts = courses.groupBy(F.col("title").alias("__title")).agg(F.min_by(row, order_by).alias("r")).select("r.*")
-    return firsts if catalog is None else firsts.join(catalog.select("title"), "title", "left_anti")
+    fresh = courses if catalog is None else courses.join(catalog.select("title"), "title", "left_anti")
+    return fresh.groupBy(F.col("title").alias("__title")).agg(F.min_by(row, order_by).alias("r")).select("r.*")
 
 
 def ingest(

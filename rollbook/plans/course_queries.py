@@ -96,13 +96,21 @@ _LESSON_TEXTS = {
 }
 
 
-@query("h2_course_chunks", sql.with_inputs(
-    "docs",
+_CHUNKS = (
     "select title as course_title, lesson_number, cast(row_number() over (partition by title order by k, i) - 1 as integer) as chunk_index, replace(title, ' ', '_') || '_' || "
     "(row_number() over (partition by title order by k, i) - 1) as chunk_id, case when lesson_number is null then '' when k = last_k then 'Course ' || title || ' Lesson ' || lesson_number || ' content: ' "
     "when i = 0 then 'Lesson ' || lesson_number || ' content: ' else '' end || content as content from (select c.*, h.title, x.lesson_number, max(c.k) over (partition by h.title) as last_k from chunk c "
-    "join h on h._ord = c.k // 1000 left join kept x on x._ord = c.k // 1000 and x.pos = c.k % 1000)",
-    **_LESSON_TEXTS, **chunk_ctes("texts")).replace("with docs", "with recursive docs", 1))
+    "join h on h._ord = c.k // 1000 left join kept x on x._ord = c.k // 1000 and x.pos = c.k % 1000)"
+)
+
+
+def chunks_sql(where: str = "true") -> str:
+    """All chunks of the first document of each title, for the titles that `where` takes."""
+    found = sql.with_inputs("docs", f"{_CHUNKS} where {where}", **_LESSON_TEXTS, **chunk_ctes("texts"))
+    return found.replace("with docs", "with recursive docs", 1)
+
+
+@query("h2_course_chunks", chunks_sql())
 def _chunks(spark, sf_dir):
     return ops.numbered_chunks(ops.new_courses(courses(spark, sf_dir), None))
 
@@ -159,12 +167,9 @@ def _ingest_catalog(spark, sf_dir):
     return _ingest(spark, sf_dir)[0].drop("lessons")
 
 
-@query("h4_ingest_chunk_titles", sql.with_inputs(
-    "docs", "select distinct h.title as course_title, replace(h.title, ' ', '_') || '_0' as first_id from f join h on h._ord = f._ord where h.title not in (select title from h where lang = 'en') "
-    f"and (h._ord in (select _ord from kept) or {sql.strip('array_to_string(lines[start:], chr(10))')} <> '')", **_FIRSTS))
+@query("h4_ingest_chunk_titles", chunks_sql("title not in (select title from h where lang = 'en')"))
 def _ingest_chunks(spark, sf_dir):
-    chunks = _ingest(spark, sf_dir)[1]
-    return chunks.where("chunk_index = 0").select("course_title", F.col("chunk_id").alias("first_id"))
+    return _ingest(spark, sf_dir)[1]
 
 
 # --- search ------------------------------------------------------------------------------------

@@ -45,7 +45,7 @@ def people_files(spark, sf_dir, name: str) -> list[str]:
     """One delimited file set per source_file; the second names its ZIP column differently, the third lacks phones."""
     where = scratch_path(spark, name)
     rows = people(spark, sf_dir).withColumnRenamed("_ord", "id")
-    parts = {f"file{i}": rows.where(F.col("source_file") == f"file{i}").drop("source_file").repartition(1).sortWithinPartitions("id") for i in range(3)}
+    parts = {f"file{i}": rows.where(F.col("source_file") == f"file{i}").drop("source_file").sort("id") for i in range(3)}
     parts["file1"] = parts["file1"].withColumnRenamed("zip5", "Zip Code")
     parts["file2"] = parts["file2"].drop("primary_telephone_number")
     tables.write_tables(parts, where, format="csv")
@@ -117,7 +117,7 @@ def _write(spark, sf_dir):
 @query("a6_read_documents", "select line, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents) group by 1")
 def _documents(spark, sf_dir):
     where = scratch_path(spark, "a6")
-    table(spark, sf_dir, "documents").select("text").repartition(8).write.text(where)
+    table(spark, sf_dir, "documents").select("text").write.option("maxRecordsPerFile", 100).text(where)
     docs = tables.read_documents(spark, where)
     lines = docs.select(F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line"))
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
@@ -151,7 +151,8 @@ def _supplement(spark, sf_dir):
 
 def _stream(spark, sf_dir, name: str):
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # a pattern, as the table may be one file or a folder of parts
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _ingested(spark, sf_dir) -> tuple[str, str]:
@@ -169,12 +170,9 @@ def _ingest(spark, sf_dir):
     return spark.read.parquet(_ingested(spark, sf_dir)[0]).drop("lessons")
 
 
-@query("s1_ingested_chunks", sql.with_inputs(
-    "docs", "select h.title as course_title, replace(h.title, ' ', '_') || '_0' as first_id from f join h on h._ord = f._ord where h._ord in (select _ord from kept) "
-    f"or {sql.strip('array_to_string(lines[start:], chr(10))')} <> ''", **cq._FIRSTS))
+@query("s1_ingested_chunks", cq.chunks_sql())
 def _ingest_chunks(spark, sf_dir):
-    chunks = spark.read.parquet(_ingested(spark, sf_dir)[1])
-    return chunks.where("chunk_index = 0").select("course_title", F.col("chunk_id").alias("first_id"))
+    return spark.read.parquet(_ingested(spark, sf_dir)[1]).drop("batch")
 
 
 @query("s2_session_history_stream", sql.with_inputs("msgs", cq.HISTORY_SQL))

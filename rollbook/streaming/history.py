@@ -16,13 +16,14 @@ STATE = "turns array<long>, lines array<string>"
 
 
 def session_history_stream(
-    messages: DataFrame, n: int = fv.HISTORY_EXCHANGES, watermark: str = "10 minutes", keep_minutes: int = 60
+    messages: DataFrame, n: int = fv.HISTORY_EXCHANGES, watermark: str = "10 minutes", keep_minutes: int | None = None
 ) -> DataFrame:
     """(session_id, turn, history) after every batch that touches a session.
 
     `messages` needs session_id (string), turn, role, content and an event time `ts`. State holds the last 2n lines of
-    a session; it is dropped when the watermark passes the session's last message by `keep_minutes`. Every Arrow batch
-    is cut to the last 2n messages per session before the shuffle, so a busy session does not flood its task.
+    a session and is kept for ever, so late messages count and a resumed session goes on. With `keep_minutes` it is dropped
+    when the watermark passes the session's last message by that time. Every Arrow batch is cut to the last 2n messages
+    per session before the shuffle, so a busy session does not flood its task.
     """
     size = 2 * n
 
@@ -40,8 +41,9 @@ def session_history_stream(
             newest = top if newest is None else max(newest, top)
         kept.sort()
         state.update(([t for t, _ in kept], [line for _, line in kept]))
-        expiry = int(newest.timestamp() * 1000) + keep_minutes * 60_000
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
+        if keep_minutes is not None:
+            expiry = int(newest.timestamp() * 1000) + keep_minutes * 60_000
+            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {"session_id": [key[0]], "turn": [kept[-1][0]], "history": ["\n".join(line for _, line in kept)]}
         )
@@ -56,8 +58,8 @@ def session_history_stream(
 
     columns = messages.select("session_id", "turn", "role", "content", "ts")
     reduced = columns.mapInPandas(latest, columns.schema)
-    return (
-        reduced.withWatermark("ts", watermark)
-        .groupBy("session_id")
-        .applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
-    )
+    if keep_minutes is None:
+        timeout = GroupStateTimeout.NoTimeout
+    else:
+        reduced, timeout = reduced.withWatermark("ts", watermark), GroupStateTimeout.EventTimeTimeout
+    return reduced.groupBy("session_id").applyInPandasWithState(update, OUTPUT, STATE, "update", timeout)

@@ -10,27 +10,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollbook import fixed_values as fv
 from rollbook.operators.retrieval import build_catalog, new_courses, numbered_chunks, parse_courses
-from rollbook.scale import checkpointed
+from rollbook.sources.tables import document_text
 
 
 def append_new_courses(
-    docs: DataFrame, catalog_path: str, chunks_path: str, size: int, overlap: int, order_by: str = "file_name"
+    docs: DataFrame, catalog_path: str, chunks_path: str, size: int, overlap: int, order_by: str = "file_name",
+    batch: int = 0,
 ) -> None:
     """Parse a batch and append the courses that the stored catalog lacks.
 
-    The batch's new courses are checkpointed first: chunks and catalog then come from the same rows. Chunks go first and
-    under a folder named by the batch's content, so a repeated batch overwrites its own chunks, and the catalog entry
-    that hides a course from later batches is written last.
+    Chunks go first and under a folder named by the batch and its content, so a repeated batch overwrites its own chunks
+    and a stream that starts anew overwrites none; the catalog entry that hides a course from later batches is written
+    last. New courses are those of the catalog's files as listed here, so parts computed again come out the same.
     """
     spark = docs.sparkSession
     courses = parse_courses(docs)
     catalog = _read(spark, catalog_path)
-    fresh = checkpointed(new_courses(courses, catalog, order_by))
-    mark = fresh.agg(F.hex(F.abs(F.bit_xor(F.xxhash64("title"))))).first()[0]
-    if mark is None:
-        return
-    numbered_chunks(fresh, size, overlap).write.mode("overwrite").parquet(f"{chunks_path}/batch={mark}")
-    build_catalog(fresh, order_by).write.mode("append").parquet(catalog_path)
+    fresh = new_courses(courses, catalog, order_by).persist()
+    try:
+        mark = fresh.agg(F.hex(F.bit_xor(F.xxhash64("title")))).first()[0]
+        if mark is None:
+            return
+        numbered_chunks(fresh, size, overlap).write.mode("overwrite").parquet(f"{chunks_path}/batch={batch}-{mark}")
+        build_catalog(fresh, order_by).write.mode("append").parquet(catalog_path)
+    finally:
+        fresh.unpersist()
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -56,7 +60,7 @@ def ingest_stream(
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        append_new_courses(df, catalog_path, chunks_path, size, overlap, order_by)
+        append_new_courses(df, catalog_path, chunks_path, size, overlap, order_by, number)
         if then:
             then(df, number)
 
@@ -68,5 +72,4 @@ def document_stream(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
     """Whole text files arriving in a folder as (file_name, text)."""
     pattern = "{" + ",".join(f"*{s}" for s in suffixes) + "}"
     raw = spark.readStream.text(path, wholetext=True, pathGlobFilter=pattern)
-    text = F.regexp_replace(F.make_valid_utf8("value"), "^﻿", "")
-    return raw.select(F.col("_metadata.file_name").alias("file_name"), text.alias("text"))
+    return raw.select(F.col("_metadata.file_name").alias("file_name"), document_text("value").alias("text"))

@@ -92,3 +92,32 @@ def test_an_empty_table_replaces_an_older_one(spark, tmp_path):
     write_tables({"t": full.limit(0), "u": full.limit(0)}, str(tmp_path))
     assert spark.read.schema("x string").parquet(f"{tmp_path}/t").count() == 0
     assert not (tmp_path / "u").exists()
+
+
+def test_first_is_first_by_file_however_files_are_packed(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    write(folder / "part-0.csv", "a,n\nfirst,0\n")
+    write(folder / "part-1.csv", "a,n\nsecond,1\n" + "".join(f"more,{n}\n" for n in range(2, 5000)))
+    got = tables.read_union(spark, [str(folder)]).orderBy("_ord")
+    assert [int(r.n) for r in got.select("n").collect()] == list(range(5000))
+
+
+def test_each_file_has_its_own_encoding_and_quotes(spark, tmp_path):
+    folder = tmp_path / "mixed a"
+    folder.mkdir()
+    write(folder / "a.csv", "name,x\nJosé,1\n")
+    write(folder / "b c.csv", "name,x\nJosé,2\n".encode("latin-1"))
+    write(folder / "d.csv", 'name,x\n"two\nlines",3\n')
+    write(folder / "e.csv", 'name,x\n5" pipe,4\nlast,5\n')
+    got = tables.read_delimited(spark, str(folder))
+    names = [r[0] for r in rows_of(got, "name", "x")]
+    assert names.count("José") == 2 and "two\nlines" in names and len(names) == 5
+    kinds = {r.file.rsplit("/", 1)[-1]: (r.broken, r.multi_line) for r in tables._kinds(spark, str(folder)).collect()}
+    assert kinds == {"a.csv": (False, False), "b%20c.csv": (True, False), "d.csv": (False, True), "e.csv": (False, True)}
+
+
+def test_document_text_keeps_genuine_replacement_characters(spark, tmp_path):
+    write(tmp_path / "a.txt", b"lost \xff kept \xef\xbf\xbd")
+    write(tmp_path / "b.txt", b"kept \xef\xbf\xbd")
+    assert rows_of(tables.read_documents(spark, str(tmp_path)), "text") == [("kept \ufffd",), ("lost  kept \ufffd",)]

@@ -50,3 +50,25 @@ def test_history_state_spans_batches_and_expires(spark, tmp_path):
     run()
     add(("b", 9, 5001))
     assert run()["b"] == "User: b9"
+
+
+def test_late_and_resumed_sessions_keep_their_history(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "session_id string, turn long, role string, content string, ts timestamp"
+
+    def run(*rows):
+        df = spark.createDataFrame([(s, t, "user", f"{s}{t}", m * 60) for s, t, m in rows], "session_id string, turn long, role string, content string, s long")
+        df.select("session_id", "turn", "role", "content", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+
+        def keep(batch, number):
+            batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+        stream = session_history_stream(spark.readStream.schema(schema).parquet(source), n=1)
+        writer = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        latest = spark.read.parquet(out).groupBy("session_id").agg(F.max_by("history", "batch").alias("h"))
+        return dict(rows_of(latest, "session_id", "h"))
+
+    run(("a", 0, 1000))
+    run(("z", 0, 9000))
+    assert run(("late", 0, 10), ("a", 1, 9001)) == {"a": "User: a0\nUser: a1", "late": "User: late0", "z": "User: z0"}
