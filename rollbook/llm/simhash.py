@@ -131,7 +131,9 @@ def _linked(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
 def _grid_links(distinct: DataFrame, bits: int, groups: int, cell_rows: int) -> DataFrame:
     spread = cells(distinct, bits, groups)
     sizes = stored(spread.groupBy("cell").count().filter("count > 1"), "cells")
-    small, large = sizes.filter(F.col("count") <= cell_rows), sizes.filter(F.col("count") > cell_rows)
+    # Both kinds of cell from one join; stored, as no aggregate then keeps the join from splitting a cell that many share.
+    shared = stored(spread.join(sizes.hint("merge"), "cell"), "shared")
+    small, large = shared.filter(F.col("count") <= cell_rows), shared.filter(F.col("count") > cell_rows)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +148,9 @@ def _grid_links(distinct: DataFrame, bits: int, groups: int, cell_rows: int) ->
             edges = np.concatenate([pairs, np.array(found, np.int64).reshape(-1, 2)])
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
-    members = spread.join(small.select("cell").hint("merge"), "cell").groupBy("cell").agg(F.collect_list("fp").alias("members"))
+    members = small.groupBy("cell").agg(F.collect_list("fp").alias("members"))
     links = members.select("members").mapInArrow(verify, "a long, b long")
-    crowded = spread.join(large.select("cell"), "cell", "left_semi").select("fp").distinct()
-    return links.unionByName(ball_links(crowded, bits))
+    return links.unionByName(ball_links(large.select("fp").distinct(), bits))
 
 
 def ball_links(distinct: DataFrame, bits: int) -> DataFrame:
