@@ -18,7 +18,6 @@ import math
 import random
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,9 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.shared import kept, letters_of, slices, text_or_empty, tidy
 
-#: Labelled documents that the model is fitted on, at most, and characters of each.
+#: Labelled documents that the model is fitted on, at most; all of their text counts.
 TOXIC_DOCS = 2000
 ORDINARY_DOCS = 4000
-FIT_CHARS = 100_000
 #: Length of the letter sequences that choose toxic training windows.
 GRAM = 5
 LEVEL = 6
@@ -112,25 +110,36 @@ class Model:
         return 1 / (1 + np.exp(-2 * (self.heaviest(texts) - self.threshold)))
 
 
-def _documents(texts: Iterable[str | None]) -> list[list[str]]:
-    """Words of each text, in order."""
-    plain = text_or_empty(pa.array([(t or "")[:FIT_CHARS] for t in texts], pa.string()))
+def _summaries(texts: pa.Array) -> list[tuple[str, str]]:
+    """Distinct words of each text without nulls, and distinct words with the one before, as `before,word`; both blank-joined."""
     out = []
-    for begin, until in slices(plain):
-        numbers, offsets, words = letters_of(plain[begin:until])
-        names = words.to_pylist()
-        out += [[names[i] for i in numbers[a:b].tolist()] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    for begin, until in slices(texts):
+        numbers, offsets, words = letters_of(texts[begin:until])
+        names = ["", *words.to_pylist()]
+        numbers = numbers.astype(np.int64) + 1
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            own = numbers[a:b]
+            pairs = np.unique(np.concatenate([np.zeros(min(1, len(own)), np.int64), own[:-1]]) * len(names) + own)
+            beside = " ".join(f"{names[p // len(names)]},{names[p % len(names)]}" for p in pairs.tolist())
+            out.append((" ".join(sorted(names[i] for i in np.unique(own).tolist())), beside))
     return out
 
 
 def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> Model:
     """A model from labelled texts."""
-    toxic, ordinary = _documents(toxic_texts), _documents(ordinary_texts)
+    toxic, ordinary = (_summaries(text_or_empty(pa.array(texts, pa.string()))) for texts in (toxic_texts, ordinary_texts))
+    return fit_summaries(toxic, [words for words, _ in ordinary])
+
+
+def fit_summaries(toxic_found: list[tuple[str, str]], ordinary_found: list[str]) -> Model:
+    """A model from the distinct words of labelled documents, and of toxic ones also those with the word before."""
+    names: dict[str, str] = {}
+    toxic, ordinary = ([[names.setdefault(w, w) for w in found.split()] for found in side] for side in ([words for words, _ in toxic_found], ordinary_found))
     known = {g for words in ordinary for w in set(words) for g in _grams(w)}
     beside: dict[str, set[str]] = defaultdict(set)
     windows: dict[str, set[str]] = defaultdict(set)
-    for words in toxic:
-        for before, word in zip(["", *words], words, strict=False):
+    for _, pairs in toxic_found:
+        for before, word in (p.split(",") for p in pairs.split()):
             if fresh := _grams(word) - known:
                 windows[word].add(before)
                 for gram in fresh:
@@ -173,15 +182,24 @@ def fit_documents(
 ) -> Model:
     """A model from at most `toxic_docs` and `ordinary_docs` labelled documents, chosen by the hash of their id.
 
-    The ids are chosen from the labels alone, so no text moves but that of the sample.
+    The ids are chosen from the labels alone. Tasks read the whole texts of the sample; what reaches the driver is the distinct
+    words of each document, and of toxic ones those with the word before.
     """
     marks = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).dropna().distinct()
     order = (F.xxhash64(F.lit("fit"), "id"), F.col("id"))
     picked = [marks.filter(F.col("label") == k).orderBy(*order).limit(n) for k, n in ((1, toxic_docs), (0, ordinary_docs))]
-    text = F.substring(F.col(text_column).cast("string"), 1, FIT_CHARS).alias("text")
-    texts = docs.select(F.col(id_column).alias("id"), text)
-    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").orderBy("label", *order, "text").collect()
-    model = fit([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0])
+
+    @F.arrow_udf("words string, pairs string")
+    def summary(texts: pa.Array) -> pa.Array:
+        kept("toxicity", "fit", object)
+        found = _summaries(text_or_empty(texts))
+        return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], ["words", "pairs"])
+
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("id", "label", summary("text").alias("s"))
+    found = found.select("id", "label", "s.words", F.when(F.col("label") == 1, F.col("s.pairs")).alias("pairs"))
+    rows = found.orderBy("label", *order, "words", "pairs").collect()
+    model = fit_summaries([(r.words, r.pairs) for r in rows if r.label == 1], [r.words for r in rows if r.label == 0])
     del rows
     tidy()
     return model
