@@ -1,12 +1,13 @@
 """Keeping keyed work even when one key holds a large share of the rows.
 
-Three needs recur in the operators:
+Four needs recur in the operators:
 
 * joining rows to a per-key table when some keys are very frequent (`keyed_join`),
 * numbering a large set of distinct keys in sorted order without a one-partition window (`global_rank`),
+* numbering the rows of each key, or adding them up in order, however many one key has (`segmented`),
 * cutting lineage or storing a result where every executor can read it (`checkpointed`, `scratch_path`).
 
-The first two look at the size of the sources and keep the plain plan when one task could hold the data.
+`keyed_join` and `global_rank` look at the size of the sources and keep the plain plan when one task could hold the data.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SMALL_BYTES_CONF = "spark.rollbook.smallBytes"
@@ -129,6 +132,33 @@ def global_rank(keys: DataFrame, order: list, name: str) -> DataFrame:
     )
 
 
+def segmented(df: DataFrame, keys: list[str], order: list, rank: str | None = None, before: Mapping[str, Column] | None = None) -> DataFrame:
+    """Number the rows of each key 1..n as `rank`, and sum over the key's earlier rows as the columns of `before`.
+
+    `order` must be a total order within a key; null keys count as one value. The rows are dealt by ranges of (keys, order),
+    so a key of any size is spread over as many segments as it needs. Windows run within (segment, key); what the earlier
+    segments of a key hold is added from a table with at most one row per segment, which is the bound of the broadcast.
+    """
+    sums = {"__row": F.lit(1).cast("long"), **(before or {})} if rank else dict(before or {})
+    placed = df.withColumns(sums).repartitionByRange(*[F.col(k) for k in keys], *order)
+    placed = stored(placed.withColumn("__segment", F.spark_partition_id()), "segments")
+    totals = placed.groupBy("__segment", *keys).agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = Window.partitionBy(*keys).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "__segment", *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
+        F.count(F.lit(1)).over(earlier).alias("__earlier"), *[F.sum(c).over(earlier).alias(f"__offset_{c}") for c in sums],
+    ).where(F.col("__earlier") > 0)
+    within = Window.partitionBy("__segment", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.withColumns({f"__within_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
+    same = F.col("__segment") == F.col("__other")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__key_{i}"))
+    met = counted.join(F.broadcast(offsets.withColumnRenamed("__segment", "__other")), same, "left")
+    total = {c: F.coalesce(F.col(f"__offset_{c}"), F.lit(0)) + F.col(f"__within_{c}") for c in sums}
+    out = {rank: total.pop("__row") + 1} if rank else {}
+    return met.select(*[F.col(f"`{c}`") for c in df.columns if c not in sums], *[v.alias(c) for c, v in {**out, **total}.items()])
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster shares, from spark.checkpoint.dir; a temporary one only for a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -62,3 +62,24 @@ def test_many_hot_keys_and_blank_keys_join_as_a_plain_join(spark, spread):
     for how in ("left", "inner", "left_semi", "left_anti"):
         got, want = keyed_join(left, right, ["k"], how), left.join(right, ["k"], how)
         assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_segmented_numbers_and_sums_equal_a_window(spark, skewed):
+    rows = skewed.withColumn("v", F.col("_ord") * 3)
+    found = scale.segmented(rows, ["key"], [F.desc("_ord")], "n", {"earlier": F.col("v")})
+    want = []
+    for key in {r.key for r in rows.collect()}:
+        total = 0
+        for n, r in enumerate(sorted((r for r in rows.collect() if r.key == key), key=lambda r: -r._ord), 1):
+            want.append((r._ord, key, r.v, n, total))
+            total += r.v
+    assert found.columns == ["_ord", "key", "v", "n", "earlier"]
+    assert rows_of(found, *found.columns) == sorted(want, key=repr)
+
+
+def test_segmented_spreads_one_key(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("_ord"), F.lit(None).cast("string").alias("key"))
+    found = scale.segmented(rows, ["key"], [F.asc("_ord")], "n")
+    assert found.where(F.col("n") != F.col("_ord") + 1).count() == 0
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__segment" in text and scale.segmented(rows.limit(0), ["key"], [F.asc("_ord")], "n").count() == 0
