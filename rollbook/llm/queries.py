@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import language, media, ngram_trie, packing, quality, secrets, sentencepieces, simhash, token_files, toxicity
+from rollbook.llm import language, media, merkle, ngram_trie, packing, quality, secrets, sentencepieces, simhash, token_files, toxicity
+from rollbook.llm.oracles import MERKLE_MANIFEST
 from rollbook.llm.shared import fold
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -95,10 +97,17 @@ def op10_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "r.n_tokens", "r.n_known", tokens, "r.base_score", "r.score")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, trees and proofs of all documents, checked against texts of which every third one's capitals were lowered."""
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = F.when(fold("doc_id", 3) == 0, merkle.leaf_of("doc_id", "source", "lang", "n_chars", lowered))
+    return merkle.manifest(documents(spark, sf_dir), tampered).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_gif_media, op2_best_fit_packing, op3_perfect_hash_files, op4_compression_toxicity, op5_weak_supervision, op6_simhash_copies, op7_secret_spans, op8_kneser_ney_language, op9_piece_round_trip, op10_ngram_trie_scores)
+    found = (op1_gif_media, op2_best_fit_packing, op3_perfect_hash_files, op4_compression_toxicity, op5_weak_supervision, op6_simhash_copies, op7_secret_spans, op8_kneser_ney_language, op9_piece_round_trip, op10_ngram_trie_scores, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_merkle_manifest": MERKLE_MANIFEST}
