@@ -5,7 +5,7 @@ Within a group the leaves stand in the order of their id (nulls first, equal ids
 eight consecutive ones become their hash. The last node is the group's subroot; the subroots, in the order of the groups (null
 first, then bytewise), are folded likewise into the root. Digests enter hashes as lower-case hexadecimal text.
 
-The trees are cut into superblocks of `FAN ** BLOCK_LEVELS` leaves. A first pass reduces each superblock to one node; the few
+The trees are cut into superblocks of `FAN ** block_levels` leaves. A first pass reduces each superblock to one node; the few
 nodes above are joined level by level, which gives every superblock the outer nodes that its proofs need. Then leaves and outer
 nodes are cogrouped by superblock: one call reduces the leaves, joins local and outer siblings into proofs, and folds each row's
 checked leaf up to the root. No group, however large, meets in one task; a task holds one superblock.
@@ -60,10 +60,11 @@ def reduced(leaves: list[str], levels: int | None) -> list[list[str]]:
     return found
 
 
-def _block_tops(rows: pd.DataFrame) -> pd.DataFrame:
+def _block_tops(rows: pd.DataFrame, block_levels: int) -> pd.DataFrame:
+    """The node of a superblock, as it is alone in its group and as it is among others."""
     leaves = rows.sort_values("place")["leaf"].tolist()
     first = rows.iloc[0]
-    tops = {"alone": reduced(leaves, None)[-1][0], "among": reduced(leaves, BLOCK_LEVELS)[-1][0]}
+    tops = {"alone": reduced(leaves, None)[-1][0], "among": reduced(leaves, block_levels)[-1][0]}
     return pd.DataFrame([{"part": first["part"], "block": first["block"], **tops}])
 
 
@@ -105,11 +106,11 @@ def folded(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return roots, paths
 
 
-def _finish(rows: pd.DataFrame, outer: pd.DataFrame, proofs: bool) -> pd.DataFrame:
+def _finish(rows: pd.DataFrame, outer: pd.DataFrame, block_levels: int, proofs: bool) -> pd.DataFrame:
     """Local reduction, proofs and folding of one superblock."""
     rows = rows.sort_values("place")
     above = outer.iloc[0]
-    levels = reduced(rows["leaf"].tolist(), None if above["only"] else BLOCK_LEVELS)
+    levels = reduced(rows["leaf"].tolist(), None if above["only"] else block_levels)
     path = [(step["before"], step["after"]) for step in above["path"]]
     # from the top down: each node's steps, and the text of all siblings from it upwards
     steps, texts = [path], ["".join(before + after for before, after in path)]
@@ -138,6 +139,7 @@ def manifest(
     group_column: str = "lang",
     fields: tuple[str, ...] = FIELDS,
     proofs: bool = False,
+    block_levels: int = BLOCK_LEVELS,
 ) -> DataFrame:
     """Per row: id, leaf, subroot, root, proof_sha256, folded_root and verified; with `proofs` also the proof itself, a list of
     (siblings before, siblings after) from the leaf up.
@@ -149,10 +151,10 @@ def manifest(
     other = F.lit(None).cast("string") if checked is None else checked
     base = stored(docs.select(part.alias("part"), F.col(f"`{id_column}`").alias("id"), leaf_of(*fields).alias("leaf"), other.alias("checked")), "leaves")
     ranked = segmented(base, ["part"], [F.asc("id"), F.asc("leaf"), F.asc("checked")], "place")
-    placed = ranked.select("part", F.expr(f"(place - 1) div {FAN**BLOCK_LEVELS}").alias("block"), "place", F.col("id").cast("string").alias("id"), "leaf", F.coalesce("checked", "leaf").alias("checked"))
+    placed = ranked.select("part", F.expr(f"(place - 1) div {FAN**block_levels}").alias("block"), "place", F.col("id").cast("string").alias("id"), "leaf", F.coalesce("checked", "leaf").alias("checked"))
     placed = stored(placed, "placed")
 
-    tops = placed.select("part", "block", "place", "leaf").groupBy("part", "block").applyInPandas(_block_tops, "part string, block long, alone string, among string")
+    tops = placed.select("part", "block", "place", "leaf").groupBy("part", "block").applyInPandas(lambda rows: _block_tops(rows, block_levels), "part string, block long, alone string, among string")
     tops = stored(tops, "block-tops")
     blocks = tops.groupBy("part").agg((F.max("block") == 0).alias("only"))
     nodes = tops.join(blocks, "part").select("part", F.col("block").alias("at"), F.when(F.col("only"), F.col("alone")).otherwise(F.col("among")).alias("node"))
@@ -168,5 +170,5 @@ def manifest(
     schema = "id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     schema += f", proof array<{STEP}>" if proofs else ""
     both = placed.groupBy("part", "block").cogroup(outer.groupBy("part", "block"))
-    found = both.applyInPandas(lambda rows, above: _finish(rows, above, proofs), schema)
+    found = both.applyInPandas(lambda rows, above: _finish(rows, above, block_levels, proofs), schema)
     return found.withColumn("id", F.col("id").cast(base.schema["id"].dataType))

@@ -60,3 +60,22 @@ WITH raw AS (SELECT doc_id, coalesce('=' || lang, '-') AS part, {_leaf("text")}
 SELECT doc_id, leaf, subroot, g{LEVELS}.node AS root, sha256(proof) AS proof_sha256, u.node AS folded_root, u.node = g{LEVELS}.node AS verified
 FROM g_up{LEVELS} u CROSS JOIN g{LEVELS}
 """
+
+CONVERSATION_TRIE = f"""
+WITH turns AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list(turn ORDER BY place) AS turns, {crc32("conv_id::VARCHAR")} % 4 AS h FROM turns GROUP BY conv_id),
+    rebuilt AS (SELECT o.conv_id, list_concat(coalesce(list_slice(b.turns, 1, o.h), []), list_slice(o.turns, o.h + 1, len(o.turns))) AS turns
+        FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+    steps AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+    nodes AS (SELECT list_slice(turns, 1, depth) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = len(turns)) AS ends
+        FROM steps GROUP BY ALL),
+    valued AS (SELECT n.*, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[depth]['text'], '[^\x20\x09-\x0D]+')) END AS value,
+            coalesce(c.n, 0) AS n_children
+        FROM nodes n LEFT JOIN (SELECT list_slice(path, 1, depth - 1) AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL) c USING (path, depth)),
+    upward AS (SELECT *, unnest(range(0, depth + 1)) AS up FROM valued),
+    sums AS (SELECT list_slice(path, 1, up) AS path, up AS depth, sum(value)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM upward GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN sums s USING (path, depth) LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.path = list_slice(v.path, 1, v.depth - 1)
+"""

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import language, media, merkle, ngram_trie, packing, quality, secrets, sentencepieces, simhash, token_files, toxicity
-from rollbook.llm.oracles import MERKLE_MANIFEST
+from rollbook.llm import conversations, language, media, merkle, neighbours, ngram_trie, packing, quality, secrets, sentencepieces, simhash, token_files, toxicity
+from rollbook.llm.oracles import CONVERSATION_TRIE, MERKLE_MANIFEST
 from rollbook.llm.shared import fold
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -97,6 +97,22 @@ def op10_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "r.n_tokens", "r.n_known", tokens, "r.base_score", "r.score")
 
 
+def op11_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all texts by their nearest labelled ones, learned from documents outside fold 0 of 5."""
+    counted = neighbours.counted_texts(documents(spark, sf_dir).select("doc_id", "text"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = neighbours.fit_counted(counted, labels.filter(fold("doc_id", 5) != 0))
+    scored = counted.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), neighbours.score(counted, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt so that each shares up to three first turns with the one its twenty begin with."""
+    rows = conversations.turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    found = conversations.trie(conversations.with_shared_starts(rows, every=20, most=4))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, trees and proofs of all documents, checked against texts of which every third one's capitals were lowered."""
     lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
@@ -105,9 +121,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_gif_media, op2_best_fit_packing, op3_perfect_hash_files, op4_compression_toxicity, op5_weak_supervision, op6_simhash_copies, op7_secret_spans, op8_kneser_ney_language, op9_piece_round_trip, op10_ngram_trie_scores, op13_merkle_manifest)
+    found = (op1_gif_media, op2_best_fit_packing, op3_perfect_hash_files, op4_compression_toxicity, op5_weak_supervision, op6_simhash_copies, op7_secret_spans, op8_kneser_ney_language, op9_piece_round_trip, op10_ngram_trie_scores, op11_neighbour_quality, op12_conversation_trie, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_merkle_manifest": MERKLE_MANIFEST}
+    return {"op12_conversation_trie": CONVERSATION_TRIE, "op13_merkle_manifest": MERKLE_MANIFEST}
