@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from rollbook import fixed_values as fv
 from rollbook.functions.text import as_column, collapse, filled, let, strip
+from rollbook.scale import all_set, keyed_join, stored
 
 # a lesson line that may be indented
 LESSON_START = r"^\s*" + fv.LESSON_LINE[1:]
@@ -239,19 +240,24 @@ def lesson_links(catalog: DataFrame) -> DataFrame:
 
 # --- search ------------------------------------------------------------------------------------
 
-QUERY_BATCH_BYTES = 4 << 20  # vectors of one batch of queries, held by every task
+BLOCK_BYTES = 4 << 20  # vectors of one block, as numbers of 64 bits
 CELLS = 4 << 20  # distances held at a time
 PLACES = 12  # distances are rounded to this many places, so that equal vectors tie whatever the order of summation
 
 
-def _query_batches(queries: DataFrame, key: str, vector: str, filters: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Queries in batches whose size on every worker is bounded; a hash of the key splits larger tables."""
-    wanted = queries.select(key, vector, *filters).where(F.col(vector).isNotNull())
-    facts = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
-    batches = max(1, -(-int(facts["n"]) * int(facts["d"] or 1) * 8 // QUERY_BATCH_BYTES))
-    for b in range(batches):
-        part = wanted if batches == 1 else wanted.where(F.pmod(F.xxhash64(key), F.lit(batches)) == b)
-        yield part.toPandas()
+def _meeting(filters: Sequence[str], used: Sequence[str]) -> Column:
+    """What a query and the chunks it accepts have in common: the filters that are used, with their values; null fields are
+    left out, so a query's unset filters are."""
+    values = [F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(filters) if f in used]
+    return F.to_json(F.struct(*values)) if values else F.lit("{}")
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """Rows with the number of their own block, repeated for every block of the other side that they meet."""
+    met = keyed_join(rows, sizes, ["__meet"], "inner")
+    met = met.withColumn(f"__{own}", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.col(f"__{own}_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col(f"__{other}_blocks") - 1))
+    return met.withColumn(f"__{other}", every).drop("__q_blocks", "__c_blocks")
 
 
 def search(
@@ -268,24 +274,39 @@ def search(
     """(query_id, rank, chunk_id, distance): the k nearest chunks per query.
 
     `filters` are columns of both tables; a query's null filter accepts every chunk. Squared L2 by default, `cosine`
-    optional; ties go to the smaller chunk id. Each task scores its chunks against a bounded batch of queries as one
-    matrix product and passes on k candidates per query, so the shuffle carries k rows per task and query.
+    optional; ties go to the smaller chunk id. Queries and chunks that may meet (equal values of the filters a query
+    sets) are dealt into blocks of bounded size; every pair of blocks is one group, scored as a matrix product, and passes
+    on k candidates per query. Vectors of either side never reach the driver, and the chunks are scanned once, however
+    many queries there are; block sizes come from counts per filter value.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}; l2 or cosine")
-    id_type = chunks.schema[chunk_id].dataType
-    schema = T.StructType(
-        [
-            T.StructField(query_id, queries.schema[query_id].dataType),
-            T.StructField(chunk_id, id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    chunks = chunks.where(F.col(vector).isNotNull())  # without a vector there is no distance
-    best = None
-    for batch in _query_batches(queries, query_id, vector, filters):
-        part = _score(chunks, batch, k, chunk_id, query_id, vector, list(filters), metric, schema)
-        best = part if best is None else best.unionByName(part)
+    filters = list(filters)
+    asked = queries.where(F.col(vector).isNotNull())
+    # which filters queries set together: at most 2 ** len(filters) kinds; and how long a vector is
+    unset = F.array(*[F.col(f"`{f}`").isNull() for f in filters]).cast("array<boolean>")
+    facts = asked.agg(F.collect_set(unset).alias("kinds"), F.max(F.size(vector)).alias("d")).first()
+    rows = max(1, BLOCK_BYTES // (8 * max(1, facts["d"] or 1)))
+    asked = asked.select(F.col(query_id).alias("query"), F.col(vector).alias("vector"), _meeting(filters, filters).alias("__meet"))
+    kinds = [[f for f, off in zip(filters, kind, strict=True) if not off] for kind in facts["kinds"]]
+    keys = [F.when(all_set(kind), _meeting(filters, kind)) for kind in kinds]
+    meets = F.explode(F.array(*keys).cast("array<string>")).alias("__meet")
+    held = chunks.where(F.col(vector).isNotNull())  # without a vector there is no distance
+    held = held.select(F.col(chunk_id).alias("chunk"), F.col(vector).alias("vector"), meets).where(F.col("__meet").isNotNull())
+
+    def counted(meeting: DataFrame, name: str) -> DataFrame:
+        return meeting.groupBy("__meet").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(f"__{name}_blocks"))
+
+    # counted without the vectors, and kept, so that they are read once
+    sizes = stored(counted(asked.select("__meet"), "q").join(counted(chunks.select(meets), "c"), "__meet"), "block-sizes")
+    left = _blocks(asked, sizes, "query", "q", "c").groupBy("__meet", "__q", "__c")
+    right = _blocks(held, sizes, "chunk", "c", "q").groupBy("__meet", "__q", "__c")
+    schema = T.StructType([
+        T.StructField(query_id, queries.schema[query_id].dataType),
+        T.StructField(chunk_id, chunks.schema[chunk_id].dataType),
+        T.StructField("distance", T.DoubleType()),
+    ])
+    best = left.cogroup(right).applyInArrow(lambda q, c: _nearest(q, c, k, metric, (query_id, chunk_id)), schema)
     if max_dist is not None:
         best = best.where(F.col("distance") <= max_dist)
     order = Window.partitionBy(query_id).orderBy("distance", chunk_id)
@@ -311,53 +332,35 @@ def k_smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _score(chunks, batch, k, chunk_id, query_id, vector, filters, metric, schema) -> DataFrame:
-    if batch.empty:
-        return chunks.sparkSession.createDataFrame([], schema)
-    points = np.stack(batch[vector].to_numpy()).astype("float64")
-    names = batch[query_id].to_numpy()
-    conditions = [(f, batch[f].to_numpy(dtype=object)) for f in filters]
-    rows = chunks.select(chunk_id, vector, *filters)
-    # a filter that every query sets is pushed to the scan
-    for f, values in conditions:
-        if not pd.isna(values).any():
-            rows = rows.where(F.col(f).isin(*{v.item() if hasattr(v, "item") else v for v in values}))
-
-    def distances(block: np.ndarray) -> np.ndarray:
-        dots = points @ block.T
-        if metric == "cosine":
-            lengths = np.linalg.norm(points, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None, :]
-            return np.round(1 - dots / np.where(lengths == 0, 1, lengths), PLACES)
-        squares = (points**2).sum(axis=1)[:, None] + (block**2).sum(axis=1)[None, :]
-        return np.round(np.maximum(squares - 2 * dots, 0), PLACES)
-
-    block_rows = max(1, CELLS // len(points))
-
-    def blocks(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
-            for start in range(0, table.num_rows, block_rows):
-                yield table.slice(start, block_rows)
-
-    def nearest(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_d, kept_ids = np.empty((len(points), 0)), None
-        for table in blocks(tables):
-            ids = table.column(chunk_id).to_numpy(zero_copy_only=False)
-            block = np.stack(table.column(vector).to_numpy(zero_copy_only=False)).astype("float64")
-            d = distances(block)
-            for f, values in conditions:
-                own = np.array(table.column(f).to_pylist(), dtype=object)
-                d[~(pd.isna(values)[:, None] | (values[:, None] == own[None, :]))] = np.inf
-            ids = np.broadcast_to(ids, d.shape)
-            if kept_ids is not None:
-                d, ids = np.hstack([kept_d, d]), np.hstack([kept_ids, ids])
-            kept_d, kept_ids = k_smallest(d, ids, k)
-        if kept_ids is not None:
-            real = np.isfinite(kept_d)
-            owner = np.broadcast_to(names[:, None], kept_d.shape)
-            found = pd.DataFrame({query_id: owner[real], chunk_id: kept_ids[real], "distance": kept_d[real]})
-            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
-
-    return rows.mapInArrow(nearest, schema)
+def _points(rows: pa.Table) -> np.ndarray:
+    return np.stack(rows.column("vector").to_numpy(zero_copy_only=False)).astype("float64")
+
+
+def _distances(points: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
+    dots = points @ block.T
+    if metric == "cosine":
+        lengths = np.linalg.norm(points, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None, :]
+        return np.round(1 - dots / np.where(lengths == 0, 1, lengths), PLACES)
+    squares = (points**2).sum(axis=1)[:, None] + (block**2).sum(axis=1)[None, :]
+    return np.round(np.maximum(squares - 2 * dots, 0), PLACES)
+
+
+def _nearest(queries: pa.Table, chunks: pa.Table, k: int, metric: str, names: tuple[str, str]) -> pa.Table:
+    """The k nearest chunks of a block for each query of a block."""
+    if not len(queries) or not len(chunks):
+        empty = [queries.column("query").slice(0, 0), chunks.column("chunk").slice(0, 0), pa.array([], pa.float64())]
+        return pa.table(empty, names=[*names, "distance"])
+    points, block = _points(queries), _points(chunks)
+    ids = chunks.column("chunk").to_numpy(zero_copy_only=False)
+    kept_d, kept_ids = np.empty((len(points), 0)), np.empty((len(points), 0), ids.dtype)
+    step = max(1, CELLS // len(points))
+    for start in range(0, len(block), step):
+        d = _distances(points, block[start : start + step], metric)
+        own = np.broadcast_to(ids[start : start + step], d.shape)
+        kept_d, kept_ids = k_smallest(np.hstack([kept_d, d]), np.hstack([kept_ids, own]), k)
+    owner = np.repeat(np.arange(len(points)), kept_d.shape[1])
+    found = [queries.column("query").take(pa.array(owner)), pa.array(kept_ids.ravel(), chunks.schema.field("chunk").type), pa.array(kept_d.ravel())]
+    return pa.table(found, names=[*names, "distance"])
 
 
 def resolve_title(

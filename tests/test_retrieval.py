@@ -95,7 +95,7 @@ def vectors(spark):
 @pytest.mark.parametrize("batched", [False, True])
 def test_search_equals_brute_force(vectors, batched, monkeypatch):
     if batched:
-        monkeypatch.setattr(ops, "QUERY_BATCH_BYTES", 64)
+        monkeypatch.setattr(ops, "BLOCK_BYTES", 64)
     chunks, queries, rows, asked = vectors
     got = ops.search(chunks, queries, k=4, filters=["lesson"])
     want = []
@@ -115,6 +115,38 @@ def test_search_options(vectors):
         ops.search(chunks, queries, metric="dot")
 
 
+def test_ten_thousand_queries_scan_the_chunks_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ops, "BLOCK_BYTES", 1 << 16)
+    made = spark.range(400).select(
+        F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("chunk_id"),
+        F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)).cast("double") for i in range(4)]).alias("embedding"))
+    made.write.parquet(str(tmp_path / "chunks"))
+    asked = spark.range(10_000).select(
+        F.col("id").alias("query_id"), F.array(*[F.pmod(F.xxhash64("id", F.lit(9 + i)), F.lit(1000)).cast("double") for i in range(4)]).alias("embedding"))
+    found = ops.search(spark.read.parquet(str(tmp_path / "chunks")), asked, k=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "Union" not in plan
+    # the vectors are read by one scan; block sizes were counted without them
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert sum("embedding" in line for line in text.splitlines() if "FileScan" in line) == 1
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.distance) for r in found.collect()}
+    assert len(got) == 20_000
+    names, points = zip(*[(r.chunk_id, r.embedding) for r in made.collect()])
+    points = np.array(points)
+    for r in asked.where("query_id % 97 = 0").collect():
+        d = ((points - np.array(r.embedding)) ** 2).sum(1)
+        want = sorted(zip(d, names))[:2]
+        assert [got[r.query_id, n] for n in (1, 2)] == [(c, x) for x, c in want]
+
+
+def test_null_filters_of_chunks_and_queries(spark):
+    chunks = spark.createDataFrame([("a", [1.0], 1, "x"), ("b", [1.0], None, "x"), ("c", [1.0], 1, None), ("d", None, 1, "x")], "chunk_id string, embedding array<double>, n int, s string")
+    queries = spark.createDataFrame([(1, [1.0], None, None), (2, [1.0], 1, None), (3, [1.0], 1, "x"), (4, [1.0], None, "x"), (5, [1.0], 2, None), (6, None, 1, "x")],
+                                    "query_id int, embedding array<double>, n int, s string")
+    found = ops.search(chunks, queries, filters=["n", "s"])
+    assert rows_of(found, "query_id", "chunk_id") == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "c"), (3, "a"), (4, "a"), (4, "b")]
+
+
 def test_messages_and_format(spark):
     queries = spark.createDataFrame([(1, "X", None, ""), (2, "Y", 3, "Y full"), (3, "", None, "")], "query_id int, course string, lesson int, resolved string")
     hits = spark.createDataFrame([(3, 2, "B", None, "t2"), (3, 1, "A", 4, "t1")], "query_id int, rank int, course_title string, lesson_number int, content string")
