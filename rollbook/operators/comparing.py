@@ -11,34 +11,28 @@ from rollbook.functions.credentials import first_credential, norm_credential
 from rollbook.functions.names import name_key, name_key_mid
 from rollbook.functions.text import as_column, filled, norm, strip, zip5
 from rollbook.operators.reporting import consolidate
-from rollbook.scale import keyed_join, reused
+from rollbook.scale import keyed_join, stored
 
 
-def name_verdicts(npi: DataFrame, mn: DataFrame) -> DataFrame:
+def name_verdicts(stacked: DataFrame) -> DataFrame:
     """Per match key its verdict: matched, multi, possible, single (one side only) or shadowed.
 
-    Only counts per key are moved. `possible` is a shared last and first name that no match key confirms; `shadowed`
-    is a shared name confirmed under another middle initial, which belongs to no output.
+    Both sides are counted by one aggregation; only counts per key are moved. `possible` is a shared last and first name
+    that no match key confirms; `shadowed` is a shared name confirmed under another middle initial, which belongs to no
+    output.
     """
-    per_key = (
-        npi.groupBy("_match_key")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(mn.groupBy("_match_key").agg(F.count(F.lit(1)).alias("m")), "_match_key", "full")
-        .fillna(0, ["n", "m"])
-        .withColumn("_name_key", F.substring_index("_match_key", "|", 2))
-        .withColumn("matched", (F.col("n") == 1) & (F.col("m") == 1))
-        .withColumn("multi", (F.col("m") > 1) & (F.col("n") >= 1))
-    )
+    side = F.col("_source_type")
+    per_key = stacked.groupBy("_match_key", "_name_key").agg(F.count_if(side == "NPI").alias("n"), F.count_if(side == "MN").alias("m"))
+    matched, multi = (F.col("n") == 1) & (F.col("m") == 1), (F.col("m") > 1) & (F.col("n") >= 1)
+    per_key = per_key.withColumns({"matched": matched, "multi": multi})
     per_name = per_key.groupBy("_name_key").agg(
-        F.max((F.col("n") > 0).cast("int")).alias("in_npi"),
-        F.max((F.col("m") > 0).cast("int")).alias("in_mn"),
-        F.max((F.col("matched") | F.col("multi")).cast("int")).alias("confirmed"),
+        ((F.max("n") > 0) & (F.max("m") > 0)).alias("shared"), F.max(F.col("matched") | F.col("multi")).alias("confirmed")
     )
     verdict = (
         F.when(F.col("matched"), "matched")
         .when(F.col("multi"), "multi")
-        .when((F.col("in_npi") == 0) | (F.col("in_mn") == 0), "single")
-        .when(F.col("confirmed") == 0, "possible")
+        .when(~F.col("shared"), "single")
+        .when(~F.col("confirmed"), "possible")
         .otherwise("shadowed")
     )
     return keyed_join(per_key, per_name, ["_name_key"], "inner").select("_match_key", verdict.alias("__verdict"))
@@ -62,21 +56,18 @@ def compare(
             }
         )
 
-    left, right = keyed(npi, "NPI"), reused(keyed(consolidate(mn, order_by=order_by), "MN"), "compare-board")
-    verdicts = name_verdicts(left, right)
-    # every output reads both, so large ones are written once
-    left = reused(keyed_join(left, verdicts, ["_match_key"]), "compare-left")
-    right = reused(keyed_join(right, verdicts, ["_match_key"]), "compare-right")
+    left, right = keyed(npi, "NPI"), keyed(consolidate(mn, order_by=order_by), "MN")
+    # one table of both sides, written once; a second time with its verdicts, of which the six outputs are filters
+    stacked = stored(left.unionByName(right, allowMissingColumns=True), "compare-both")
+    judged = stored(keyed_join(stacked, name_verdicts(stacked), ["_match_key"]).where("__verdict <> 'shadowed'"), "compare-verdicts")
 
     def pick(verdict: str, kind: str | None = None) -> DataFrame:
-        both = left.where(F.col("__verdict") == verdict).unionByName(
-            right.where(F.col("__verdict") == verdict), allowMissingColumns=True
-        ).drop("__verdict")
+        both = judged.where(F.col("__verdict") == verdict).drop("__verdict")
         both = both.fillna("", [n for n, t in both.dtypes if t == "string"])
         return both.withColumn("_match_type", F.lit(kind)) if kind else both
 
-    def only(df: DataFrame) -> DataFrame:
-        return df.where("__verdict = 'single'").drop("__verdict")
+    def only(side: DataFrame, kind: str) -> DataFrame:
+        return judged.where((F.col("__verdict") == "single") & (F.col("_source_type") == kind)).select(*[F.col(f"`{c}`") for c in side.columns])
 
     def at_home(df: DataFrame) -> Column:
         return F.upper(strip(state)) == home if state in df.columns else F.lit(True)
@@ -84,9 +75,9 @@ def compare(
     return {
         "matched_1to1": pick("matched", "full_name+mid_initial"),
         "multi_specialty": pick("multi"),
-        "right_only": only(right).where(at_home(right)),
-        "left_only": only(left).where(at_home(left)),
-        "left_only_oos": only(left).where(~at_home(left)),
+        "right_only": only(right, "MN").where(at_home(right)),
+        "left_only": only(left, "NPI").where(at_home(left)),
+        "left_only_oos": only(left, "NPI").where(~at_home(left)),
         "possible": pick("possible", "name_no_middle"),
     }
 

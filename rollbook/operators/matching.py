@@ -168,22 +168,17 @@ def crossref(
 
     left = keyed(npi, norm_name("last_name"), norm_name("first_name"), zip5("zip5"), norm_name("primary_city"))
     right = keyed(ext, role("last", norm_name), role("first", norm_name), role("zip", zip5), role("city", norm_name))
-    prefixed = right.select(
-        *[as_column(c).alias(f"ext_{c}") for c in ext.columns], F.col("__zip_key"), F.col("__city_key")
-    )
     stages = [k for k, on in (("__zip_key", match_zip), ("__city_key", match_city)) if on]
-    parts = []
+    matched = None
     for key in stages:
         other = "__city_key" if key == "__zip_key" else "__zip_key"
-        parts.append(keyed_join(left.drop(other), prefixed.drop(other), [key], "inner").drop(key))
-        left, right, prefixed = (
-            keyed_join(left, right.select(key).where(F.col(key).isNotNull()).distinct(), [key], "left_anti"),
-            keyed_join(right, left.select(key).where(F.col(key).isNotNull()).distinct(), [key], "left_anti"),
-            keyed_join(prefixed, left.select(key).where(F.col(key).isNotNull()).distinct(), [key], "left_anti"),
-        )
-    matched = parts[0]
-    for part in parts[1:]:
-        matched = matched.unionByName(part)
+        external = right.select(*[as_column(c).alias(f"ext_{c}") for c in ext.columns], key)
+        pairs = keyed_join(left.drop(other), external, [key], "inner").drop(key)
+        matched = pairs if matched is None else matched.unionByName(pairs)
+        # the keys of both sides, found by one aggregation of narrow rows, take out what has matched
+        sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+        shared = sides.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r")).where("l = 1 and r = 1").select(key)
+        left, right = keyed_join(left, shared, [key], "left_anti"), keyed_join(right, shared, [key], "left_anti")
     return matched, left.select(*npi.columns), right.select(*ext.columns)
 
 

@@ -61,43 +61,45 @@ def _fits_broadcast(df: DataFrame) -> bool:
 
 
 def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Equi-join that splits the hot keys of `left`.
+    """Equi-join that splits hot keys.
 
     `how` is one of inner, left, left_semi, left_anti. A hot key's left rows are spread over as many salts as its row
-    count asks for and its right rows are repeated that often; other keys keep one salt. Output equals the plain join.
+    count asks for and its right rows are repeated that often. An inner join spreads a key that is hot on the right as
+    well: its rows form a grid, and every left row is repeated for the right salts. Other keys keep one salt. Rows with a
+    null key meet nothing; each has a salt of its own, so they do not gather. Output equals the plain join.
+
+    The left side is written once and read from there, so what it is computed from runs once, however many such joins
+    follow each other.
     """
     if is_small(left) or _fits_broadcast(right):
         return left.join(right, on, how)
     rows_per_salt = int(left.sparkSession.conf.get(ROWS_PER_SALT_CONF, str(DEFAULT_ROWS_PER_SALT)))
-    blank, filled = left.where(~_all_set(on)), left.where(_all_set(on))
-    # at most one key per rows_per_salt rows, so small enough to broadcast; stored once, read by both sides
-    hot = stored(
-        filled.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > rows_per_salt)
-        .select(*on, F.ceil(F.col("__rows") / F.lit(rows_per_salt)).cast("int").alias("__salts")),
-        "hot-keys",
-    )
-    hashable = [f"`{f.name}`" for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
-    spread = F.xxhash64(*[F.col(c) for c in hashable])
-    salted_left = (
-        filled.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.pmod(spread, F.coalesce(F.col("__salts"), F.lit(1))).cast("int"))
-        .drop("__salts")
-    )
-    salted_right = (
-        right.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
-        .drop("__salts")
-    )
-    met = salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
-    if how in ("inner", "left_semi"):
-        return met
-    # rows with a null key meet nothing and are not shuffled
-    return met.unionByName(blank, allowMissingColumns=True)
-
-
-def _all_set(columns: list[str]):
+    left = stored(left, "join-left")
+    sides = left.select(*on, F.lit(1).alias("__n_l"), F.lit(0).alias("__n_r"))
+    if how == "inner":
+        right = stored(right, "join-right")
+        sides = sides.unionByName(right.select(*on, F.lit(0).alias("__n_l"), F.lit(1).alias("__n_r")))
+    # at most one key per rows_per_salt rows of either side, so small enough to broadcast
+    counts = sides.where(all_set(on)).groupBy(*on).agg(F.sum("__n_l").alias("__n_l"), F.sum("__n_r").alias("__n_r"))
+    hot = counts.where((F.col("__n_l") > rows_per_salt) | (F.col("__n_r") > rows_per_salt))
+    salts = [F.greatest(F.ceil(F.col(f"__n_{side}") / F.lit(rows_per_salt)), F.lit(1)).alias(f"__salts_{side}") for side in "lr"]
+    hot = stored(hot.select(*on, *salts), "hot-keys")
+
+    def salted(rows: DataFrame, own: str, other: str) -> DataFrame:
+        hashable = [f"`{f.name}`" for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+        spread = F.xxhash64(*[F.col(c) for c in hashable])
+        met = rows.join(F.broadcast(hot), on, "left")
+        one = F.lit(1).cast("long")
+        place = F.when(all_set(on), F.pmod(spread, F.coalesce(F.col(f"__salts_{own}"), one))).otherwise(spread)
+        every = F.explode(F.sequence(one - 1, F.coalesce(F.col(f"__salts_{other}"), one) - 1))
+        return met.withColumn(f"__salt_{own}", place).withColumn(f"__salt_{other}", every).drop("__salts_l", "__salts_r")
+
+    both = [*on, "__salt_l", "__salt_r"]
+    return salted(left, "l", "r").join(salted(right, "r", "l"), both, how).drop("__salt_l", "__salt_r")
+
+
+def all_set(columns: list[str]) -> Column:
+    """True where none of the columns is null."""
     test = F.lit(True)
     for c in columns:
         test = test & F.col(f"`{c}`").isNotNull()

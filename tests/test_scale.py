@@ -83,3 +83,17 @@ def test_segmented_spreads_one_key(spark):
     assert found.where(F.col("n") != F.col("_ord") + 1).count() == 0
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert "__segment" in text and scale.segmented(rows.limit(0), ["key"], [F.asc("_ord")], "n").count() == 0
+
+
+def test_keys_hot_on_either_side_form_a_grid(spark, spread, tmp_path):
+    """Three thousand hot keys left, three thousand right, some on both, blank keys on both."""
+    made = spark.range(24_000).select(F.col("id"), F.when(F.col("id") % 50 > 0, F.col("id") % 3000).alias("k"))
+    made.write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    right = spark.range(21_000).select((F.col("id") * 7).alias("v"), F.when(F.col("id") % 70 > 0, 1500 + F.col("id") % 3000).alias("k"))
+    got, want = scale.keyed_join(left, right, ["k"], "inner"), left.join(right, ["k"], "inner")
+    assert got.columns == want.columns
+    total = [F.count(F.lit(1)), F.sum(F.xxhash64(*want.columns) % 1_000_003), F.count_distinct(*want.columns)]
+    assert got.agg(*total).first() == want.agg(*total).first()
+    plan = got._jdf.queryExecution().toString()
+    assert "__salt_r" in plan and f"{tmp_path}/left" not in plan  # the left side was read once, to be stored
