@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.addresses import norm_addr
-from rollbook.functions.names import fullname_variants, name_variants
-from rollbook.functions.text import as_column, filled, norm, zip5
+from rollbook.functions.text import as_column, norm, zip5
 from rollbook.operators.cleaning import in_states
-from rollbook.scale import keyed_join, reused
+from rollbook.scale import keyed_join, stored
 
 AddressSet = tuple[str, str | None, str | None, str | None]
 
@@ -80,21 +79,28 @@ def _finish(rows: DataFrame, verdicts: DataFrame, group: str, columns: Sequence[
     )
 
 
-def _judge(groups: DataFrame, table: DataFrame, group: str, by_norm: bool) -> DataFrame:
+def _judge(asked: DataFrame, evidence: DataFrame, group: str, by_norm: bool) -> DataFrame:
     """Status, count and address text per distinct group of keys.
 
-    The people behind a group are found first, over distinct (key, npi, middle). Only groups that are one person meet
-    the addresses, so a frequent name shared by many people never multiplies or collects its addresses.
+    Whether several people are behind a group is told by the least and the greatest NPI and middle initial, which costs a
+    name of a million people four values. Only groups that are one person meet the addresses, only the others the list of
+    their NPIs, which is made distinct per key before it meets them.
     """
+    groups = asked.select(group).where(F.col(group).isNotNull()).distinct()
     keys = groups.select(group, F.explode(F.split(group, "\u0001")).alias("key")).where("key <> ''")
-    persons = table.select("key", "npi", "middle").distinct()
-    people = keyed_join(persons, keys, ["key"], "inner").groupBy(group).agg(
-        F.array_sort(F.collect_set(F.nullif("npi", F.lit("")))).alias("npis"),
-        F.size(F.collect_set(F.nullif("middle", F.lit("")))).alias("middles"),
+    marks = {"npi": F.nullif("npi", F.lit("")), "middle": F.nullif("middle", F.lit(""))}
+    persons = evidence.groupBy("key").agg(*[f(c).alias(f"{n}_{e}") for n, c in marks.items() for e, f in (("lo", F.min), ("hi", F.max))])
+    people = keyed_join(keys, persons, ["key"], "inner").groupBy(group).agg(
+        F.coalesce(F.min("npi_lo") < F.max("npi_hi"), F.lit(False)).alias("npis"),
+        F.coalesce(F.min("middle_lo") < F.max("middle_hi"), F.lit(False)).alias("middles"),
     )
-    several = (F.size("npis") > 1) | (F.col("middles") > 1)
-    calm = keyed_join(keys, people.where(~several).select(group), [group], "left_semi")
-    met = keyed_join(table, calm, ["key"], "inner")
+    people = stored(people.select(group, (F.col("npis") | F.col("middles")).alias("several")), "people")
+
+    def behind(rows: DataFrame, several: bool) -> DataFrame:
+        wanted = people.where(F.col("several") == several).select(group)
+        return keyed_join(rows, keyed_join(keys, wanted, [group], "left_semi"), ["key"], "inner")
+
+    met = behind(evidence, False)
     if by_norm:
         longest = F.struct((-F.length("raw")).alias("len"), F.col("at"))
         slots = met.groupBy(group, "norm").agg(F.min("at").alias("at"), F.min_by("raw", longest).alias("raw"))
@@ -103,19 +109,23 @@ def _judge(groups: DataFrame, table: DataFrame, group: str, by_norm: bool) -> Da
     addresses = slots.groupBy(group).agg(
         F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("raws"), F.count_distinct("norm").alias("norms")
     )
-    status = F.when(several, "name_collision_different_people").when(F.size("raws") == 1, "unique")
+    status = F.when(F.size("raws") == 1, "unique")
     if not by_norm:
         status = status.when(F.col("norms") == 1, "same_address_variant")
-    shown = F.when(F.size("npis") > 0, F.array_join("npis", " | ")).otherwise("no NPI")
-    people_count = F.when(F.size("npis") > 0, F.size("npis")).otherwise(F.col("middles"))
-    return people.join(addresses, group, "left").select(
-        group,
-        status.otherwise("multiple_addresses").alias("address_status"),
-        F.when(several, people_count).otherwise(F.size("raws")).alias("address_count"),
-        F.when(several, F.concat(F.lit("NPIs: "), shown))
-        .otherwise(F.array_join(F.transform("raws", lambda r: r["raw"]), " | "))
-        .alias("addresses_found"),
+    calm = addresses.select(
+        group, status.otherwise("multiple_addresses").alias("address_status"), F.size("raws").alias("address_count"),
+        F.array_join(F.transform("raws", lambda r: r["raw"]), " | ").alias("addresses_found"),
+    )
+    named = behind(evidence.select("key", "npi", "middle").distinct(), True).groupBy(group).agg(
+        F.array_sort(F.collect_set(marks["npi"])).alias("npis"), F.count_distinct(marks["middle"]).cast("int").alias("middles")
+    )
+    listed = F.when(F.size("npis") > 0, F.array_join("npis", " | ")).otherwise("no NPI")
+    clash = named.select(
+        group, F.lit("name_collision_different_people").alias("address_status"),
+        F.when(F.size("npis") > 0, F.size("npis")).otherwise(F.col("middles")).alias("address_count"),
+        F.concat(F.lit("NPIs: "), listed).alias("addresses_found"),
     )
+    return calm.unionByName(clash)
 
 
 def address_status(
@@ -134,10 +144,9 @@ def address_status(
     address|city|zip, raw and abbreviated (`multi` profile).
     """
     entries = _entries(refs, ref_names, ref_sets, ref_npi, ref_middle, order_by, "multi", None)
-    table = reused(_per_key(entries.withColumn("name", F.explode("names")), F.col("name")), "address-keys")
-    rows = mailing.withColumn("__group", F.nullif(_signature(names), F.lit("")))
-    groups = rows.select("__group").where("__group is not null").distinct()
-    return _finish(rows, _judge(groups, table, "__group", False), "__group", mailing.columns, "not_in_originals")
+    evidence = stored(_per_key(entries.withColumn("name", F.explode("names")), F.col("name")), "evidence")
+    rows = stored(mailing.withColumn("__group", F.nullif(_signature(names), F.lit(""))), "asked")
+    return _finish(rows, _judge(rows, evidence, "__group", False), "__group", mailing.columns, "not_in_originals")
 
 
 def address_status_round2(
@@ -158,32 +167,18 @@ def address_status_round2(
     street is compared (`round2` profile); the longest spelling is shown.
     """
     entries = _entries(refs, ref_names, ref_sets, ref_npi, ref_middle, order_by, "round2", states)
-    by_npi = _per_key(entries, F.when(F.col("npi") != "", F.concat(F.lit("npi:"), F.col("npi"))).otherwise(""))
-    by_name = _per_key(
-        entries.withColumn("name", F.explode("names")),
-        F.when(F.col("name") != "", F.concat(F.lit("name:"), F.col("name"))).otherwise(""),
-    )
-    number = norm(npi) if npi else F.lit("")
-    rows = mailing.withColumn("__npi", F.when(number != "", F.concat(F.lit("npi:"), number)))
-    table = reused(by_npi.unionByName(by_name), "address-keys")
-    known = table.where(F.col("key").startswith("npi:")).select(F.col("key").alias("__npi")).distinct()
-    known = known.withColumn("__known", F.lit(True))
-    rows = keyed_join(rows, known, ["__npi"])
+    # one row per key: the NPI and every name, told apart by a prefix
+    number = F.when(F.col("npi") != "", F.concat(F.lit("npi:"), F.col("npi")))
+    called = F.transform(F.filter("names", lambda k: k != ""), lambda k: F.concat(F.lit("name:"), k))
+    each = entries.withColumn("key", F.explode(F.concat(F.array_compact(F.array(number)), called)))
+    evidence = stored(_per_key(each, F.col("key")), "evidence")
+    wanted = norm(npi) if npi else F.lit("")
     signature = _signature(F.transform(F.filter(names, lambda k: k != ""), lambda k: F.concat(F.lit("name:"), k)))
-    rows = rows.withColumn(
-        "__group", F.when(F.col("__known"), F.col("__npi")).otherwise(F.nullif(signature, F.lit("")))
-    )
-    groups = rows.select("__group").where("__group is not null").distinct()
-    verdicts = _judge(groups, table, "__group", True)
+    rows = mailing.withColumns({"__npi": F.when(wanted != "", F.concat(F.lit("npi:"), wanted)), "__names": F.nullif(signature, F.lit(""))})
+    known = evidence.where(F.col("key").startswith("npi:")).select(F.col("key").alias("__npi")).distinct()
+    rows = keyed_join(rows, known.withColumn("__known", F.lit(True)), ["__npi"])
+    rows = stored(rows.withColumn("__group", F.when(F.col("__known"), F.col("__npi")).otherwise(F.col("__names"))), "asked")
+    verdicts = _judge(rows, evidence, "__group", True)
     done = _finish(rows, verdicts, "__group", [*mailing.columns, "__known"], "not_in_gold")
     method = F.when(F.col("address_status") == "not_in_gold", "none").when(F.col("__known"), "npi").otherwise("name")
     return done.withColumn("_match_method", method).drop("__known")
-
-
-def gold_names(full: str | None, last: str | None, first: str | None, round2: bool = True) -> Column:
-    """Reference name keys: from the full name when it is filled, else from last and first."""
-    parts = name_variants(last or F.lit(""), first or F.lit(""))
-    if not full:
-        return parts
-    whole = fullname_variants(full, 2, keep_full=False) if round2 else fullname_variants(full, 3)
-    return F.when(filled(full) != "", whole).otherwise(parts)

@@ -13,7 +13,7 @@ from rollbook.functions.names import first_token_key, name_addr_key
 from rollbook.functions.text import as_column, filled, norm, strip, zip5
 from rollbook.operators.cleaning import reorder
 from rollbook.operators.dedup import whole_row
-from rollbook.scale import global_rank, keyed_join
+from rollbook.scale import global_rank, keyed_join, segmented, stored
 
 # --- joining texts per key ---------------------------------------------------------------------
 
@@ -124,6 +124,35 @@ def pivot_wide(
 # --- several addresses per person --------------------------------------------------------------
 
 
+def _addressed(df: DataFrame, last: str, first: str, addr: str, city: str, zip_: str, order_by: str, blank_is_key: bool) -> DataFrame:
+    """Rows with the person (`__who`) and the address as it is compared (`__a`, `__c`, `__z`)."""
+    key = first_token_key(last, first)
+    lone = F.lit("") if blank_is_key else F.when(key == "|", F.to_json(F.struct(order_by))).otherwise("")
+    rows = df.withColumn("_norm_key", key).withColumn("__who", F.concat_ws("\u0001", key, lone))
+    return rows.withColumns({"__a": norm(addr), "__c": norm(city), "__z": zip5(zip_)})
+
+
+def _slots(rows: DataFrame, addr: str, city: str, zip_: str, order_by: str) -> DataFrame:
+    """(__who, __a, __c, __z, at, address, city, zip, slot): the different addresses of each person, numbered from 1 in the order
+    in which they first occur; a person of any number of addresses is numbered over as many segments as needed."""
+    raw = F.struct(filled(addr).alias("address"), filled(city).alias("city"), filled(zip_).alias("zip"))
+    each = rows.groupBy("__who", "__a", "__c", "__z").agg(F.min(order_by).alias("at"), F.min_by(raw, order_by).alias("raw"))
+    return stored(segmented(each.select("__who", "__a", "__c", "__z", "at", "raw.*"), ["__who"], [F.asc("at")], "slot"), "slots")
+
+
+def address_slots(
+    df: DataFrame, last: str = "last_name", first: str = "first_name", addr: str = "primary_address_1", city: str = "primary_city",
+    zip_: str = "zip5", order_by: str = "_ord", blank_is_key: bool = False,
+) -> DataFrame:
+    """(person, slot, at, address, city, zip): the long form of the addresses of each person.
+
+    `person` is the order value of the person's first row, `at` that of the address's first row.
+    """
+    slots = _slots(_addressed(df, last, first, addr, city, zip_, order_by, blank_is_key), addr, city, zip_, order_by)
+    people = slots.where("slot = 1").select("__who", F.col("at").alias("person"))
+    return keyed_join(slots, people, ["__who"], "inner").select("person", F.col("slot").cast("int").alias("slot"), "at", "address", "city", "zip")
+
+
 def addresses_wide(
     df: DataFrame,
     last: str = "last_name",
@@ -133,46 +162,33 @@ def addresses_wide(
     zip_: str = "zip5",
     order_by: str = "_ord",
     blank_is_key: bool = False,
+    *,
+    slots: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """(wide, dropped): one row per person with address_n, city_n, zip_n in first-seen order and num_addresses.
+    """(wide, dropped): one row per person with num_addresses and the first `slots` addresses as address_n, city_n, zip_n.
 
-    An address repeated for the same person is dropped and logged with everything seen before it; a blank address
-    takes one slot. Nameless rows stay apart unless `blank_is_key`. The number of slots is read by one small job.
+    All addresses of a person are in `address_slots`. An address repeated for the same person is dropped and logged with
+    everything seen before it; a blank address takes one slot. Nameless rows stay apart unless `blank_is_key`.
     """
-    key = first_token_key(last, first)
-    lone = F.lit("") if blank_is_key else F.when(key == "|", F.to_json(F.struct(order_by))).otherwise("")
-    rows = df.withColumn("_norm_key", key).withColumn("__who", F.concat_ws("\u0001", key, lone))
-    parts = {"__a": norm(addr), "__c": norm(city), "__z": zip5(zip_)}
-    rows = rows.withColumns(parts)
-    raw = F.struct(
-        as_column(order_by).alias("at"), filled(addr).alias("addr"), filled(city).alias("city"), filled(zip_).alias("zip"),
-        F.concat_ws("|", "__a", "__c", "__z").alias("key"),
-    )
-    slots = (
-        rows.groupBy("__who", "__a", "__c", "__z")
-        .agg(F.min_by(raw, order_by).alias("__slot"))
-        .groupBy("__who")
-        .agg(F.array_sort(F.collect_list("__slot")).alias("__slots"))
-    )
+    rows = _addressed(df, last, first, addr, city, zip_, order_by, blank_is_key)
+    found = _slots(rows, addr, city, zip_, order_by)
     base = [c for c in df.columns if c not in (addr, city, zip_)] + ["_norm_key"]
     people = rows.groupBy("__who").agg(F.min_by(F.struct(*[as_column(c) for c in base]), order_by).alias("__row"))
-    both = people.join(slots, "__who")
-    most = slots.agg(F.max(F.size("__slots"))).first()[0] or 0
-    wide = both.select(
-        *[F.col("__row")[c].alias(c) for c in base],
-        F.size("__slots").alias("num_addresses"),
-        *[
-            F.coalesce(F.get("__slots", F.lit(i))[part], F.lit("")).alias(f"{name}_{i + 1}")
-            for i in range(most)
-            for name, part in (("address", "addr"), ("city", "city"), ("zip", "zip"))
-        ],
+    numbers = found.groupBy("__who").agg(
+        F.max("slot").cast("int").alias("num_addresses"),
+        *[F.max(F.when(F.col("slot") == i, F.col(part))).alias(f"{part}_{i}") for i in range(1, slots + 1) for part in ("address", "city", "zip")],
     )
-    seen = slots.where(F.exists("__slots", lambda s: s["addr"] != ""))
-    repeated = keyed_join(rows.where("__a <> ''"), seen, ["__who"], "inner").where(
-        ~F.exists("__slots", lambda s: s["at"] == as_column(order_by))
+    filled_slots = [F.coalesce(f"{part}_{i}", F.lit("")).alias(f"{part}_{i}") for i in range(1, slots + 1) for part in ("address", "city", "zip")]
+    wide = people.join(numbers, "__who").select(*[F.col("__row")[c].alias(c) for c in base], "num_addresses", *filled_slots)
+    same = ["__who", "__a", "__c", "__z"]
+    repeated = keyed_join(rows.where("__a <> ''"), found.select(*same, F.col("at").alias("__at")), same, "inner")
+    repeated = repeated.where(F.col("__at") != as_column(order_by))
+    # what was seen is only gathered for people with a repeated address; the log shows all of it
+    seen = keyed_join(found, repeated.select("__who").distinct(), ["__who"], "left_semi").groupBy("__who").agg(
+        F.array_sort(F.collect_list(F.struct("at", F.concat_ws("|", "__a", "__c", "__z").alias("key")))).alias("__seen")
     )
-    earlier = F.filter("__slots", lambda s: s["at"] < as_column(order_by))
-    dropped = repeated.select(
+    earlier = F.filter("__seen", lambda s: s["at"] < as_column(order_by))
+    dropped = keyed_join(repeated, seen, ["__who"], "inner").select(
         as_column(last), as_column(first), filled(addr).alias("dup_address"), filled(city).alias("dup_city"),
         filled(zip_).alias("dup_zip"), F.col("__a").alias("norm_addr"), F.col("__c").alias("norm_city"),
         F.col("__z").alias("norm_zip"), F.array_join(F.transform(earlier, lambda s: s["key"]), " || ").alias("all_seen"),
@@ -180,21 +196,30 @@ def addresses_wide(
     return wide, dropped
 
 
+def found_addresses(
+    df: DataFrame, keep: Sequence[str], found: str = "addresses_found", status: str = "address_status"
+) -> DataFrame:
+    """(keep, slot, addr, city, zip): the long form of the addresses found for rows with several."""
+    rows = df.where(F.col(status) == "multiple_addresses").select(*keep, F.posexplode(parse_addresses(found)).alias("slot", "a"))
+    return rows.select(*keep, (F.col("slot") + 1).alias("slot"), "a.*")
+
+
 def addresses_compare(
     df: DataFrame, keep: Sequence[str], addr: str, city: str, zip_: str, found: str = "addresses_found",
-    status: str = "address_status",
+    status: str = "address_status", *, slots: int,
 ) -> DataFrame:
-    """The mailing address beside gold_addr_n, gold_city_n, gold_zip_n for rows with several addresses."""
+    """The mailing address beside the first `slots` of gold_addr_n, gold_city_n, gold_zip_n for rows with several addresses,
+    and how many there are; `found_addresses` has all."""
     rows = df.where(F.col(status) == "multiple_addresses").withColumn("__parsed", parse_addresses(found))
-    most = rows.agg(F.max(F.size("__parsed"))).first()[0] or 0
     return rows.select(
         *[as_column(c) for c in keep],
         filled(addr).alias("mail_address"),
         filled(city).alias("mail_city"),
         filled(zip_).alias("mail_zip"),
+        F.size("__parsed").alias("num_addresses"),
         *[
             F.coalesce(F.get("__parsed", F.lit(i))[part], F.lit("")).alias(f"gold_{part}_{i + 1}")
-            for i in range(most)
+            for i in range(slots)
             for part in ("addr", "city", "zip")
         ],
     )
@@ -231,10 +256,11 @@ def identifiers(df: DataFrame, npi: str, last: str, first: str, middle: str, sou
     return ids.where("identifier <> '||'")
 
 
-def overlap_matrix(ids: DataFrame) -> DataFrame:
-    """Shared identifiers per pair of sources, by NPI and by name; pairs that share nothing are listed with 0.
+def overlap_matrix(ids: DataFrame, zeros: bool = False) -> DataFrame:
+    """Shared identifiers per pair of sources, by NPI and by name.
 
-    Identifiers are first counted per set of sources, so pairs are formed over a handful of sets and not over rows.
+    Identifiers are first counted per set of sources, so pairs are formed only from sets that occur, and not over rows.
+    With `zeros` every other pair of sources is listed too, with 0; that table grows with the square of the sources.
     """
     sets = (
         ids.groupBy("match_type", "identifier")
@@ -242,8 +268,6 @@ def overlap_matrix(ids: DataFrame) -> DataFrame:
         .groupBy("match_type", "sources")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    every = ids.select("source").distinct().agg(F.array_sort(F.collect_list("source")).alias("sources"))
-
     def pairs(df: DataFrame, *keep: str) -> DataFrame:
         one = df.select(*keep, "sources", F.posexplode("sources").alias("at", "file_1"))
         later = F.slice("sources", F.col("at") + 2, F.size("sources"))
@@ -253,7 +277,10 @@ def overlap_matrix(ids: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("match_type") == "npi", F.col("n")).otherwise(0)).alias("shared_by_npi"),
         F.sum(F.when(F.col("match_type") == "name", F.col("n")).otherwise(0)).alias("shared_by_name"),
     )
-    counts = pairs(every).join(shared, ["file_1", "file_2"], "left").fillna(0)
+    counts = shared
+    if zeros:
+        every = ids.agg(F.array_sort(F.collect_set("source")).alias("sources"))
+        counts = pairs(every).join(shared, ["file_1", "file_2"], "left").fillna(0)
     return counts.withColumn("total_shared", F.col("shared_by_npi") + F.col("shared_by_name"))
 
 

@@ -15,6 +15,7 @@ from rollbook.functions.questions import (
     scale_of, short_label,
 )
 from rollbook.functions.text import as_column, coalesce_blank, filled, normalize_county, strip
+from rollbook.scale import segmented, stored
 
 SINGLE = "Single choice"
 MULTIPLE = "Select all that apply"
@@ -142,7 +143,8 @@ def freq_single(
 ) -> DataFrame:
     """question, type, response, n, pct, n_answered, question_order, response_order for single-choice columns.
 
-    Known scales come in scale order, then every other answer by count and text. One long-form pass, one small shuffle.
+    Known scales come in scale order, then every other answer by count and text. One long-form pass counts the answers;
+    only those counts are ranked and added up, in segments of bounded size.
     """
     at = {c: (positions or {}).get(c, i) for i, c in enumerate(columns)}
     entries = [
@@ -170,14 +172,14 @@ def freq_single(
         table = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
         own = F.concat_ws("|", F.col("question_order").cast("string"), "response")
         rank = F.coalesce(F.try_element_at(table, own), rank)
-    counts = counts.withColumn("scale", rank)
-    per_question = Window.partitionBy(*keys)
-    return counts.select(
-        *by, "question", F.lit(SINGLE).alias("type"), "response", "n",
-        percent(F.col("n"), F.sum("n").over(per_question)).alias("pct"),
-        F.sum("n").over(per_question).alias("n_answered"),
-        "question_order",
-        F.row_number().over(per_question.orderBy("scale", F.desc("n"), "response")).alias("response_order"),
+    counts = stored(counts.withColumn("scale", rank), "answer-counts")
+    # a question with very many different answers is numbered over as many segments as they need
+    ranked = segmented(counts, keys, [F.asc("scale"), F.desc("n"), F.asc("response")], "response_order")
+    totals = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum("n").alias("n_answered"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return ranked.join(totals, same).select(
+        *by, "question", F.lit(SINGLE).alias("type"), "response", "n", percent(F.col("n"), F.col("n_answered")).alias("pct"), "n_answered",
+        "question_order", F.col("response_order").cast("int").alias("response_order"),
     )
 
 

@@ -182,10 +182,15 @@ def reprocess_health_systems(
 
 def crossref_manual_list(
     manual: DataFrame, master: DataFrame, last: str, first: str, middle: str | None, addr: str, city: str, zip_: str,
-    master_last: str = "last_name", master_first: str = "first_name", master_middle: str | None = "middle_name",
+    master_last: str = "last_name", master_first: str = "first_name", master_middle: str | None = "middle_name", slots: int | None = None,
 ) -> Tables:
-    """A hand-collected list, one row per person with all addresses, looked up in the master list."""
-    wide, dropped = reporting.addresses_wide(manual, last, first, addr, city, zip_)
+    """A hand-collected list, one row per person, looked up in the master list.
+
+    Rows are as wide as `slots`, or as the busiest person where that is not given; `address_slots` has all addresses as rows.
+    """
+    long = reporting.address_slots(manual, last, first, addr, city, zip_)
+    slots = slots or long.agg(F.max("slot")).first()[0] or 0
+    wide, dropped = reporting.addresses_wide(manual, last, first, addr, city, zip_, slots=slots)
     own = names.mixed_name_keys(last, first)
     theirs = names.mixed_name_keys(master_last, master_first)
     mid = filled(master_middle) if master_middle else F.lit("")
@@ -198,6 +203,7 @@ def crossref_manual_list(
         "not_in_master": rows.where("__hit is null").select(*plain),
         "matched": rows.where("__hit is not null").select(*plain, "master_name_match", "match_quality"),
         "multiple_address_rows": wide.where("num_addresses > 1").drop("_norm_key"),
+        "address_slots": long,
         "dropped_rows": dropped,
         "reconciliation": reporting.reconcile(manual, wide, dropped),
     }

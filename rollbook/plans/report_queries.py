@@ -85,8 +85,22 @@ _SLOTS = dict(
 )
 
 
-def _wide_addresses(spark, sf_dir):
-    return reporting.addresses_wide(people(spark, sf_dir), addr="primary_city", city="source_file", zip_="status")
+_PLACES = {"addr": "primary_city", "city": "source_file", "zip_": "status"}
+
+
+def _address_slots(spark, sf_dir):
+    return reporting.address_slots(people(spark, sf_dir), **_PLACES)
+
+
+def _wide_addresses(spark, sf_dir, slots):
+    return reporting.addresses_wide(people(spark, sf_dir), **_PLACES, slots=slots)
+
+
+@query("f3_address_slots", sql.with_inputs(
+    "p", "select min(s.o) over (partition by s.who) as person, cast(row_number() over (partition by s.who order by s.o) as integer) as slot, s.o as at, x.primary_city as address, "
+    "x.source_file as city, x.status as zip from s join p x on x._ord = s.o", **_SLOTS))
+def _slots(spark, sf_dir):
+    return _address_slots(spark, sf_dir)
 
 
 @query("f3_addresses_wide", sql.with_inputs(
@@ -94,8 +108,8 @@ def _wide_addresses(spark, sf_dir):
     "string_agg(x.primary_city || '/' || x.source_file || '/' || x.status, ' || ' order by s.o) as addrs, min(s.o) as first "
     "from s join p x on x._ord = s.o group by who) t join p f on f._ord = t.first", **_SLOTS))
 def _addresses_wide(spark, sf_dir):
-    wide, _ = _wide_addresses(spark, sf_dir)
-    n = sum(c.startswith("address_") for c in wide.columns)
+    n = _address_slots(spark, sf_dir).agg(F.max("slot")).first()[0] or 0  # this table is to show all of them
+    wide, _ = _wide_addresses(spark, sf_dir, n)
     slots = [F.when(F.col("num_addresses") >= i, F.concat_ws("/", f"address_{i}", f"city_{i}", f"zip_{i}")) for i in range(1, n + 1)]
     return wide.select("_ord", "num_addresses", F.concat_ws(" || ", *slots).alias("all_addresses"))
 
@@ -105,14 +119,14 @@ def _addresses_wide(spark, sf_dir):
     "r.c as norm_city, r.z as norm_zip, (select string_agg(s.a || '|' || s.c || '|' || s.z, ' || ' order by s.o) from s where s.who = r.who and s.o < r._ord) "
     "as all_seen from r join s t on t.who = r.who and t.a = r.a and t.c = r.c and t.z = r.z where r._ord <> t.o and r.a <> ''", **_SLOTS))
 def _addresses_dropped(spark, sf_dir):
-    return _wide_addresses(spark, sf_dir)[1]
+    return _wide_addresses(spark, sf_dir, 1)[1]
 
 
 @query("f27_reconcile", sql.with_inputs(
     "p", "select i as input_rows, u as unique_rows, t - u as extra_slots, i - t as dropped_rows, i as accounted, cast(0 as bigint) as difference from "
     "(select (select count(*) from p) as i, (select count(distinct who) from r) as u, (select count(*) from s) as t)", **_SLOTS))
 def _reconcile(spark, sf_dir):
-    wide, dropped = _wide_addresses(spark, sf_dir)
+    wide, dropped = _wide_addresses(spark, sf_dir, 1)
     return reporting.reconcile(people(spark, sf_dir), wide, dropped)
 
 
@@ -138,7 +152,7 @@ def _ids(spark, sf_dir, source="source_file"):
     + " from files a join files b on a.file < b.file)",
     ids=_IDS, files="select distinct file from ids"))
 def _overlap(spark, sf_dir):
-    return reporting.overlap_matrix(_ids(spark, sf_dir))
+    return reporting.overlap_matrix(_ids(spark, sf_dir), zeros=True)
 
 
 @query("f5_overlap_details", sql.with_inputs(
@@ -326,23 +340,30 @@ _COUNT = (f"coalesce(case when {_COLLISION} then case when v.npis > 0 then v.npi
 _FOUND = (f"coalesce(case when {_COLLISION} then 'NPIs: ' || coalesce(v.npi_text, 'no NPI') else a.shown end, '')")
 
 
-@query("g1_address_status", sql.with_inputs(
-    "p m",
-    f"select m._ord, case when v._ord is null then 'not_in_originals' {_COMMON} when a.norms = 1 then 'same_address_variant' else 'multiple_addresses' end as address_status, "
-    f"cast({_COUNT} as integer) as address_count, {_FOUND} as addresses_found from m left join v on v._ord = m._ord left join a on a._ord = m._ord",
+_G1 = dict(
     e=_entries_sql("multi", False),
     pk=f"select _ord as ro, unnest(keys) as k from ({_PEOPLE_KEYS})",
     mk="select _ord, unnest(keys) as k from (" + sql.fullname_variants("(select _ord, full_name from m)", "full_name", 3) + ")",
     met="select distinct mk._ord, e.npi, e.mid, e.raw, e.nk, e.pos from mk join pk using (k) join e using (ro) where k <> ''",
     v=_PEOPLE_VERDICT,
     s="select _ord, raw, min(pos) as pos, arg_min(nk, pos) as nk from met group by 1, 2",
-    a="select _ord, count(*) as n, count(distinct nk) as norms, string_agg(raw, ' | ' order by pos) as shown from s group by 1"))
-def _status(spark, sf_dir):
+    a="select _ord, count(*) as n, count(distinct nk) as norms, string_agg(raw, ' | ' order by pos) as shown from s group by 1",
+)
+
+
+def _judged(spark, sf_dir):
     sets = [(*_A1, None), (*_A2, None)]
-    done = classifying.address_status(
+    return classifying.address_status(
         board(spark, sf_dir), people(spark, sf_dir), names.fullname_variants("full_name", 3),
         names.name_variants("last_name", "first_name"), sets)
-    return done.select("_ord", "address_status", "address_count", "addresses_found")
+
+
+@query("g1_address_status", sql.with_inputs(
+    "p m",
+    f"select m._ord, case when v._ord is null then 'not_in_originals' {_COMMON} when a.norms = 1 then 'same_address_variant' else 'multiple_addresses' end as address_status, "
+    f"cast({_COUNT} as integer) as address_count, {_FOUND} as addresses_found from m left join v on v._ord = m._ord left join a on a._ord = m._ord", **_G1))
+def _status(spark, sf_dir):
+    return _judged(spark, sf_dir).select("_ord", "address_status", "address_count", "addresses_found")
 
 
 @query("g2_address_status_round2", sql.with_inputs(
@@ -367,16 +388,27 @@ def _status2(spark, sf_dir):
     return done.select("_ord", "address_status", "address_count", "addresses_found", "_match_method")
 
 
+# F4 takes up the rows that G1 found to have several addresses
+_SEVERAL = f"from m join v on v._ord = m._ord join a on a._ord = m._ord where not {_COLLISION} and a.n > 1 and a.norms > 1"
+_NTH = "(select * from (select *, row_number() over (partition by _ord order by pos) as slot from s) where slot = {n} and _ord = m._ord)"
+
+
+def _gold(n: int) -> str:
+    raw = f"(select raw from {_NTH.format(n=n)})"
+    return ", ".join(f"trim(coalesce(split_part({raw}, '|', {i}), '')) as gold_{part}_{n}" for i, part in enumerate(("addr", "city", "zip"), 1))
+
+
 @query("f4_addresses_compare", sql.with_inputs(
-    "m", "select _ord, primary_address_1 as mail_address, primary_city as mail_city, zip5 as mail_zip, 'a1' as gold_addr_1, full_name as gold_city_1, '55' as gold_zip_1, "
-    "case when _ord % 3 = 0 then '' else 'b2' end as gold_addr_2, case when _ord % 3 = 0 then '' else license_nbr end as gold_city_2, '' as gold_zip_2 from m where _ord % 2 = 0"))
+    "p m", f"select m._ord, m.primary_address_1 as mail_address, m.primary_city as mail_city, m.zip5 as mail_zip, cast(a.n as integer) as num_addresses, {_gold(1)}, {_gold(2)}, {_gold(3)} {_SEVERAL}", **_G1))
 def _compare(spark, sf_dir):
-    rows = board(spark, sf_dir).withColumns({
-        "address_status": F.when(F.col("_ord") % 2 == 0, "multiple_addresses").otherwise("unique"),
-        "addresses_found": F.expr("'a1|' || full_name || '|55' || case when _ord % 3 = 0 then '' else ' | b2|' || license_nbr end")})
-    rows = rows.withColumn("addresses_found", F.col("addresses_found"))
-    done = reporting.addresses_compare(rows, ["_ord"], "primary_address_1", "primary_city", "zip5")
-    return done
+    return reporting.addresses_compare(_judged(spark, sf_dir), ["_ord"], "primary_address_1", "primary_city", "zip5", slots=3)
+
+
+@query("f4_found_addresses", sql.with_inputs(
+    "p m", "select s._ord, cast(row_number() over (partition by s._ord order by s.pos) as integer) as slot, split_part(s.raw, '|', 1) as addr, split_part(s.raw, '|', 2) as city, "
+    f"split_part(s.raw, '|', 3) as zip from s where s._ord in (select m._ord {_SEVERAL})", **_G1))
+def _found(spark, sf_dir):
+    return reporting.found_addresses(_judged(spark, sf_dir), ["_ord"])
 
 
 # --- G3 to G7 ----------------------------------------------------------------------------------

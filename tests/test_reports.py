@@ -34,16 +34,32 @@ def test_addresses_wide_and_reconciliation(either, table):
         "last_name first_name primary_address_1 primary_city zip5",
         ("Doe MD", "Jane A", "1 A", "X", "55401"), ("doe", "jane", "1  a", "x", "55401-9"), ("Doe", "Jane", "", "", ""), ("Doe", "Jane", "2 B", "X", "5"),
         ("", "", "3", "", ""), ("", "", "3", "", ""))
-    wide, dropped = reporting.addresses_wide(df)
+    wide, dropped = reporting.addresses_wide(df, slots=3)
     assert rows_of(wide, "_ord", "num_addresses", "address_1", "address_2", "address_3") == [
         (0, 3, "1 A", "", "2 B"), (4, 1, "3", "", ""), (5, 1, "3", "", "")]
     assert rows_of(dropped, "dup_address", "norm_zip", "all_seen") == [("1  a", "55401", "1 a|x|55401")]
     count = reporting.reconcile(df, wide, dropped).first()
     assert count["input_rows"] == 6 and count["difference"] == 0
-    grouped, _ = reporting.addresses_wide(df, blank_is_key=True)
+    grouped, _ = reporting.addresses_wide(df, blank_is_key=True, slots=1)
     assert grouped.count() == 2
 
 
+def test_address_slots_of_a_busy_person(spark):
+    df = spark.range(10_000).select(
+        F.col("id").alias("_ord"), F.lit("Doe").alias("last_name"), F.lit("Jane").alias("first_name"),
+        F.concat(F.lit("street "), F.col("id") % 9_000).alias("primary_address_1"), F.lit("X").alias("primary_city"), F.lit("55401").alias("zip5"))
+    long = reporting.address_slots(df)
+    assert long.columns == ["person", "slot", "at", "address", "city", "zip"]
+    assert long.agg(F.count("*"), F.max("slot"), F.max("person"), F.count_if(F.col("slot") != F.col("at") + 1)).first()[:] == (9_000, 9_000, 0, 0)
+    wide, _ = reporting.addresses_wide(df, slots=2)
+    assert len(wide.columns) == 5 + 2 * 3 and rows_of(wide, "num_addresses", "address_2") == [(9_000, "street 1")]
+
+
+def test_found_addresses_in_long_form(spark):
+    df = spark.createDataFrame([(1, "multiple_addresses", "1 a|x|5 | 2 b||"), (2, "unique", "3 c|y|6")], "_ord long, address_status string, addresses_found string")
+    assert rows_of(reporting.found_addresses(df, ["_ord"]), "_ord", "slot", "addr", "city", "zip") == [(1, 1, "1 a", "x", "5"), (1, 2, "2 b", "", "")]
+
+
 def test_overlaps(table):
     df = table(
         "npi l f m source", ("1", "", "", "", "f1 / a"), ("1", "", "", "", "f2 / a"), ("1", "", "", "", "f3 / b"), ("", "Doe", "J", "Q", "f1 / a"), ("", "doe", "j", "q.", "f1 / b"),
@@ -52,6 +68,10 @@ def test_overlaps(table):
     files = ids.withColumn("source", F.substring_index("source", " / ", 1))
     assert rows_of(reporting.overlap_matrix(files), "file_1", "file_2", "shared_by_npi", "shared_by_name", "total_shared") == [
         ("f1", "f2", 1, 0, 1), ("f1", "f3", 1, 1, 2), ("f2", "f3", 1, 0, 1)]
+    apart = table("npi l f m source", *[(str(i), "", "", "", f"s{i}") for i in range(300)])
+    assert reporting.overlap_matrix(reporting.identifiers(apart, "npi", "l", "f", "m", "source")).count() == 0
+    every = reporting.overlap_matrix(files.unionByName(files.limit(1).withColumn("source", F.lit("f9"))), zeros=True)
+    assert every.where("file_2 = 'f9'").count() == 3
     assert rows_of(reporting.overlap_details(ids), "match_type", "identifier", "files", "sources") == [
         ("name", "doe|j|q", "f1 | f3", "f1 / a | f1 / b | f3 / a"), ("npi", "1", "f1 | f2 | f3", "f1 / a | f2 / a | f3 / b")]
 

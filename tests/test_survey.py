@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from rollbook.operators import survey as ops
 
@@ -39,6 +40,18 @@ def test_frequencies_follow_scale_then_count(answers):
         ("YES", 1, 25.0, 4), ("Yes", 1, 25.0, 4), ("no", 1, 25.0, 4), ("yes", 1, 25.0, 4)]
 
 
+def test_a_question_with_very_many_answers_is_ranked_in_segments(spark):
+    df = spark.range(30_000).select(F.concat(F.lit("a"), F.col("id") % 20_000).alias("Q"), F.lit("yes").alias("R"))
+    got = ops.freq_single(df, ["Q", "R"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__segment" in line for line in plan.splitlines() if "Window" in line)
+    facts = got.where("question = 'Q'").agg(F.count("*"), F.max("response_order"), F.max("n_answered"), F.sum("n")).first()
+    assert facts[:] == (20_000, 20_000, 30_000, 30_000)
+    first = got.where("question = 'Q' and response_order in (1, 10001)").orderBy("response_order").collect()
+    assert [(r.response, r.n) for r in first] == [("a0", 2), ("a10000", 1)]
+    assert rows_of(got.where("question = 'R'"), "response", "n", "pct") == [("yes", 30_000, 100.0)]
+
+
 def test_checkbox_base_is_rows_with_any_filled_box(answers):
     got = ops.freq_checkbox(answers, {"Tools?": ["Tools? (choice=Paper)", "Tools? (choice=Tablet)"]})
     assert rows_of(got, "response", "n", "pct", "n_answered") == [("Paper", 1, 33.3, 3), ("Tablet", 1, 33.3, 3)]
