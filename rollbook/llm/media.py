@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ WIDTHS = code_widths(SEGMENT + 1, 9)
 
 def lzw_encode(samples: bytes) -> bytes:
     """Code stream of 8-bit samples; the table is cleared when it is full."""
-    codes, widths = [], []
+    runs: list[list[int]] = []
     table: dict[int, int] = {}
     out, code, free = [CLEAR], samples[0], FIRST
     look = table.get
@@ -77,68 +78,96 @@ def lzw_encode(samples: bytes) -> bytes:
         free += 1
         code = sample
         if free == MOST:
-            codes.append(out)
+            runs.append(out)
             table.clear()
             out, free = [CLEAR], FIRST
-    out += [code, END]
-    codes.append(out)
-    for n, run in enumerate(codes):
-        before = 9 if n == 0 else int(WIDTHS[min(len(codes[n - 1]) - 1, SEGMENT)])
-        widths.append(np.concatenate([[before], WIDTHS[: len(run) - 1]]))
-    every = np.fromiter((c for run in codes for c in run), np.int64)
-    width = np.concatenate(widths)
-    bits = (every[:, None] >> np.arange(12)) & 1
-    return np.packbits(bits[np.arange(12) < width[:, None]].astype(np.uint8), bitorder="little").tobytes()
+    runs.append([*out, code, END])
+    widths = []
+    for n, run in enumerate(runs):
+        before = 9 if n == 0 else int(WIDTHS[min(len(runs[n - 1]) - 1, SEGMENT)])
+        widths += [np.array([before]), WIDTHS[: len(run) - 1]]
+    codes, width = np.concatenate([np.array(run, np.uint16) for run in runs]), np.concatenate(widths)
+    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < width[:, None]], bitorder="little").tobytes()
+
+
+@cache
+def code_ends(first_width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths of the codes behind a clear code while the table grows, and where each ends, in bits."""
+    widths = code_widths(2 * SEGMENT, first_width)
+    return widths, np.cumsum(widths)
+
+
+def _copied(codes: np.ndarray, clear: int) -> np.ndarray:
+    """Samples of the codes between two clear codes.
+
+    The table's n-th own entry is what the n-th code gave and the sample after it, which stand side by side in the output. So
+    such a code copies from where the n-th code's samples begin, one sample more than it gave. Lengths, and then the sources of
+    all samples, are followed to the plain codes by doubling, so runs of any depth take a few passes.
+    """
+    place = np.arange(len(codes))
+    plain = codes < clear
+    source = np.where(plain, place, codes.astype(np.int64) - clear - 2)
+    deep = np.flatnonzero(~plain)
+    if len(deep) and (source[deep].min() < 0 or (source[deep] >= deep).any()):
+        raise Damaged("a code beyond the table")
+    lengths, up = np.ones(len(codes), np.int64), source
+    lengths[deep] = 2
+    while True:
+        deep = deep[~plain[up[deep]]]
+        if not len(deep):
+            break
+        above = up[deep]
+        more, further = lengths[above] - 1, up[above]
+        up = up.copy()
+        lengths[deep] += more
+        up[deep] = further
+    starts = np.cumsum(lengths) - lengths
+    own = np.repeat(place, lengths)
+    at = np.arange(len(own))
+    origin = at - (starts - starts[source])[own]
+    while True:
+        further = origin[origin]
+        if np.array_equal(further, origin):
+            return codes[own[origin]].astype(np.uint8)
+        origin = further
 
 
 def lzw_decode(stream: bytes, code_size: int, size: int) -> bytes:
     """Samples of a code stream, `size` of them at most."""
-    clear, first = 1 << code_size, (1 << code_size) + 2
-    bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
-    bits = np.concatenate([bits, np.zeros(12, np.uint8)])
-    powers = 1 << np.arange(12)
-    roots = [bytes([i]) if i < clear else b"" for i in range(first)]
+    clear = 1 << code_size
+    data = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(3, np.uint8)]).astype(np.uint32)
     at, limit, done, out, done_size = 0, 8 * len(stream), False, [], 0
     while at < limit and not done and done_size < size:
-        count = min(2 * SEGMENT, (limit - at) // (code_size + 1) + 1)
-        table, prev, grown = roots[:], b"", 0
-        cleared = False
-        while not cleared and not done:
-            widths = code_widths(grown + count, code_size + 1)[grown:]
-            ends = at + np.cumsum(widths)
-            widths, ends = widths[ends <= limit], ends[ends <= limit]
-            if not len(ends):
+        # codes up to the next clear or end code; beyond a full table the codes keep their width
+        parts, read, stop = [], 0, None
+        while stop is None and at < limit:
+            if read:
+                widths = np.full(2 * SEGMENT, 12)
+                ends = np.cumsum(widths)
+            else:
+                widths, ends = code_ends(code_size + 1)
+            whole = int(np.searchsorted(ends, limit - at, "right"))
+            if not whole:
                 done = True
                 break
-            window = bits[(ends - widths)[:, None] + np.arange(12)]
-            codes = (window * powers * (np.arange(12) < widths[:, None])).sum(1)
+            widths, ends = widths[:whole], ends[:whole] + at
+            begin = ends - widths
+            byte = begin >> 3
+            window = data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16
+            codes = window >> (begin & 7).astype(np.uint32) & ((1 << widths) - 1).astype(np.uint32)
             stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
-            used = int(stops[0]) if len(stops) else len(codes)
-            for code in codes[:used].tolist():
-                if not prev:
-                    if code >= clear:
-                        raise Damaged("a run starts with an unknown code")
-                    prev = table[code]
-                    out.append(prev)
-                    done_size += 1
-                    continue
-                if code < len(table):
-                    entry = table[code]
-                elif code == len(table):
-                    entry = prev + prev[:1]
-                else:
-                    raise Damaged("a code beyond the table")
-                out.append(entry)
-                done_size += len(entry)
-                if len(table) < MOST:
-                    table.append(prev + entry[:1])
-                prev = entry
-            if len(stops):
-                at, cleared = int(ends[used]), True
-                done = int(codes[used]) == clear + 1
-            else:
-                at, grown = int(ends[-1]), grown + used
-                done = done_size >= size
+            stop = int(stops[0]) if len(stops) else None
+            parts.append(codes[:stop])
+            read += len(parts[-1])
+            at = int(ends[-1] if stop is None else ends[stop])
+            done = stop is not None and int(codes[stop]) == clear + 1
+            if stop is None and read >= size:
+                done = True
+        if read:
+            run = _copied(np.concatenate(parts), clear)
+            out.append(run.tobytes())
+            done_size += len(run)
     return b"".join(out)[:size]
 
 
@@ -239,9 +268,12 @@ def _decode(data: bytes) -> Iterator[Frame]:
             raster = plain
         area = canvas[top : top + h, left : left + w]
         raster = raster[: area.shape[0], : area.shape[1]]
-        before = area.copy()
-        shown = raster != transparent
-        area[shown] = palette[raster[shown]]
+        before = area.copy() if disposal == 3 else None
+        if transparent < 0:
+            area[:] = palette[raster]
+        else:
+            shown = raster != transparent
+            area[shown] = palette[raster[shown]]
         yield Frame(left, top, w, h, 10 * delay, disposal, transparent, canvas)
         if disposal == 2:
             area[:] = back
@@ -252,7 +284,7 @@ def _decode(data: bytes) -> Iterator[Frame]:
 
 def colour_histogram(canvas: np.ndarray, levels: int = CHANNEL_LEVELS) -> np.ndarray:
     """Pixels per colour cell, red slowest."""
-    cell = canvas.astype(np.int64) * levels >> 8
+    cell = canvas.astype(np.uint16) * np.uint16(levels) >> np.uint16(8)
     flat = (cell[..., 0] * levels + cell[..., 1]) * levels + cell[..., 2]
     return np.bincount(flat.ravel(), minlength=levels**3)
 
@@ -300,16 +332,18 @@ def text_media(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["n_bytes", "media"])
 
 
-DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FRAMES = "array<struct<frame:int,at_ms:bigint,delay_ms:bigint,colours:array<bigint>>>"
+DIGEST = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames {FRAMES}"
 
 
 def _digest(media: pa.Array) -> pa.Array:
-    """What is read back from stored media: payload (first colour channel of each frame's area), checks and features."""
+    """What is read back from stored media: the frames with their times and colour histograms, and from them payload (first
+    colour channel of each frame's area), checks and features."""
     rows = []
     for item in media:
         data = item.as_py()
-        payload, tail, size, count, ms = hashlib.sha256(), b"", 0, 0, 0
-        luma = np.zeros(LUMA_LEVELS, np.int64)
+        payload, tail, size, shown = hashlib.sha256(), b"", 0, []
+        luma, ms = np.zeros(LUMA_LEVELS, np.int64), 0
         try:
             for f in decode(data or b""):
                 area = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0]
@@ -317,13 +351,15 @@ def _digest(media: pa.Array) -> pa.Array:
                 payload.update(part)
                 tail, size = (tail + part)[-16:], size + len(part)
                 luma += np.bincount(area.ravel() >> 4, minlength=LUMA_LEVELS)
-                count, ms = count + 1, ms + f.delay_ms
+                shown.append({"frame": len(shown), "at_ms": ms, "delay_ms": f.delay_ms, "colours": colour_histogram(f.canvas).tolist()})
+                ms += f.delay_ms
         except Damaged:
             rows.append(None)
             continue
-        feature = f"frames={count};ms={ms};luma=" + ",".join(map(str, luma.tolist()))
-        rows.append((size, payload.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        feature = f"frames={len(shown)};ms={ms};luma=" + ",".join(map(str, luma.tolist()))
+        rows.append((size, payload.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature, shown))
+    moment = pa.struct([("frame", pa.int32()), ("at_ms", pa.int64()), ("delay_ms", pa.int64()), ("colours", pa.list_(pa.int64()))])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(moment)]
     columns = [pa.array([r and r[i] for r in rows], k) for i, k in enumerate(kinds)]
     return pa.StructArray.from_arrays(columns, [f.split()[0] for f in DIGEST.split(", ")])
 
