@@ -1,28 +1,34 @@
 """Ids of whole texts by a tokenizer file whose pieces never reach over white space.
 
-A text is split at ASCII white space and every distinct word is encoded by the library once per worker, so long corpora
-cost a look-up per word. Words of plain Latin characters are split further by the file's own pattern before they are
-encoded; all other words go to the library as they are. `test_tokens` holds the ids against whole-text encoding.
+A text is split at ASCII white space; its distinct words of plain Latin characters are split into pieces by the file's own
+pattern, all at once, and every distinct piece is encoded by the library once per worker, so long corpora cost a look-up per
+piece. All other words go to the library as they are. `test_tokens` holds the ids against whole-text encoding.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 
 from rollbook.llm.shared import kept, words_of
 
-#: Words kept per worker before the cache starts anew; about 200 bytes each.
+#: Pieces and words kept per worker; the half that was not met again goes when they are so many; about 200 bytes each.
 CACHE_WORDS = 400_000
 #: Pieces that are encoded in one call.
 JOINED = 64
 
-PLAIN = re.compile("[\x21-\x7e¡-ɏ]+")
+#: Words whose pieces the file's pattern tells apart as it does in a whole text; the dotted capital I becomes two characters.
+PLAIN = "^[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+$"
+
+
+def _expand(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first, first + 1, ... `counts` times each, and where each run begins in that."""
+    before = np.concatenate([[0], np.cumsum(counts)])
+    return np.repeat(first - before[:-1], counts) + np.arange(before[-1]), before
 
 
 class WordEncoder:
@@ -34,14 +40,15 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # ids of pieces and whole words met since the last eviction, and those of the time before
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
         self.pattern, self.ends = self._split(spec)
 
-    def _split(self, spec: dict) -> tuple[regex.Pattern | None, np.ndarray]:
+    def _split(self, spec: dict) -> tuple[str | None, np.ndarray]:
         """The file's own splitting pattern, and which ids end a piece; None where a file has no such marks."""
         suffix = spec["model"].get("end_of_word_suffix")
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -52,54 +59,72 @@ class WordEncoder:
             return None, ends
         for token, number in spec["model"]["vocab"].items():
             ends[number] = token.endswith(suffix)
-        return regex.compile(patterns[0]), ends
+        return patterns[0], ends
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), JOINED):
-            some = pieces[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            until = np.flatnonzero(self.ends[ids]) + 1
-            if len(until) == len(some) and until[-1] == len(ids):
-                data, begin = ids.tobytes(), 0
-                for piece, end in zip(some, (until * 4).tolist(), strict=True):
-                    self.pieces[piece] = data[begin:end]
-                    begin = end
+    def _plain(self, words: pa.Array) -> np.ndarray:
+        """Which words may be encoded side by side."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        for special in self.specials:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(words, special)))
+        return plain.to_numpy(zero_copy_only=False)
+
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Piece numbers of plain words, where each word's begin, and the pieces."""
+        return words_of(pc.replace_substring_regex(pc.utf8_lower(words), f"(?:{self.pattern})", r"\0 "))
+
+    def _learn(self, units: list[str], pieces: bool) -> list[bytes]:
+        """Ids of units that are not kept; pieces are encoded side by side, as the vocabulary marks the last id of each."""
+        if not pieces:
+            return [self._one(u) for u in units]
+        out: list[bytes] = []
+        parts = [units[at : at + JOINED] for at in range(0, len(units), JOINED)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                data, until = ids.tobytes(), (stops * 4).tolist()
+                out += [data[a:b] for a, b in zip([0, *until], until, strict=False)]
             else:
-                for piece in some:
-                    self.pieces[piece] = self._one(piece)
-
-    def _learn(self, words: list[str]) -> None:
-        plain: list[tuple[str, list[str]]] = []
-        fresh: dict[str, None] = {}
-        for word in words:
-            if self.pattern is not None and PLAIN.fullmatch(word) and not any(s in word for s in self.specials):
-                found = self.pattern.findall(word.lower())
-                plain.append((word, found))
-                fresh.update((p, None) for p in found if p not in self.pieces)
+                out += [self._one(u) for u in part]
+        return out
+
+    def _coded(self, units: list[str], pieces: bool) -> list[bytes]:
+        coded = list(map(self.known.get, units))
+        fresh = []
+        for i in [i for i, c in enumerate(coded) if c is None]:
+            found = coded[i] = self.older.get(units[i])
+            if found is None:
+                fresh.append(i)
             else:
-                self.words[word] = self._one(word)
-        self._learn_pieces(list(fresh))
-        for word, found in plain:
-            self.words[word] = self.pieces[found[0]] if len(found) == 1 else b"".join([self.pieces[p] for p in found])
+                self.known[units[i]] = found
+        for i, c in zip(fresh, self._learn([units[i] for i in fresh], pieces), strict=True):
+            coded[i] = self.known[units[i]] = c
+        if len(self.known) > self.cache_words // 2:
+            self.older, self.known = self.known, {}
+        return coded
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one uint32 array, and the offsets of the texts in it."""
-        if len(self.words) > self.cache_words or len(self.pieces) > self.cache_words:
-            self.words, self.pieces = {}, {}
-        numbers, offsets, distinct = words_of(texts)
-        words = distinct.to_pylist()
-        self._learn([w for w in words if w not in self.words])
-        coded = [self.words[w] for w in words]
+        numbers, offsets, words = words_of(texts)
+        plain = self._plain(words) if self.pattern is not None else np.zeros(len(words), bool)
+        side, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        piece, begins, pieces = self._pieces(words.take(pa.array(side)))
+        coded = self._coded(pieces.to_pylist(), True) + self._coded(words.take(pa.array(other)).to_pylist(), False)
+        # every word is a run of units: its pieces, or itself
+        runs = np.ones(len(words), np.int64)
+        runs[side] = np.diff(begins)
+        order = np.empty(len(words), np.int64)
+        order[side], order[other] = begins[:-1], len(piece) + np.arange(len(other))
+        units = np.concatenate([piece, len(pieces) + np.arange(len(other))])
+        spread, starts = _expand(order[numbers], runs[numbers])
         pool = np.frombuffer(b"".join(coded), "<u4")
         lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        starts = np.cumsum(lengths) - lengths
-        own = lengths[numbers]
-        before = np.concatenate([[0], np.cumsum(own)])
-        ids = pool[np.repeat(starts[numbers] - before[:-1], own) + np.arange(before[-1])]
-        return ids, before[offsets]
+        unit = units[spread]
+        at, ends = _expand((np.cumsum(lengths) - lengths)[unit], lengths[unit])
+        return pool[at], ends[starts[offsets]]
 
     def encode_with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As `encode`, with `end_id` behind the ids of each text."""

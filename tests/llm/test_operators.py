@@ -128,6 +128,23 @@ def test_words_encode_as_whole_texts(ids):
     assert [found[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [i.tolist() for i in ids]
 
 
+def test_every_plain_character_encodes_as_the_library_does():
+    own = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = [w for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]) for w in (c, f"a{c}b", f"{c}{c}'s1", f"'{c}x,")]
+    found, offsets = own.encode(pa.array(words))
+    want = [own.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert [found[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
+def test_kept_words_go_by_halves(ids):
+    own = WordEncoder(public_tokenizers.path("word_bpe_49k.json"), cache_words=20)
+    for _ in range(3):
+        for text, want in zip(TEXTS, ids, strict=True):
+            found, _ = own.encode_with_end(pa.array([text]), 1)
+            assert found.tolist() == want.tolist()
+    assert len(own.older) > 0
+
+
 def test_packing(spark, docs, ids):
     rows = queries.op2_best_fit_packing(spark, docs).collect()
     sequences, crc = collections.defaultdict(list), collections.Counter()
