@@ -269,7 +269,7 @@ class TokenFiles:
             return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
         # rows of a shard are read in order; one shard may be read by several tasks
-        placed = found.repartitionByRange("shard", "row").sortWithinPartitions("shard", "row")
+        placed = stored(found, "found").repartitionByRange("shard", "row").sortWithinPartitions("shard", "row")
         # one row per shard file
         rows = placed.mapInArrow(fetch, schema).join(F.broadcast(self.bases), "shard")
         columns = ["key", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32"]
