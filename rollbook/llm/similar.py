@@ -1,21 +1,25 @@
 """Near copies by exact shingle similarity: documents whose sets of shingles have a Jaccard similarity of `least` or more.
 
-Found by prefix filtering, without loss: two such sets share a shingle among the first n - ceil(least * n) + 1 of each, in any
-common order. The order is that of the hashes, with shingles that a bounded sample holds often at the end; the sample decides
-how many candidates there are, not what is found. A cell is a prefix shingle with the documents that have it. Its documents
-are first held against its smallest one; what components leave apart is then held against each other. Candidates pass a
-lower bound of the symmetric difference (the Manhattan distance of bucket counts, more buckets for larger sets) before their
-sets meet.
-
-Equal sets cost one document. Words are lower-cased runs without blanks, as in op6; a text of fewer words than a shingle is one
-shingle, texts without words are copies of each other. Ids must be unique and not null. Different shingles meet only if their
-64-bit hashes do.
+Candidates share a band of min-hashes: of `BANDS` bands of `ROWS` values, two sets of similarity 0.8 share one with a probability
+of 0.9999, sets of similarity 0.4 in one pair of fifteen, unrelated ones practically never. Every candidate that becomes a link is
+held to its exact similarity.
+
+A cell is a band's value with the documents that have it. Its documents are first held against the one that shares most cells
+with others (of copies with scattered edits that is the one closest to all), which costs a row per document. What components then
+leave apart is compared in full, in cells of at most `CELL_ROWS` documents; a larger cell is split by the bands of a further
+family of min-hashes, which keeps similar documents together, and the parts are treated likewise. So no step forms all pairs of a
+large group.
+
+Candidates pass a lower bound of the symmetric difference (the Manhattan distance of bucket counts, more buckets for larger sets)
+before their sets meet. Equal sets cost one document. Words are lower-cased runs without blanks, as in op6; a text of fewer words
+than a shingle is one shingle, texts without words are copies of each other. Ids must be unique and not null. Different shingles
+meet only if their 64-bit hashes do.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +28,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import hashed_share, kept, slices, stored, text_or_empty, words_of
+from rollbook.llm.shared import kept, slices, stored, text_or_empty, words_of
 from rollbook.llm.simhash import components
+from rollbook.scale import keyed_join
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Buckets of the smallest sets' counts, and shingles in a bucket of larger ones at most; so few that a byte holds them.
 BUCKETS, BUCKET_SIZE = 32, 10
-#: Documents that tell which shingles are frequent, about, and in how many of them one is.
-SAMPLE_DOCS = 10_000
-FREQUENT = 3
+#: Bands of min-hashes, and values in a band.
+BANDS, ROWS = 40, 7
+#: Documents of a cell that are compared in full, and families of min-hashes that split larger cells at most.
+CELL_ROWS = 64
+FAMILIES = 8
+#: Shingles that are hashed at a time.
+CHUNK = 512
 
 
 def shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -53,11 +62,25 @@ def shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield np.unique(line * ODD)
 
 
-def prefix(ordered: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
-    """The shingles of a set of which any set of similarity `least` has one in its own prefix."""
-    late = np.isin(ordered, frequent, assume_unique=True)
-    size = len(ordered) - math.ceil(least * len(ordered) - 1e-9) + 1
-    return np.concatenate([ordered[~late], ordered[late]])[:size]
+@cache
+def _factors(family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers of a family's hash functions, and of the values within a band."""
+    drawn = np.random.default_rng(1000 + family).integers(0, 1 << 63, BANDS * ROWS + ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    return drawn[: BANDS * ROWS], drawn[BANDS * ROWS :]
+
+
+def bands(sets: list[np.ndarray], family: int = 0) -> np.ndarray:
+    """A row of `BANDS` band values per set; empty sets have equal ones."""
+    by, mix = _factors(family)
+    least = np.full((len(sets), BANDS * ROWS), np.iinfo(np.uint32).max, np.uint32)
+    for row, own in enumerate(sets):
+        for at in range(0, len(own), CHUNK):
+            part = own[at : at + CHUNK, None] * by
+            least[row] = np.minimum(least[row], (part >> np.uint64(32)).astype(np.uint32).min(0))
+    value = (least.reshape(len(sets), BANDS, ROWS).astype(np.uint64) * mix).sum(2, dtype=np.uint64)
+    value += np.arange(BANDS, dtype=np.uint64) * ODD
+    value ^= value >> np.uint64(31)
+    return (value * ODD).view(np.int64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -90,73 +113,45 @@ def possible(size: int, counts: bytes, other: int, others: bytes, least: float)
     return bool(np.abs(a - b).sum() <= _most_apart(size, other, least))
 
 
-def _cell_pairs(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, counts: list[bytes], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a cell's documents in different components that bucket counts leave possible."""
-    buckets = np.fromiter(map(len, counts), np.int64, len(counts))
-    sort = np.argsort(buckets, kind="stable")
-    ids, roots, sizes, buckets = ids[sort], roots[sort], sizes[sort], buckets[sort]
-    starts = {int(n): int(np.searchsorted(buckets, n)) for n in np.unique(buckets)}
-    tables = {n: np.frombuffer(b"".join(c for c in counts if len(c) == n), np.uint8).reshape(-1, n) for n in starts}
-    for few in starts:
-        for many in starts:
-            if many < few:
-                continue
-            fine = _folded(tables[many], few)
-            coarse = _folded(tables[few], few)
-            for at in range(len(coarse)):
-                own = starts[few] + at
-                begin = at + 1 if many == few else 0
-                rest = begin + np.flatnonzero(roots[starts[many] + begin : starts[many] + len(fine)] != roots[own])
-                other = sizes[starts[many] + rest]
-                rest = rest[np.minimum(other, sizes[own]) >= least * np.maximum(other, sizes[own]) - 1e-6]
-                apart = np.abs(fine[rest] - coarse[at]).sum(-1)
-                near = starts[many] + rest[apart <= _most_apart(sizes[starts[many] + rest], sizes[own], least)]
-                if len(near):
-                    yield np.minimum(ids[own], ids[near]), np.maximum(ids[own], ids[near])
-
-
-def _sampled_frequent(texts: DataFrame, words: int) -> np.ndarray:
-    """Shingles in at least `FREQUENT` of about `SAMPLE_DOCS` documents."""
-    share = F.lit(min(1.0, SAMPLE_DOCS / max(1, texts.count())))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            plain = text_or_empty(batch.column(0))
-            for begin, until in slices(plain):
-                found = np.concatenate([np.zeros(0, np.uint64), *shingles(plain[begin:until], words)])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
-
-    found = texts.filter(hashed_share("id", share)).select("text").mapInArrow(run, "shingle long")
-    often = found.groupBy("shingle").count().filter(F.col("count") >= FREQUENT).select("shingle").toArrow()
-    return np.sort(often["shingle"].to_numpy().view(np.uint64))
-
-
-MARKS = "key long, n int, counts binary, prefix array<long>"
+MARKS = "key long, n int, counts binary, bands array<long>"
 
 
-def _marked(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """id, hash of the set, its size, bucket counts and prefix of every document."""
-    frequent = texts.sparkSession.sparkContext.broadcast(_sampled_frequent(texts, words))
+def _marked(texts: DataFrame, words: int) -> DataFrame:
+    """id, hash of the set, its size, bucket counts and bands of every document."""
 
     @F.arrow_udf(MARKS)
     def of(column: pa.Array) -> pa.Array:
         kept("similar", "", object)
         plain = text_or_empty(column)
-        keys, sizes, counts, prefixes = [], [], [], []
+        keys, sizes, counts, found = [], [], [], [np.zeros((0, BANDS), np.int64)]
         for begin, until in slices(plain):
-            for own in shingles(plain[begin:until], words):
-                keys.append(xxhash.xxh64_intdigest(own.tobytes()))
-                sizes.append(len(own))
-                counts.append(bucket_counts(own).tobytes())
-                prefixes.append(prefix(own, frequent.value, least).view(np.int64))
-        offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-        flat = pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *prefixes]))
-        columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), flat]
+            sets = list(shingles(plain[begin:until], words))
+            keys += [xxhash.xxh64_intdigest(own.tobytes()) for own in sets]
+            sizes += map(len, sets)
+            counts += [bucket_counts(own).tobytes() for own in sets]
+            found.append(bands(sets))
+        flat = np.concatenate(found).ravel()
+        lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), flat)
+        columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), lists]
         return pa.StructArray.from_arrays(columns, [f.split()[0] for f in MARKS.split(", ")])
 
     return texts.select("id", of("text").alias("m")).select("id", "m.*")
 
 
+def _further(texts: DataFrame, rows: DataFrame, words: int, family: int) -> DataFrame:
+    """The cells (cell, id) into which a further family splits those of `rows`."""
+
+    @F.arrow_udf("array<long>")
+    def of(column: pa.Array) -> pa.Array:
+        plain = text_or_empty(column)
+        found = [bands(list(shingles(plain[a:b], words)), family) for a, b in slices(plain)]
+        flat = np.concatenate([np.zeros((0, BANDS), np.int64), *found]).ravel()
+        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), flat)
+
+    own = stored(texts.join(rows.select("id").distinct(), "id", "left_semi").select("id", of("text").alias("bands")), "bands")
+    return rows.select("cell", "id").join(own, "id").select("cell", "id", F.explode("bands").alias("band")).select(F.xxhash64("cell", "band").alias("cell"), "id")
+
+
 def _bounded(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that bucket counts leave possible."""
 
@@ -193,39 +188,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long")
 
 
-def _apart(cells: DataFrame, roots: DataFrame, marked: DataFrame, least: float) -> DataFrame:
-    """Candidates (a, b) among the documents of a cell that lie in different components."""
-    rows = cells.filter(F.size("members") > 2).select("cell", F.explode("members").alias("id"))
-    rows = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _stars(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each document of a cell and the cell's centre: the document that shares most cells with others."""
+    shared = F.sum("count").alias("shared")
+    weight = cells.groupBy("id").agg(shared)
+    centres = cells.join(weight, "id").groupBy("cell").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("centre"))
+    pairs = keyed_join(cells.select("cell", "id"), centres, ["cell"], "inner").filter("id <> centre")
+    return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def _apart(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (cell, id, root, rows) of the cells whose documents lie in different components."""
+    rows = cells.select("cell", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = stored(rows, "members")
-    several = rows.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("cell")
-    rows = rows.join(several, "cell").join(marked.select("id", "n", "counts"), "id")
+    several = rows.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high")
+    return stored(keyed_join(rows, several.select("cell", "rows"), ["cell"], "inner"), "apart")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members in batch.column(0):
-                own = members.values
-                numbers = [own.field(i).to_numpy() for i in range(3)]
-                for pair in _cell_pairs(*numbers, own.field(3).to_pylist(), least):
-                    yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], ["a", "b"])
 
-    members = rows.groupBy("cell").agg(F.collect_list(F.struct("id", "root", "n", "counts")).alias("members")).select("members")
-    return members.mapInArrow(run, "a long, b long").distinct()
+def _pairs_apart(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components, from cells of bounded size."""
+    members = rows.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("id", "root"))).alias("members"))
+    later = F.transform("members", lambda x, i: F.transform(
+        F.filter(F.slice("members", i + 2, F.size("members")), lambda y: y["root"] != x["root"]), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"))))
+    return members.select(F.explode(F.flatten(later)).alias("p")).select("p.*").distinct()
 
 
-def similar_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+def similar_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, least: float = 0.8, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per document: id and component_id, the smallest id reachable over pairs of similarity `least` or more."""
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    marked = stored(_marked(texts, words, least), "marked")
+    marked = stored(_marked(texts, words), "marked")
     classes = stored(marked.groupBy("key").agg(F.min("id").alias("id")), "classes")
-    spread = marked.join(classes.select("id"), "id", "left_semi").select(F.explode("prefix").alias("cell"), "id")
-    cells = spread.groupBy("cell").agg(F.collect_list("id").alias("members")).filter(F.size("members") > 1)
-    cells = stored(cells, "cells")
-    stars = cells.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a < b").distinct()
-    links = stored(_verified(_bounded(stars, marked, least), texts, words, least), "links")
-    roots = stored(components(links), "roots")
-    more = stored(_verified(_apart(cells, roots, marked, least), texts, words, least), "links")
-    if not more.isEmpty():
-        roots = stored(components(links.unionByName(more)), "roots")
+    spread = marked.join(classes.select("id"), "id", "left_semi").select(F.explode("bands").alias("cell"), "id")
+    roots = texts.sparkSession.createDataFrame([], "node long, root long")
+    links = tried = None
+    for family in range(1, FAMILIES + 1):
+        sizes = spread.groupBy("cell").count().filter("count > 1")
+        cells = stored(keyed_join(spread, sizes, ["cell"], "inner"), "cells")
+        if cells.isEmpty():
+            break
+        for whole in (False, True):
+            if whole:
+                apart = _apart(cells, roots)
+                pairs = _pairs_apart(apart if family == FAMILIES else apart.filter(F.col("rows") <= cell_rows))
+            else:
+                pairs = _stars(cells)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = stored(pairs, "pairs")
+            tried = pairs if tried is None else stored(tried.unionByName(pairs), "tried")
+            found = stored(_verified(_bounded(pairs, marked, least), texts, words, least), "links")
+            if not found.isEmpty():
+                links = found if links is None else stored(links.unionByName(found), "all-links")
+                roots = stored(components(links), "roots")
+        if family == FAMILIES:
+            break
+        large = _apart(apart.filter(F.col("rows") > cell_rows).select("cell", "id"), roots)
+        if large.isEmpty():
+            break
+        spread = stored(_further(texts, large, words, family), "split-cells")
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
     return marked.select("id", "key").join(named, "key").select("id", "component_id")

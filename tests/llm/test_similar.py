@@ -60,28 +60,51 @@ def test_the_stage_drops_copies_with_scattered_edits(spark):
     assert kept == set(components_of(texts))
 
 
-def test_members_that_the_first_round_leaves_apart(spark):
-    # 0 shares a shingle with 1 and 2, which are similar to each other only
-    cells = spark.createDataFrame([(5, [0, 1, 2])], "cell long, members array<long>")
-    none = spark.createDataFrame([], "node long, root long")
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)) for n in (330, 315)]
-    sets.append(sets[1][:-8])  # the counts of 315 shingles have 32 buckets, those of 330 have 64
-    marks = [(i, len(s), similar.bucket_counts(s).tobytes()) for i, s in enumerate(sets)]
-    assert [len(c) for _, _, c in marks] == [64, 32, 32]
-    marked = spark.createDataFrame([(i, n, bytearray(c)) for i, n, c in marks], "id long, n int, counts binary")
-    assert [tuple(r) for r in similar._apart(cells, none, marked, 0.8).collect()] == [(1, 2)]
-
-
-def test_prefixes_of_similar_sets_meet():
-    rng = random.Random(3)
-    for _ in range(300):
-        a = set(rng.sample(range(1000), rng.randint(1, 40)))
-        b = (a - set(rng.sample(sorted(a), len(a) // 10))) | set(rng.sample(range(1000), len(a) // 12))
-        sides = [np.array(sorted(s), np.uint64) for s in (a, b)]
-        frequent = np.array(sorted(rng.sample(range(1000), 200)), np.uint64)
-        if similar.jaccard(*sides) >= 0.8:
-            assert set(similar.prefix(sides[0], frequent, 0.8)) & set(similar.prefix(sides[1], frequent, 0.8))
+def test_cells_of_bounded_size_are_compared_and_larger_ones_split(spark):
+    texts = edited_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = similar.similar_copies(df, cell_rows=2).collect()
+    assert {r.id: r.component_id for r in found} == dict(enumerate(components_of(texts)))
+
+
+def test_copies_of_an_absent_original(spark):
+    """Every document is a copy with scattered edits, most of them similar to some others only."""
+    rng = random.Random(21)
+    own = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(150)]
+    texts = []
+    for n in range(60):
+        copy = list(own)
+        for at in rng.sample(range(150), rng.choice((1, 2, 3, 4))):
+            copy[at] = f"x{n}y{at}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: r.component_id for r in similar.similar_copies(df).collect()} == dict(enumerate(components_of(texts)))
+
+
+def test_pairs_apart_are_those_of_other_components(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 1, 3), (1, 3, 3, 3), (2, 3, 3, 2), (2, 4, 4, 2), (2, 2, 1, 3)], "cell long, id long, root long, rows long")
+    assert sorted(map(tuple, similar._pairs_apart(rows).collect())) == [(1, 3), (2, 3), (2, 4), (3, 4)]
+
+
+def test_the_centre_shares_most_cells(spark):
+    cells = spark.createDataFrame([(c, i, n) for c, ids in ((1, (5, 6, 9)), (2, (6, 9)), (3, (9, 7))) for i in ids for n in [len(ids)]], "cell long, id long, count long")
+    assert sorted(map(tuple, similar._stars(cells).collect())) == [(5, 9), (6, 9), (7, 9)]
+
+
+def test_bands_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    met = 0
+    for n in range(400):
+        size = int(rng.integers(20, 600))
+        a = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+        edit = max(1, size // 10)
+        b = np.unique(np.concatenate([a[: size - edit], rng.integers(0, 1 << 63, edit, np.uint64) * np.uint64(2)]))
+        c = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+        found = similar.bands([a, b, c, a], n % 3)
+        met += bool((found[0] == found[1]).any())
+        assert not (found[0] == found[2]).any() and (found[0] == found[3]).all()
+    assert met >= 399
+    assert (similar.bands([a[:0], b[:0]])[0] == similar.bands([a[:0]])[0]).all()
 
 
 def test_bucket_counts_never_rule_out_similar_sets():
@@ -92,7 +115,5 @@ def test_bucket_counts_never_rule_out_similar_sets():
             b = a[: max(1, int(share * len(a)))]
             marks = [(len(s), similar.bucket_counts(s).tobytes()) for s in (a, b)]
             assert similar.jaccard(a, b) < 0.8 or similar.possible(*marks[0], *marks[1], 0.8)
-            found = list(similar._cell_pairs(np.arange(2), np.arange(2), np.array([n for n, _ in marks]), [c for _, c in marks], 0.8))
-            assert similar.jaccard(a, b) < 0.8 or len(found) == 1
         other = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
         assert size < 60 or not similar.possible(*marks[0], len(other), similar.bucket_counts(other).tobytes(), 0.8)
