@@ -213,14 +213,23 @@ def _pairs_apart(rows: DataFrame) -> DataFrame:
     return members.select(F.explode(F.flatten(later)).alias("p")).select("p.*").distinct()
 
 
-def similar_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, least: float = 0.8, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per document: id and component_id, the smallest id reachable over pairs of similarity `least` or more."""
+def similar_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, least: float = 0.8, candidates: DataFrame | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """One row per document: id and component_id, the smallest id reachable over pairs of similarity `least` or more.
+
+    Pairs (a, b) of ids found elsewhere may be given as `candidates`; like all others they are held to their exact similarity.
+    """
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     marked = stored(_marked(texts, words), "marked")
     classes = stored(marked.groupBy("key").agg(F.min("id").alias("id")), "classes")
     spread = marked.join(classes.select("id"), "id", "left_semi").select(F.explode("bands").alias("cell"), "id")
     roots = texts.sparkSession.createDataFrame([], "node long, root long")
     links = tried = None
+    if candidates is not None:
+        of = marked.select("id", "key").join(classes.withColumnRenamed("id", "class"), "key").select("id", "class")
+        ends = candidates.join(of.withColumnsRenamed({"id": "a", "class": "x"}), "a").join(of.withColumnsRenamed({"id": "b", "class": "y"}), "b")
+        tried = stored(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "tried")
+        links = stored(_verified(_bounded(tried, marked, least), texts, words, least), "links")
+        roots = stored(components(links), "roots")
     for family in range(1, FAMILIES + 1):
         sizes = spread.groupBy("cell").count().filter("count > 1")
         cells = stored(keyed_join(spread, sizes, ["cell"], "inner"), "cells")
