@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import language, packing, secrets, similar, toxicity
+from rollbook.llm import language, packing, secrets, similar, simhash, toxicity
 from rollbook.llm.queries import END_ID, WORD_TOKENIZER
 from rollbook.llm.shared import stored
 
@@ -18,31 +18,29 @@ ROW = "pipeline_row"
 CACHE_WORDS = 50_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Fewer rows per Arrow batch: the stages share their workers, which wait beside the executors' own memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5, by a model of the labelled ones."""
-    small_batches(spark)
     model = toxicity.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.toxicity(model, "text") < 0.5)
 
 
 def in_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models do not reject; `lang` stays as it was."""
-    small_batches(spark)
     model = language.fit_documents(docs)
     return docs.filter(~language.language(model, "text")["rejected"])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each component of near copies (five-word shingles, similarity 0.8 or more, exact); rows have numbers
-    of their own, so repeated ids do no harm."""
-    small_batches(spark)
+    of their own, so repeated ids do no harm.
+
+    Groups by SimHash come first, but of 64 bits two texts of similarity 0.8 differ in about ten, more than a fingerprint can
+    be searched for. So their members become candidates, beside those of a wider search, and all are held to the similarity.
+    """
     numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    groups = similar.similar_copies(numbered, id_column=ROW, words=5, least=0.8)
+    by_fingerprint = simhash.near_copies(numbered, id_column=ROW, words=5, bits=4)
+    candidates = by_fingerprint.select(F.col("component_id").alias("a"), F.col("id").alias("b")).filter("a < b")
+    groups = similar.similar_copies(numbered, id_column=ROW, words=5, least=0.8, candidates=candidates)
     first = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(ROW))
     return numbered.join(first, ROW, "left_semi").select(*docs.columns)
 
@@ -57,7 +55,6 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in the sequences."""
-    small_batches(spark)
     found = packing.pack_documents(docs, public_tokenizers.path(WORD_TOKENIZER), end_id=END_ID, cache_words=CACHE_WORDS)
     return found.withColumnRenamed("id", "doc_id")
 
