@@ -27,6 +27,8 @@ HOLD = 0.002
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: A word of letters, with a comma or full stop at most.
+PLAIN_WORD = r"(?<![^\x20\x09-\x0D])\p{L}+[,.]?(?![^\x20\x09-\x0D])"
 
 
 def _size_without(text: Column, characters: str) -> Column:
@@ -46,10 +48,12 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         (F.length(text) - _size_without(text, ".!?")).cast("long").alias("n_stops"),
         (F.length(text) - _size_without(text, "0123456789")).cast("long").alias("n_digits"),
         F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
+        F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
+        F.regexp_count(text, F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
         lines.alias("lines"),
         F.transform(words, lambda w: F.xxhash64(w)).alias("words"),
     )
-    df = df.select("*", F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"))
+    df = df.select("*", F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct"))
     df = df.withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("lines"))).drop("lines")
     at = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(0), F.size("words") - WINDOW)).otherwise(F.array().cast("array<int>"))
     hashed = F.transform(at, lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)]))
@@ -76,21 +80,24 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes from the columns of `features`."""
+    """Votes from the columns of `features`. A rule abstains between its two limits; each of them can be crossed by a text that
+    passes the base limits, and each looks at something else: symbols, marks, words of letters, letters, capitals, variety,
+    repeats, lines, word length."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    mean, symbols = F.col("word_chars") / words, F.col("n_symbols") / words
-    lines, repeats = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("n_repeat_words") / words
-    digits, capitals, stops = F.col("n_digits") / chars, F.col("n_capitals") / chars, F.col("n_stops") / words
+    symbols, stops = F.col("n_symbols") / words, F.col("n_stops") / words
+    plain, letters, capitals = F.col("n_plain") / words, F.col("n_letters") / chars, F.col("n_capitals") / F.greatest(F.col("n_letters"), F.lit(1))
+    variety, repeats = F.col("n_distinct") / F.sqrt(words), F.col("n_repeat_words") / words
+    lines, mean = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("word_chars") / words
     return {
-        "length": _vote(F.col("n_words") >= 40, F.col("n_words") < 20),
-        "word_length": _vote(mean.between(3, 10), (mean < 2) | (mean > 16)),
         "symbols": _vote(symbols <= 0.02, symbols > 0.1),
-        "symbol_share": _vote(F.col("n_symbols") / chars <= 0.005, F.col("n_symbols") / chars > 0.03),
-        "lines": _vote(lines <= 0.1, lines > 0.3),
-        "repeats": _vote(repeats <= 0.1, repeats > 0.3),
-        "digits": _vote(digits <= 0.1, digits > 0.3),
-        "capitals": _vote(capitals <= 0.2, capitals > 0.5),
-        "stops": _vote(stops.between(0.005, 0.5), (stops > 0.8) | ((stops == 0) & (F.col("n_words") >= 100))),
+        "marks": _vote(stops.between(0.02, 0.3), (stops > 0.6) | ((stops < 0.005) & (F.col("n_words") >= 60))),
+        "plain": _vote(plain >= 0.9, plain < 0.7),
+        "letters": _vote(letters >= 0.9, letters < 0.8),
+        "capitals": _vote(capitals <= 0.15, capitals > 0.5),
+        "variety": _vote(variety >= 3, variety < 2),
+        "repeats": _vote(repeats <= 0.02, repeats > 0.12),
+        "lines": _vote(lines <= 0.02, lines > 0.2),
+        "word_length": _vote(mean.between(3.5, 9), (mean < 2.5) | (mean > 14)),
     }
 
 
