@@ -1,10 +1,15 @@
 """Secret scans: patterns, and a battery of randomness tests, with DataFrame functions only.
 
-Patterns give the base spans. Beside them every long run of letters, digits and `+/_-` that mixes character kinds is tested
-against the alphabet of its inferred encoding: chi-squared uniformity, runs above and below the alphabet's middle, and
-serial correlation; a random string fails none of them. How often characters of the run repeat each other, against the rate
-of ordinary words, gives its p-value as ordinary text; these are held to a false-discovery rate by the step-up procedure,
-in classes of length, because a short run can't be as surprising as a long one. Runs that overlap a base span add nothing.
+Patterns give the base spans. Beside them every long run of letters, digits and `+/_-` is a candidate if it mixes character kinds
+and passes as random in the alphabet of its inferred encoding: chi-squared uniformity, runs above and below the middle, serial
+correlation. Only those form the family that is tested further, so long words, paths and rules of dashes don't weigh on it.
+
+Four measures tell a candidate from ordinary text of its length: how rarely its characters repeat each other (the chi-squared sum
+against the rate of ordinary words), how often the kind of character changes (a runs test over capitals, small letters, digits and
+signs), how little neighbours resemble each other (serial correlation against that of ordinary text), and how many neighbouring
+letters are both consonants (letter pairs). Their z values are added up, with the correlation of the second and third allowed for,
+and give the p-value as ordinary text; p-values are held to a false-discovery rate by the step-up procedure, in classes of length,
+because a short run can't be as surprising as a long one. Runs that overlap a base span add nothing.
 
 Positions are code points. Null text is empty. Repeated rows come back repeated, a table without rows gives none. Nothing
 is exploded but the p-values' histogram, whose size is fixed.
@@ -12,9 +17,11 @@ is exploded but the p-values' histogram, whose size is fixed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from rollbook.llm.shared import stored
 
@@ -25,10 +32,18 @@ PATTERNS = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+UPPER, LOWER, DIGITS = ascii_uppercase, ascii_lowercase, "0123456789"
+CONSONANTS = "".join(c for c in LOWER if c not in "aeiou")
 RANDOM = "random"
 KINDS = (*(p[0] for p in PATTERNS), RANDOM)
-#: How often two characters of an ordinary word agree.
+#: Of ordinary text: how often two characters of a word agree, how often the kind of character changes from one to the next, how
+#: alike neighbours are, and how often two neighbouring letters are both consonants.
 ORDINARY_RATE = 0.065
+ORDINARY_CHANGES = 0.15
+ORDINARY_SERIAL = 0.45
+ORDINARY_CONSONANTS = 0.38
+#: Correlation of changes of kind and serial correlation, for adding them up.
+SHARED = 0.5
 DISCOVERY_RATE = 0.01
 #: Two-sided limit of the battery's z values.
 BATTERY_Z = 3.3
@@ -67,7 +82,7 @@ def _normal(z: Column) -> Column:
 
 
 def _tested(span: Column) -> Column:
-    """Battery of a candidate: struct of start, end, length class, p as ordinary text, and whether the battery passes."""
+    """Battery of a candidate: struct of start, end, length class, bin of p as ordinary text, and whether it may be random."""
     token = span["value"]
     n = F.length(token).cast("double")
     lower, upper = F.regexp_like(token, F.lit("[a-z]")), F.regexp_like(token, F.lit("[A-Z]"))
@@ -82,6 +97,12 @@ def _tested(span: Column) -> Column:
     )
     mixed = digit & (lower | upper) | (lower & upper & F.regexp_like(token, F.lit("[a-z][A-Z].*[a-z][A-Z]")))
     codes = F.transform(F.split(token, ""), lambda c: F.ascii(c).cast("double"))
+
+    def beside(values: Column, of) -> Column:  # noqa: ANN001
+        """Sum of a function of each value and the next."""
+        later = F.slice(values, F.lit(2), F.size(values) - 1)
+        return F.aggregate(F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), later, of), F.lit(0.0), lambda total, x: total + x)
+
     counts = F.transform(F.array_distinct(F.split(token, "")), lambda c: n - F.length(F.replace(token, c, F.lit(""))))
     squares = F.aggregate(counts, F.lit(0.0), lambda total, c: total + c * c)
     chi = squares * size / n - n
@@ -89,20 +110,32 @@ def _tested(span: Column) -> Column:
     mean = F.aggregate(codes, F.lit(0.0), lambda total, c: total + c) / n
     shifted = F.transform(codes, lambda c: c - mean)
     spread = F.aggregate(shifted, F.lit(0.0), lambda total, c: total + c * c)
-    pairs = F.zip_with(F.slice(shifted, F.lit(1), F.size(shifted) - 1), F.slice(shifted, F.lit(2), F.size(shifted) - 1), lambda a, b: a * b)
-    serial = F.aggregate(pairs, F.lit(0.0), lambda total, c: total + c) / F.greatest(spread, F.lit(1e-9)) * F.sqrt(n)
+    alike = beside(shifted, lambda a, b: a * b) / F.greatest(spread, F.lit(1e-9))
     above = F.aggregate(shifted, F.lit(0.0), lambda total, c: total + F.when(c > 0, 1.0).otherwise(0.0))
-    changes = F.aggregate(F.zip_with(F.slice(shifted, F.lit(1), F.size(shifted) - 1), F.slice(shifted, F.lit(2), F.size(shifted) - 1), lambda a, b: F.when((a > 0) != (b > 0), 1.0).otherwise(0.0)), F.lit(1.0), lambda total, c: total + c)
+    changes = 1 + beside(shifted, lambda a, b: F.when((a > 0) != (b > 0), 1.0).otherwise(0.0))
     both = 2 * above * (n - above)
-    expected = both / n + 1
     deviation = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
-    runs = (changes - expected) / deviation
+    runs = (changes - both / n - 1) / deviation
+    serial = alike * F.sqrt(n)
+    passes = mixed & (F.abs(uniform) <= BATTERY_Z) & (F.abs(serial) <= BATTERY_Z) & (F.abs(runs) <= BATTERY_Z)
+
+    # against ordinary text: larger is more random
     couples = n * (n - 1) / 2
     rate = F.greatest(F.lit(ORDINARY_RATE), 1.6 / size)
-    ordinary = ((squares - n) / 2 + 0.5 - couples * rate) / F.sqrt(couples * rate * (1 - rate))
-    passes = mixed & (F.abs(uniform) <= BATTERY_Z) & (F.abs(serial) <= BATTERY_Z) & (F.abs(runs) <= BATTERY_Z)
+    repeats = (couples * rate - 0.5 - (squares - n) / 2) / F.sqrt(couples * rate * (1 - rate))
+    kinds = F.transform(F.split(F.translate(token, UPPER + LOWER + DIGITS, "A" * 26 + "a" * 26 + "0" * 10), ""), lambda c: F.ascii(c).cast("double"))
+    switches = (beside(kinds, lambda a, b: F.when(a != b, 1.0).otherwise(0.0)) - 0.5 - (n - 1) * ORDINARY_CHANGES) / F.sqrt((n - 1) * ORDINARY_CHANGES * (1 - ORDINARY_CHANGES))
+    unlike = (ORDINARY_SERIAL - alike) * F.sqrt(n)
+    # 1 for consonants, 0 for vowels, far below for all else
+    sounds = F.transform(F.split(F.translate(F.lower(token), "aeiou" + CONSONANTS, "0" * 5 + "1" * 21), ""), lambda c: F.when(c == "1", 1.0).when(c == "0", 0.0).otherwise(-9.0))
+    # digits are told from vowels by the token itself
+    letters = F.zip_with(F.split(F.lower(token), ""), sounds, lambda c, v: F.when(F.regexp_like(c, F.lit("[a-z]")), v).otherwise(-9.0))
+    pairs = beside(letters, lambda a, b: F.when((a >= 0) & (b >= 0), 1.0).otherwise(0.0))
+    hard = beside(letters, lambda a, b: F.when((a > 0) & (b > 0), 1.0).otherwise(0.0))
+    consonants = F.when(pairs > 0, (hard - pairs * ORDINARY_CONSONANTS) / F.sqrt(F.greatest(pairs, F.lit(1.0)) * ORDINARY_CONSONANTS * (1 - ORDINARY_CONSONANTS))).otherwise(0.0)
+    z = (repeats + switches + unlike + consonants) / math.sqrt(4 + 2 * SHARED)
     band = sum((F.when(n >= limit, 1).otherwise(0) for limit in LENGTHS), F.lit(0))
-    p = F.greatest(_normal(ordinary), F.lit(10.0**-DECADES))
+    p = F.greatest(_normal(-z), F.lit(10.0**-DECADES))
     bin_ = F.floor(-F.log10(p) * BINS_PER_DECADE).cast("int")
     return F.struct(span["start"].alias("start"), span["end"].alias("end"), band.cast("int").alias("band"), bin_.alias("bin"), passes.alias("passes"))
 
@@ -123,7 +156,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def thresholds(scanned: DataFrame) -> dict[int, int]:
     """Least bin of p per length class that the step-up procedure lets through; the histogram has a fixed size."""
-    runs = scanned.select(F.explode("secret_runs").alias("r")).select("r.band", "r.bin")
+    runs = scanned.select(F.explode(F.filter("secret_runs", lambda r: r["passes"])).alias("r")).select("r.band", "r.bin")
     counts = runs.groupBy("band", "bin").agg(F.count("*").alias("n"))
     order = Window.partitionBy("band").orderBy(F.col("bin").desc())
     total = Window.partitionBy("band")
