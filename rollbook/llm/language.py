@@ -23,14 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import hashed_share, kept, letters_of, slices, sums, text_or_empty, tidy
+from rollbook.llm.shared import hashed_share, kept, letters_of, slices, stored, sums, text_or_empty, tidy
 
 ORDER = 4
 BITS = 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Training documents of each language, about, and characters of each.
+#: Training documents of each language, about; all of their text counts.
 DOCS_PER_LANGUAGE = 1000
-FIT_CHARS = 50_000
 CACHE_WORDS = 150_000
 #: Bytes of text that a task scores at a time.
 SCORED_BYTES = 1 << 20
@@ -230,7 +229,8 @@ def language(held, column: str | Column) -> Column:  # noqa: ANN001
 def fit_documents(docs: DataFrame, text_column: str = "text", language_column: str = "lang", id_column: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE):  # noqa: ANN201
     """A broadcast model from about `docs_per_language` documents of each language, chosen by the hash of their id.
 
-    What reaches the driver is the words of that sample with their counts; its size does not depend on the corpus.
+    What reaches the driver is the words of that sample with their counts; its size does not depend on the corpus. The limits of
+    rejection are found by one aggregate over all documents with a language.
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(language_column).alias("lang"))
@@ -239,7 +239,7 @@ def fit_documents(docs: DataFrame, text_column: str = "text", language_column: s
     if not sizes:
         return context.broadcast(Model([], []))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_language / n))) for k, n in sizes.items()])
-    sample = rows.filter(hashed_share("id", share)).withColumn("text", F.substring("text", 1, FIT_CHARS))
+    sample = rows.filter(hashed_share("id", share))
     split = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
     counts = sample.select("lang", split.alias("word")).filter("word <> ''").groupBy("lang", "word").count().orderBy("lang", "word").toArrow()
     languages = sorted(pc.unique(counts["lang"]).to_pylist())
@@ -250,8 +250,9 @@ def fit_documents(docs: DataFrame, text_column: str = "text", language_column: s
     if not languages:
         return context.broadcast(model)
     first = context.broadcast(model)
-    judged = sample.select("lang", language(first, "text").alias("r")).filter("r.lang_pred = lang")
-    judged = judged.select("lang", F.col("r.cross_entropy").alias("e"), F.col("r.characters").alias("n"))
+    # the limits of rejection come from every labelled document
+    judged = rows.select("lang", language(first, "text").alias("r")).filter("r.lang_pred = lang")
+    judged = stored(judged.select("lang", F.col("r.cross_entropy").alias("e"), F.col("r.characters").alias("n")), "judged")
     mean = judged.groupBy("lang").agg((F.sum(F.col("e") * F.col("n")) / F.sum("n")).alias("mean"))
     off = judged.join(F.broadcast(mean), "lang").withColumn("off", (F.col("e") - F.col("mean")) * F.sqrt("n"))
     spread = off.groupBy("lang").agg(F.first("mean").alias("mean"), F.sqrt(F.avg(F.col("off") ** 2)).alias("deviation"), F.max("off").alias("most"))
