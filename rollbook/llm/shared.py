@@ -5,10 +5,14 @@ from __future__ import annotations
 import ctypes
 import gc
 import json
+import os
 import sys
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +70,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at, before = 0, 0
     while at < len(ends):
+        LAST_USE[0] = time.monotonic()
         until = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield at, until
         at, before = until, int(ends[until - 1])
@@ -169,16 +174,48 @@ def tidy() -> None:
     release()
 
 
-#: What the present operator keeps from task to task in a worker.
+#: What the present operator keeps from task to task in a worker, when a worker last worked, and which process watches that.
 KEPT: dict[tuple[str, str], object] = {}
+LAST_USE = [0.0]
+WATCHED = [0]
+#: Seconds after which a worker without work lets go what it keeps.
+IDLE_SECONDS = 8
 
 
 def kept(operator: str, key: str, make: Callable[[], object]) -> object:
-    """An object that a worker keeps between tasks; what another operator kept is let go, so a job of many stages needs no
-    more memory than its largest one."""
-    if (operator, key) not in KEPT:
-        if any(other != operator for other, _ in KEPT):
+    """An object that a worker keeps between tasks; what another operator kept is let go, as is everything in a worker that has
+    had no work for a while, so a job of many stages needs no more memory than its largest one."""
+    LAST_USE[0] = time.monotonic()
+    found = KEPT.get((operator, key))
+    if found is None:
+        if any(other != operator for other, _ in list(KEPT)):
             KEPT.clear()
             tidy()
-        KEPT[operator, key] = make()
-    return KEPT[operator, key]
+        found = KEPT[operator, key] = make()
+    if WATCHED[0] != os.getpid():
+        WATCHED[0] = os.getpid()
+        threading.Thread(target=_let_go, daemon=True).start()
+    return found
+
+
+def _let_go() -> None:
+    while True:
+        time.sleep(2)
+        if KEPT and time.monotonic() - LAST_USE[0] > IDLE_SECONDS:
+            KEPT.clear()
+            tidy()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows per Arrow batch for the jobs run inside; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
