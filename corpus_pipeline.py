@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm import language, packing, secrets, similar, simhash, toxicity
 from rollbook.llm.queries import END_ID, WORD_TOKENIZER
-from rollbook.llm.shared import stored
+from rollbook.llm.shared import small_batches, stored
 
 ROW = "pipeline_row"
 #: Words that a packing worker keeps; less than in a job of its own, as the stages share their workers.
@@ -20,14 +20,16 @@ CACHE_WORDS = 50_000
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5, by a model of the labelled ones."""
-    model = toxicity.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.filter(toxicity.toxicity(model, "text") < 0.5)
+    with small_batches(spark):
+        model = toxicity.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        return stored(docs.filter(toxicity.toxicity(model, "text") < 0.5), "not-toxic")
 
 
 def in_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models do not reject; `lang` stays as it was."""
-    model = language.fit_documents(docs)
-    return docs.filter(~language.language(model, "text")["rejected"])
+    with small_batches(spark):
+        model = language.fit_documents(docs)
+        return stored(docs.filter(~language.language(model, "text")["rejected"]), "known-languages")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +40,10 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     be searched for. So their members become candidates, beside those of a wider search, and all are held to the similarity.
     """
     numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    by_fingerprint = simhash.near_copies(numbered, id_column=ROW, words=5, bits=4)
-    candidates = by_fingerprint.select(F.col("component_id").alias("a"), F.col("id").alias("b")).filter("a < b")
-    groups = similar.similar_copies(numbered, id_column=ROW, words=5, least=0.8, candidates=candidates)
+    with small_batches(spark):
+        by_fingerprint = simhash.near_copies(numbered, id_column=ROW, words=5, bits=4)
+        candidates = by_fingerprint.select(F.col("component_id").alias("a"), F.col("id").alias("b")).filter("a < b")
+        groups = similar.similar_copies(numbered, id_column=ROW, words=5, least=0.8, candidates=candidates)
     first = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(ROW))
     return numbered.join(first, ROW, "left_semi").select(*docs.columns)
 
@@ -55,7 +58,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in the sequences."""
-    found = packing.pack_documents(docs, public_tokenizers.path(WORD_TOKENIZER), end_id=END_ID, cache_words=CACHE_WORDS)
+    with small_batches(spark):
+        found = packing.pack_documents(docs, public_tokenizers.path(WORD_TOKENIZER), end_id=END_ID, cache_words=CACHE_WORDS)
     return found.withColumnRenamed("id", "doc_id")
 
 
