@@ -81,27 +81,21 @@ def flag_duplicates(
     """
     rows = df.withColumn("_name_key", name_key(last, first)).withColumn("__zip", zip5(zip_))
     per_file = rows.groupBy("_name_key", "__zip", source).agg(F.count(F.lit(1)).alias("__n"))
-    names = (
-        per_file.groupBy("_name_key")
-        .agg(F.sum("__n").alias("_dupe_count"), F.array_join(F.array_sort(F.collect_set(source)), ", ").alias("__files"))
-        .where("_dupe_count > 1")
-    )
+    per_zip = per_file.groupBy("_name_key", "__zip").agg(F.sum("__n").alias("__n"), F.collect_set(source).alias("__files"))
+    # a ZIP that several files have for a name; one table per name, so the rows are joined once
+    shared = F.collect_list(F.when((F.col("__zip") != "") & (F.size("__files") > 1), F.col("__zip")))
+    files = F.array_sort(F.array_distinct(F.flatten(F.collect_list("__files"))))
+    names = per_zip.groupBy("_name_key").agg(
+        F.sum("__n").alias("_dupe_count"), F.array_join(files, ", ").alias("__files"), shared.alias("__shared")
+    ).where("_dupe_count > 1")
     groups = global_rank(names, [F.col("_name_key")], "_dupe_group")
-    shared = (
-        per_file.where("__zip <> ''")
-        .groupBy("_name_key", "__zip")
-        .agg(F.count(F.lit(1)).alias("__sources"))
-        .where("__sources > 1")
-        .select("_name_key", "__zip", F.lit("Y").alias("_zip_match"))
-    )
-    flagged = keyed_join(keyed_join(rows, groups, ["_name_key"]), shared, ["_name_key", "__zip"])
-    return flagged.select(
+    return keyed_join(rows, groups, ["_name_key"]).select(
         *df.columns,
         "_name_key",
         F.coalesce("_dupe_count", F.lit(1)).alias("_dupe_count"),
         F.coalesce("_dupe_group", F.lit(0)).alias("_dupe_group"),
         F.coalesce("__files", F.lit("")).alias("_files_in_group"),
-        F.coalesce("_zip_match", F.lit("N")).alias("_zip_match"),
+        F.when(F.array_contains("__shared", F.col("__zip")), "Y").otherwise("N").alias("_zip_match"),
     )
 
 

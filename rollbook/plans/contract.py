@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from rollbook.plans import (
-    course_queries, file_queries, function_queries, list_queries, match_queries, report_queries, survey_queries,
+    audit_queries, course_queries, file_queries, function_queries, list_queries, match_queries, report_queries, survey_queries,
 )
 
 MODULES = (
     file_queries, function_queries, list_queries, match_queries, report_queries, survey_queries, course_queries,
+    audit_queries,
 )
 
 

@@ -123,11 +123,14 @@ def _chunk_text(spark, sf_dir):
     return rows
 
 
-# every sentence begins or ends where the flat text says so: the sentence texts in order give the flat text back
-@query("h2_sentences", "select doc_id, length(" + sql.norm("text").replace("lower(", "(") + ") as n_chars from documents")
+_SENTENCES = chunk_ctes("src")["sent"]
+
+
+@query("h2_sentences", "with src as (select doc_id as k, text from documents), sent as (" + _SENTENCES + ") "
+       "select k as doc_id, cast(unnest(generate_series(0, len(s) - 1)) as integer) as place, unnest(s) as sentence from sent")
 def _sentences(spark, sf_dir):
-    found = dealt(table(spark, sf_dir, "documents")).select("doc_id", ops.sentences("text").alias("s"))
-    return found.select("doc_id", F.length(F.array_join("s", " ")).cast("long").alias("n_chars"))
+    found = dealt(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(ops.sentences("text")).alias("place", "sentence"))
+    return found
 
 
 _FIRSTS = {**PARSED, "f": "select title, min(_ord) as _ord from h group by title"}

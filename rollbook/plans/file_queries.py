@@ -107,11 +107,13 @@ def _roles(spark, sf_dir):
     return rows.select("_ord", *[F.col(f"`{c}`").alias(r) for r, c in found.items()], F.col(numbered[0][0]).alias("addr"))
 
 
-@query("a5_write_tables", sql.with_inputs(
-    "p", "select source_tab as name, count(*) as rows from p group by 1"))
+_WRITTEN = ("last_name", "first_name", "npi", "primary_address_1", "primary_address_2", "primary_city", "taxonomy_descriptions", "zip5")
+
+
+@query("a5_write_tables", sql.with_inputs("p", f"select source_tab as name, {', '.join(_WRITTEN)} from p"))
 def _write(spark, sf_dir):
     where = _tabs(spark, sf_dir, "a5")
-    return tables.read_tables(spark, where).groupBy(F.col("_source_tab").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    return tables.read_tables(spark, where).select(F.col("_source_tab").alias("name"), *_WRITTEN)
 
 
 @query("a6_read_documents", "select line, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents) group by 1")

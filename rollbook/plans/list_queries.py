@@ -8,6 +8,7 @@ from rollbook import fixed_values as fv
 from rollbook.operators import cleaning, dedup
 from rollbook.plans import sql
 from rollbook.plans.inputs import BOARD, PEOPLE, board, people
+from rollbook.scale import global_rank, stored
 
 QUERIES = {}
 SQL = {}
@@ -89,17 +90,20 @@ _SORT = "zip5, primary_city, primary_address_1, last_name, first_name, _ord"
 @query("c4_sort_by_location", sql.with_inputs(
     "p", f"select _ord, zip5, row_number() over (order by {_SORT}) as position from p"))
 def _sorted(spark, sf_dir):
-    from rollbook.scale import global_rank
+    return _positions(cleaning.sort_by_location(people(spark, sf_dir))).select("_ord", "zip5", "position")
 
-    rows = people(spark, sf_dir)
-    keys = [F.col(c) for c in (*fv.LOCATION_SORT, "_ord")]
-    return global_rank(rows.select(*fv.LOCATION_SORT, "_ord"), keys, "position").select("_ord", "zip5", "position")
 
+def _positions(ordered):
+    """Rows with their place in the order in which they came: partitions of a sorted table follow each other."""
+    placed = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "positions")
+    return global_rank(placed, [F.col("at")], "position")
 
-@query("c4_sort_rows_ignore_case", sql.with_inputs("p", "select _ord, last_name, first_name from p"))
+
+@query("c4_sort_rows_ignore_case", sql.with_inputs(
+    "p", "select _ord, last_name, first_name, row_number() over (order by lower(last_name), lower(first_name), _ord) as position from p"))
 def _sorted_names(spark, sf_dir):
     rows = people(spark, sf_dir).select("_ord", "last_name", "first_name")
-    return cleaning.sort_rows(rows, ["last_name", "first_name"], ignore_case=True)
+    return _positions(cleaning.sort_rows(rows, ["last_name", "first_name"], ignore_case=True)).drop("at")
 
 
 # --- deduplication -----------------------------------------------------------------------------
@@ -187,22 +191,17 @@ _COMPLETE_RANKED = (
 
 
 def _complete(spark, sf_dir):
-    # identifiers would make every row unique, so only the name part is exercised on the rows without one
-    rows = board(spark, sf_dir).withColumn("npi", F.when(F.col("_ord") % 3 == 0, F.col("npi")).otherwise(""))
-    return dedup.dedup_most_complete(rows, full="full_name")
-
-
-_M3 = "select * replace (case when _ord % 3 = 0 then npi else '' end as npi) from m"
+    return dedup.dedup_most_complete(board(spark, sf_dir), full="full_name")
 
 
 @query("d5_dedup_most_complete_kept", sql.with_inputs(
-    "m", "select * exclude (rn) from r where rn = 1", m3=_M3, k=_COMPLETE.replace("from m)", "from m3)"), r=_COMPLETE_RANKED))
+    "m", "select * exclude (rn) from r where rn = 1", k=_COMPLETE, r=_COMPLETE_RANKED))
 def _complete_kept(spark, sf_dir):
     return _complete(spark, sf_dir)[0]
 
 
 @query("d5_dedup_most_complete_removed", sql.with_inputs(
-    "m", "select * exclude (rn) from r where rn > 1", m3=_M3, k=_COMPLETE.replace("from m)", "from m3)"), r=_COMPLETE_RANKED))
+    "m", "select * exclude (rn) from r where rn > 1", k=_COMPLETE, r=_COMPLETE_RANKED))
 def _complete_removed(spark, sf_dir):
     return _complete(spark, sf_dir)[1]
 
