@@ -60,10 +60,10 @@ def test_the_stage_drops_copies_with_scattered_edits(spark):
     assert kept == set(components_of(texts))
 
 
-def test_cells_of_bounded_size_are_compared_and_larger_ones_split(spark):
+def test_cells_above_a_block_are_compared_in_pairs_of_blocks(spark):
     texts = edited_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = similar.similar_copies(df, cell_rows=2).collect()
+    found = similar.similar_copies(df, block=2).collect()
     assert {r.id: r.component_id for r in found} == dict(enumerate(components_of(texts)))
 
 
@@ -81,9 +81,27 @@ def test_copies_of_an_absent_original(spark):
     assert {r.id: r.component_id for r in similar.similar_copies(df).collect()} == dict(enumerate(components_of(texts)))
 
 
-def test_pairs_apart_are_those_of_other_components(spark):
-    rows = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 1, 3), (1, 3, 3, 3), (2, 3, 3, 2), (2, 4, 4, 2), (2, 2, 1, 3)], "cell long, id long, root long, rows long")
-    assert sorted(map(tuple, similar._pairs_apart(rows).collect())) == [(1, 3), (2, 3), (2, 4), (3, 4)]
+def test_a_large_group_with_pairs_outside_its_main_component(spark):
+    """Copies of one text, and chains of copies that are too far from it but near each other."""
+    rng = random.Random(31)
+    own = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+
+    def edited(base, edits, mark):
+        copy = list(base)
+        for at in rng.sample(range(len(base)), edits):
+            copy[at] = f"{mark}{at}"
+        return copy
+
+    texts = [own, *(edited(own, rng.choice((1, 2, 3)), f"n{n}x") for n in range(60))]
+    for n in range(8):
+        far = edited(own, 9, f"far{n}y")
+        texts += [far, edited(far, 2, f"one{n}z"), edited(far, 2, f"two{n}z")]
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = components_of(texts)
+    assert 5 < len(set(want)) < 12
+    for block in (1024, 16):
+        assert {r.id: r.component_id for r in similar.similar_copies(df, block=block).collect()} == dict(enumerate(want))
 
 
 def test_the_centre_shares_most_cells(spark):
@@ -94,17 +112,27 @@ def test_the_centre_shares_most_cells(spark):
 def test_bands_of_similar_sets_meet():
     rng = np.random.default_rng(5)
     met = 0
-    for n in range(400):
+    for _ in range(400):
         size = int(rng.integers(20, 600))
         a = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
         edit = max(1, size // 10)
         b = np.unique(np.concatenate([a[: size - edit], rng.integers(0, 1 << 63, edit, np.uint64) * np.uint64(2)]))
         c = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
-        found = similar.bands([a, b, c, a], n % 3)
+        found = similar.bands(similar.signatures([a, b, c, a]))
         met += bool((found[0] == found[1]).any())
         assert not (found[0] == found[2]).any() and (found[0] == found[3]).all()
     assert met >= 399
-    assert (similar.bands([a[:0], b[:0]])[0] == similar.bands([a[:0]])[0]).all()
+    signed = similar.signatures([a[:0], b[:0]])
+    assert (similar.bands(signed)[0] == similar.bands(signed)[1]).all()
+
+
+def test_min_hashes_agree_as_sets_are_similar():
+    rng = np.random.default_rng(6)
+    for share in (0.5, 0.8, 0.9):
+        a = np.unique(rng.integers(0, 1 << 63, 400, np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: int(400 * 2 * share / (1 + share))], rng.integers(0, 1 << 63, 400 - int(400 * 2 * share / (1 + share)), np.uint64) * np.uint64(2)]))
+        signed = similar.signatures([a, b])
+        assert abs((signed[0] == signed[1]).mean() - similar.jaccard(a, b)) < 0.1
 
 
 def test_bucket_counts_never_rule_out_similar_sets():
