@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import hashed_share, kept, letters_of, slices, stored, sums, text_or_empty, tidy
+from rollbook.llm.shared import hashed_share, kept, letters_of, slices, sums, text_or_empty, tidy
 
 ORDER = 4
 BITS = 16
@@ -230,7 +230,7 @@ def fit_documents(docs: DataFrame, text_column: str = "text", language_column: s
     """A broadcast model from about `docs_per_language` documents of each language, chosen by the hash of their id.
 
     What reaches the driver is the words of that sample with their counts; its size does not depend on the corpus. The limits of
-    rejection are found by one aggregate over all documents with a language.
+    rejection come from the sample as well.
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(language_column).alias("lang"))
@@ -250,9 +250,8 @@ def fit_documents(docs: DataFrame, text_column: str = "text", language_column: s
     if not languages:
         return context.broadcast(model)
     first = context.broadcast(model)
-    # the limits of rejection come from every labelled document
-    judged = rows.select("lang", language(first, "text").alias("r")).filter("r.lang_pred = lang")
-    judged = stored(judged.select("lang", F.col("r.cross_entropy").alias("e"), F.col("r.characters").alias("n")), "judged")
+    judged = sample.select("lang", language(first, "text").alias("r")).filter("r.lang_pred = lang")
+    judged = judged.select("lang", F.col("r.cross_entropy").alias("e"), F.col("r.characters").alias("n"))
     mean = judged.groupBy("lang").agg((F.sum(F.col("e") * F.col("n")) / F.sum("n")).alias("mean"))
     off = judged.join(F.broadcast(mean), "lang").withColumn("off", (F.col("e") - F.col("mean")) * F.sqrt("n"))
     spread = off.groupBy("lang").agg(F.first("mean").alias("mean"), F.sqrt(F.avg(F.col("off") ** 2)).alias("deviation"), F.max("off").alias("most"))
