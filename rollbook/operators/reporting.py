@@ -34,11 +34,14 @@ def joined_texts(df: DataFrame, key: str, fields: Sequence[str], order_by: str,
         F.min(order_by).alias("__at"), F.min_by("__f.value", order_by).alias("__value")
     )
 
-    def joined(i: int) -> Column:
-        entries = F.collect_list(F.when(F.col("__field") == i, F.struct("__at", "__value")))
-        return F.array_join(F.transform(F.array_sort(entries), lambda e: e["__value"]), sep)
+    quoted = sep.replace("\\", "\\\\").replace("'", "\\'")
+    texts = [f"listagg(__value, '{quoted}') within group (order by __at) filter (where __field = {i})" for i in range(len(fields))]
+    return distinct.groupBy(key).agg(*[F.coalesce(F.expr(t), F.lit("")).alias(c) for t, c in zip(texts, fields)])
 
-    return distinct.groupBy(key).agg(*[joined(i).alias(c) for i, c in enumerate(fields)])
+
+def _lone(key: Column, order_by: str, blank: Column, blank_is_key: bool) -> Column:
+    """The key, or for rows whose key is blank one of their own, so a large nameless group never gathers."""
+    return key if blank_is_key else F.when(blank, F.concat(F.lit("\u0001"), F.to_json(F.struct(order_by)))).otherwise(key)
 
 
 def consolidate(
@@ -48,14 +51,15 @@ def consolidate(
     order_by: str = "_ord",
     count: str = "_mn_specialty_count",
     yes_field: str = "discipined",
+    blank_is_key: bool = True,
 ) -> DataFrame:
     """One row per name+address+ZIP: listed fields joined, 'Y' kept when any row has it, other fields first value.
 
-    Rows that stand alone keep their raw values.
+    Rows that stand alone keep their raw values. With `blank_is_key=False` rows whose key has no letter or digit stay apart.
     """
     fields = [c for c in concat_fields if c in df.columns]
     key = key if key is not None else name_addr_key("last_name", "first_name", "primary_address_1", "zip5")
-    rows = df.withColumn("__key", key)
+    rows = df.withColumn("__key", _lone(key, order_by, ~F.coalesce(key, F.lit("")).rlike(r"[\p{L}\p{N}]"), blank_is_key))
     aggs = [F.min_by(whole_row(df), order_by).alias("__row"), F.count(F.lit(1)).alias(count)]
     if yes_field in df.columns:
         aggs.append(F.max((F.upper(as_column(yes_field)) == "Y").cast("int")).alias("__yes"))
@@ -76,27 +80,34 @@ def consolidate(
     return both.select(*[value(c).alias(c) for c in df.columns], F.col(count))
 
 
-def filled_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
-    """The columns with at least one filled value; one aggregate, one row to the driver."""
-    if not columns:
-        return set()
-    row = df.agg(*[F.max(strip(c) != "").alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return {c for i, c in enumerate(columns) if row[f"c{i}"]}
+def filled_columns(tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> list[set[str]]:
+    """Per table, which of the given columns have a filled value; one job for all, one row per table to the driver."""
+    rows = None
+    for n, (df, columns) in enumerate(tables):
+        flags = [F.coalesce(F.max(strip(c) != ""), F.lit(False)) for c in columns]
+        row = df.agg(F.lit(n).alias("table"), F.array(*flags).cast("array<boolean>").alias("filled"))
+        rows = row if rows is None else rows.unionByName(row)
+    found = {r["table"]: r["filled"] for r in rows.collect()}
+    return [{c for c, full in zip(columns, found[n], strict=True) if full} for n, (_, columns) in enumerate(tables)]
 
 
 def pivot_wide(
-    left: DataFrame, right: DataFrame, key: str = "_name_key", order_by: str = "_ord", kind: str = "_match_type"
+    left: DataFrame, right: DataFrame, key: str = "_name_key", order_by: str = "_ord", kind: str = "_match_type",
+    blank_is_key: bool = True,
 ) -> DataFrame:
     """One row per name: registry columns renamed `npi_*`, board columns `mn_*`, board-only columns joined with ' | '.
 
-    Board-only columns are those filled somewhere on the right and nowhere on the left; finding them takes one small
-    job per side.
+    Board-only columns are those filled somewhere on the right and nowhere on the left; finding them takes one small job. With
+    `blank_is_key=False` rows without a name stay rows of their own, and the board's nameless rows join nothing.
     """
+    if not blank_is_key:
+        nameless = ~filled(key).rlike(r"[\p{L}\p{N}]")
+        left = left.withColumn(key, _lone(as_column(key), order_by, nameless, False))
+        right = right.where(~nameless)
     internal = {key, order_by, "_match_key", "_npi_count", "_mn_count", "_source_type"}
     own = {"last_name", "first_name", "middle_name"}
     candidates = [c for c in right.columns if c not in internal | own]
-    right_filled = filled_columns(right, candidates)
-    left_filled = filled_columns(left, [c for c in left.columns if c not in internal])
+    right_filled, left_filled = filled_columns([(right, candidates), (left, [c for c in left.columns if c not in internal])])
     board_only = [c for c in candidates if c in right_filled and c not in left_filled]
 
     # last mapping wins when two source columns share a wide name

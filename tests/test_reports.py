@@ -44,6 +44,19 @@ def test_addresses_wide_and_reconciliation(either, table):
     assert grouped.count() == 2
 
 
+def test_nameless_rows_stay_apart_on_request(either, table):
+    df = table("last_name first_name primary_address_1 zip5 license_nbr", ("", "", "", "", "A"), ("", "", "", "", "B"), ("Doe", "Jo", "1", "5", "C"), ("Doe", "Jo", "1", "5", "it's | \\x"))
+    fields = ["license_nbr"]
+    together = reporting.consolidate(df, concat_fields=fields)
+    assert rows_of(together, "_ord", "license_nbr", "_mn_specialty_count") == [(0, "A | B", 2), (2, "C | it's | \\x", 2)]
+    apart = reporting.consolidate(df, concat_fields=fields, blank_is_key=False)
+    assert rows_of(apart, "_ord", "license_nbr", "_mn_specialty_count") == [(0, "A", 1), (1, "B", 1), (2, "C | it's | \\x", 2)]
+    key = names.name_key("last_name", "first_name")
+    left, right = df.select("_ord", "last_name", "first_name").withColumn("_name_key", key), df.withColumn("_name_key", key)
+    wide = reporting.pivot_wide(left, right, blank_is_key=False)
+    assert rows_of(wide, "last_name", "license_nbr") == [("", ""), ("", ""), ("Doe", "C | it's | \\x")]
+
+
 def test_address_slots_of_a_busy_person(spark):
     df = spark.range(10_000).select(
         F.col("id").alias("_ord"), F.lit("Doe").alias("last_name"), F.lit("Jane").alias("first_name"),
