@@ -122,7 +122,7 @@ MARKS = "key long, n int, counts binary, mins binary, bands array<long>"
 
 
 def _marked(texts: DataFrame, words: int) -> DataFrame:
-    """id, hash of the set, its size, bucket counts, low halves of its min-hashes, and bands of every document."""
+    """id, hash of the set, its size, bucket counts, the lowest bytes of its min-hashes, and bands of every document."""
 
     @F.arrow_udf(MARKS)
     def of(column: pa.Array) -> pa.Array:
@@ -135,7 +135,7 @@ def _marked(texts: DataFrame, words: int) -> DataFrame:
             keys += [xxhash.xxh64_intdigest(own.tobytes()) for own in sets]
             sizes += map(len, sets)
             counts += [bucket_counts(own).tobytes() for own in sets]
-            mins += [row.tobytes() for row in signed.astype("<u2")]
+            mins += [row.tobytes() for row in signed.astype(np.uint8)]
             found.append(bands(signed))
         flat = np.concatenate(found).ravel()
         lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), flat)
@@ -212,7 +212,7 @@ def alike(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> list[t
 
 
 def _block(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    mins = np.frombuffer(b"".join(table.column("mins").to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+    mins = np.frombuffer(b"".join(table.column("mins").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
     return table.column("id").to_numpy(), table.column("root").to_numpy(), mins
 
 
