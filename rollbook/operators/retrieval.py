@@ -1,7 +1,7 @@
 """Course documents: parsing, chunking, catalog, ingestion, nearest-neighbour search and chat history.
 
 A document stays one row from text to chunks: lines, lessons and sentences are arrays inside the row, so no text is
-shuffled. Only the greedy packing of sentences and the distances are Arrow functions.
+shuffled. Only the greedy packing of sentence lengths and the distances are Arrow functions.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,22 +125,42 @@ def chunk_spans(lengths: Sequence[int], size: int, overlap: int) -> Iterator[tup
         start = max(tail, start + 1)
 
 
-def _pack(size: int, overlap: int):
-    """Arrow function: sentences of several texts to chunks of each text."""
+def _spans(size: int, overlap: int):
+    """Arrow function: sentence lengths of several texts to (start, end) of each text's chunks. Only numbers reach Python, so a
+    batch of long documents is small there."""
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def pack(texts: pd.Series) -> pd.Series:
-        def chunks(found: list[str]) -> list[str]:
-            return [" ".join(found[i:j]) for i, j in chunk_spans([len(s) for s in found], size, overlap)]
+    @F.arrow_udf("array<array<struct<start: int, end: int>>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        inner = texts.flatten()
+        lengths = inner.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False))
+        found, counts = [], [0]
+        for begin, end in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+            found += chunk_spans(lengths[begin:end].tolist(), size, overlap)
+            counts.append(len(found))
+        pairs = np.array(found, np.int32).reshape(-1, 2)
+        struct = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["start", "end"])
+        per_text = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), struct)
+        rows = np.cumsum([0, *pc.fill_null(pc.list_value_length(texts), 0).to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), per_text)
 
-        return texts.map(lambda row: [] if row is None else [chunks(list(t)) for t in row])
+    return spans
 
-    return pack
+
+def _lengths(texts: Column | str) -> Column:
+    """Sentence lengths of each text, from the sentences of each."""
+    return F.transform(texts, lambda found: F.transform(found, F.length))
+
+
+def _joined(found: Column, spans: Column) -> Column:
+    """The chunks of one text: its sentences between each start and end."""
+    return F.transform(spans, lambda x: F.array_join(F.slice(found, x["start"] + 1, x["end"] - x["start"]), " "))
 
 
 def chunk_text(text: Column | str, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> Column:
     """Array of chunks of a text."""
-    return F.get(_pack(size, overlap)(F.array(sentences(text))), F.lit(0))
+    spans = F.get(_spans(size, overlap)(_lengths(F.array(sentences(text)))), F.lit(0))
+    return let(F.struct(sentences(text).alias("s"), spans.alias("p")), lambda x: _joined(x["s"], x["p"]))
 
 
 def numbered_chunks(courses: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
@@ -156,8 +176,10 @@ def numbered_chunks(courses: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int
         F.transform("lessons", lambda x: F.struct(x["lesson_number"].alias("number"), x["text"].alias("text"))),
     ).otherwise(F.array(F.struct(no_number.alias("number"), F.col("body").alias("text"))))
     rows = courses.select("title", F.size("lessons").alias("n"), parts.alias("parts"))
-    packed = _pack(size, overlap)(F.transform("parts", lambda x: sentences(x["text"])))
-    rows = rows.select("title", "n", F.transform("parts", lambda x: x["number"]).alias("numbers"), packed.alias("packed"))
+    texts = F.transform("parts", lambda x: sentences(x["text"]))
+    rows = rows.select("title", "n", F.transform("parts", lambda x: x["number"]).alias("numbers"), texts.alias("texts"))
+    rows = rows.select("*", _spans(size, overlap)(_lengths("texts")).alias("spans"))
+    rows = rows.select("title", "n", "numbers", F.zip_with("texts", "spans", _joined).alias("packed"))
 
     def introduced(chunks: Column, at: Column) -> Column:
         number = F.get("numbers", at)

@@ -166,3 +166,24 @@ def test_history_keeps_the_last_messages(spark):
 def test_equal_sentences_survive(spark):
     got = spark.createDataFrame([("A b. A b. A b.",)], "t string").select(F.size(ops.sentences("t"))).first()[0]
     assert got == 3
+
+
+def python_inputs(df):
+    """Types of what Arrow functions of a plan read."""
+    found, left = [], [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "ArrowEvalPython":
+            udfs = node.udfs()
+            found += [udfs.apply(i).children().apply(j).dataType().simpleString() for i in range(udfs.size()) for j in range(udfs.apply(i).children().size())]
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_chunking_sends_lengths_to_python_and_no_text(spark, docs):
+    courses = ops.new_courses(ops.parse_courses(docs), None)
+    assert python_inputs(ops.numbered_chunks(courses)) == ["array<array<int>>"]
+    texts = spark.createDataFrame([(0, "Aé one. Two x.  Three y. Four z."), (1, None), (2, ""), (3, "no break")], "i int, t string")
+    chunked = texts.select("i", ops.chunk_text("t", 16, 8).alias("c"))
+    assert python_inputs(chunked) == ["array<array<int>>"]
+    assert {r.i: r.c for r in chunked.collect()} == {0: ["Aé one. Two x.", "Two x. Three y.", "Three y. Four z.", "Four z."], 1: [], 2: [], 3: ["no break"]}
