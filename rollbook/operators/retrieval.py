@@ -6,6 +6,8 @@ shuffled. Only the greedy packing of sentence lengths and the distances are Arro
 
 from __future__ import annotations
 
+import math
+
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
@@ -262,8 +264,10 @@ def lesson_links(catalog: DataFrame) -> DataFrame:
 
 # --- search ------------------------------------------------------------------------------------
 
-BLOCK_BYTES = 4 << 20  # vectors of one block, as numbers of 64 bits
+BLOCK_BYTES = 16 << 20  # vectors of one block, as numbers of 64 bits
+SMALL_BLOCK = 1024  # vectors that are not cut into more blocks to keep all cores busy
 CELLS = 4 << 20  # distances held at a time
+SPAN = 32  # scores of which one stands for all while a bound is looked for
 PLACES = 12  # distances are rounded to this many places, so that equal vectors tie whatever the order of summation
 
 
@@ -297,8 +301,8 @@ def search(
 
     `filters` are columns of both tables; a query's null filter accepts every chunk. Squared L2 by default, `cosine`
     optional; ties go to the smaller chunk id. Queries and chunks that may meet (equal values of the filters a query
-    sets) are dealt into blocks of bounded size; every pair of blocks is one group, scored as a matrix product, and passes
-    on k candidates per query. Vectors of either side never reach the driver, and the chunks are scanned once, however
+    sets) are dealt into blocks of bounded size; every pair of blocks is one group, scored as a matrix product of 32-bit numbers;
+    what that leaves within its error of the k best gets its exact distance, and k candidates per query are passed on. Vectors of either side never reach the driver, and the chunks are scanned once, however
     many queries there are; block sizes come from counts per filter value.
     """
     if metric not in ("l2", "cosine"):
@@ -316,8 +320,13 @@ def search(
     held = chunks.where(F.col(vector).isNotNull())  # without a vector there is no distance
     held = held.select(F.col(chunk_id).alias("chunk"), F.col(vector).alias("vector"), meets).where(F.col("__meet").isNotNull())
 
+    # about four pairs of blocks per core, unless blocks get small, so that an even share reaches every core
+    busy = math.ceil((4 * asked.sparkSession.sparkContext.defaultParallelism) ** 0.5)
+
     def counted(meeting: DataFrame, name: str) -> DataFrame:
-        return meeting.groupBy("__meet").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(f"__{name}_blocks"))
+        n = F.count(F.lit(1))
+        blocks = F.greatest(F.ceil(n / rows), F.least(F.ceil(n / SMALL_BLOCK), F.lit(busy)))
+        return meeting.groupBy("__meet").agg(blocks.cast("int").alias(f"__{name}_blocks"))
 
     # counted without the vectors, and kept, so that they are read once
     sizes = stored(counted(asked.select("__meet"), "q").join(counted(chunks.select(meets), "c"), "__meet"), "block-sizes")
@@ -355,7 +364,11 @@ def k_smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _points(rows: pa.Table) -> np.ndarray:
-    return np.stack(rows.column("vector").to_numpy(zero_copy_only=False)).astype("float64")
+    vectors = rows.column("vector").combine_chunks()
+    flat, lengths = vectors.flatten(), pc.min_max(pc.list_value_length(vectors)).as_py()
+    if flat.null_count or not lengths["min"] or lengths["min"] != lengths["max"]:
+        return np.stack(vectors.to_numpy(zero_copy_only=False)).astype("float64")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype("float64")
 
 
 def _distances(points: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
@@ -367,22 +380,85 @@ def _distances(points: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray
     return np.round(np.maximum(squares - 2 * dots, 0), PLACES)
 
 
+def _scored(points: np.ndarray, block: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """32-bit factors whose product orders the chunks of each query as the metric does, and how far apart two such scores may be
+    whose order the distances turn round: twice the largest error of a sum of so many products, and the rounding to `PLACES`."""
+    slack = 4 * (points.shape[1] + 8) * 2.0**-24
+    if metric == "cosine":
+        own, other = np.linalg.norm(points, axis=1, keepdims=True), np.linalg.norm(block, axis=1, keepdims=True)
+        return (points / np.where(own == 0, 1, own)).astype("f4"), (-block / np.where(other == 0, 1, other)).astype("f4"), slack
+    longest = max(np.linalg.norm(points, axis=1).max(), np.linalg.norm(block, axis=1).max()) or 1.0
+    points, block = points / longest, block / longest
+    half = (block**2).sum(axis=1, keepdims=True) / 2
+    left, right = np.hstack([points, np.ones((len(points), 1))]), np.hstack([-block, half])
+    return left.astype("f4"), right.astype("f4"), min(slack + 10.0**-PLACES / longest**2, 1e30)
+
+
+def _bounds(scores: np.ndarray, k: int) -> np.ndarray:
+    """Per row a score that at least k reach, near the k-th smallest: the k-th smallest of the least of every `SPAN` scores."""
+    n = scores.shape[1]
+    if n // SPAN >= 2 * k:
+        scores = scores[:, : n - n % SPAN].reshape(len(scores), SPAN, n // SPAN).min(axis=1)
+    if scores.shape[1] <= k:
+        return np.full((len(scores), 1), np.inf, scores.dtype)
+    return np.partition(scores, k - 1, axis=1)[:, k - 1 : k]
+
+
+def _pair_distances(points: np.ndarray, block: np.ndarray, rows: np.ndarray, columns: np.ndarray, metric: str) -> np.ndarray:
+    """As `_distances`, for some cells only."""
+    p, b = points[rows], block[columns]
+    dots = np.einsum("ij,ij->i", p, b)
+    if metric == "cosine":
+        lengths = np.linalg.norm(p, axis=1) * np.linalg.norm(b, axis=1)
+        return np.round(1 - dots / np.where(lengths == 0, 1, lengths), PLACES)
+    return np.round(np.maximum((p**2).sum(axis=1) + (b**2).sum(axis=1) - 2 * dots, 0), PLACES)
+
+
 def _nearest(queries: pa.Table, chunks: pa.Table, k: int, metric: str, names: tuple[str, str]) -> pa.Table:
     """The k nearest chunks of a block for each query of a block."""
     if not len(queries) or not len(chunks):
         empty = [queries.column("query").slice(0, 0), chunks.column("chunk").slice(0, 0), pa.array([], pa.float64())]
         return pa.table(empty, names=[*names, "distance"])
     points, block = _points(queries), _points(chunks)
-    ids = chunks.column("chunk").to_numpy(zero_copy_only=False)
-    kept_d, kept_ids = np.empty((len(points), 0)), np.empty((len(points), 0), ids.dtype)
+    # places of the chunks in the order of their ids: ties go to the first
+    ids, place = chunks.column("chunk").combine_chunks(), np.empty(len(block), np.int64)
+    place[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(block))
+    finite = bool(np.isfinite(points).all() and np.isfinite(block).all())
+    left, right, slack = _scored(points, block, metric) if finite else (None, None, 0.0)
+    owners, columns, distances = [], [], []
+    step = max(1, CELLS // len(block))
+    for start in range(0, len(points), step):
+        some = points[start : start + step]
+        near = None
+        if finite:
+            scores = left[start : start + step] @ right.T
+            near = np.flatnonzero(scores <= _bounds(scores, k) + np.float32(slack))
+        if near is not None and len(near) * points.shape[1] <= 2 * CELLS:
+            row, column = np.divmod(near, len(block))
+            d = _pair_distances(some, block, row, column, metric)
+            order = np.lexsort((place[column], d, row))
+            row = row[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found = row[kept], column[order][kept], d[order][kept]
+        else:  # many equal distances, or numbers without an order
+            found = _densely(some, block, place, k, metric)
+        owners.append(found[0] + start)
+        columns.append(found[1])
+        distances.append(found[2])
+    taken = [queries.column("query").take(pa.array(np.concatenate(owners))), ids.take(pa.array(np.concatenate(columns)))]
+    return pa.table([*taken, pa.array(np.concatenate(distances))], names=[*names, "distance"])
+
+
+def _densely(points: np.ndarray, block: np.ndarray, place: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, chunk and distance of the k nearest, from all distances of the block."""
+    at = np.argsort(place)
+    kept_d, kept_places = np.empty((len(points), 0)), np.empty((len(points), 0), place.dtype)
     step = max(1, CELLS // len(points))
     for start in range(0, len(block), step):
         d = _distances(points, block[start : start + step], metric)
-        own = np.broadcast_to(ids[start : start + step], d.shape)
-        kept_d, kept_ids = k_smallest(np.hstack([kept_d, d]), np.hstack([kept_ids, own]), k)
-    owner = np.repeat(np.arange(len(points)), kept_d.shape[1])
-    found = [queries.column("query").take(pa.array(owner)), pa.array(kept_ids.ravel(), chunks.schema.field("chunk").type), pa.array(kept_d.ravel())]
-    return pa.table(found, names=[*names, "distance"])
+        own = np.broadcast_to(place[start : start + step], d.shape)
+        kept_d, kept_places = k_smallest(np.hstack([kept_d, d]), np.hstack([kept_places, own]), k)
+    return np.repeat(np.arange(len(points)), kept_d.shape[1]), at[kept_places.ravel()], kept_d.ravel()
 
 
 def resolve_title(

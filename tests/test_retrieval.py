@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -187,3 +188,49 @@ def test_chunking_sends_lengths_to_python_and_no_text(spark, docs):
     chunked = texts.select("i", ops.chunk_text("t", 16, 8).alias("c"))
     assert python_inputs(chunked) == ["array<array<int>>"]
     assert {r.i: r.c for r in chunked.collect()} == {0: ["Aé one. Two x.", "Two x. Three y.", "Three y. Four z.", "Four z."], 1: [], 2: [], 3: ["no break"]}
+
+
+def block(rng, n, d, name, ids):
+    return pa.table({name: pa.array(ids), "vector": pa.array(list(rng.normal(size=(n, d)).astype("f4")))})
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_few_cells_get_an_exact_distance(metric, monkeypatch):
+    rng = np.random.default_rng(3)
+    queries, chunks = block(rng, 300, 8, "query", range(300)), block(rng, 2000, 8, "chunk", [f"c{i * 7 % 2000:04d}" for i in range(2000)])
+    want = ops._distances(ops._points(queries), ops._points(chunks), metric)
+    monkeypatch.setattr(ops, "CELLS", 1 << 17)  # queries in several steps
+    monkeypatch.setattr(ops, "_distances", None)  # all cells in 64 bits are for equal distances only
+    found = ops._nearest(queries, chunks, 5, metric, ("q", "c")).to_pylist()
+    ids = chunks.column("chunk").to_pylist()
+    for q in range(300):
+        nearest = sorted(zip(want[q], ids))[:5]
+        got = [(r["distance"], r["c"]) for r in found if r["q"] == q]
+        assert [c for _, c in got] == [c for _, c in nearest]
+        assert np.allclose([d for d, _ in got], [d for d, _ in nearest], atol=1e-11, rtol=0)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("scale", [2.0**-30, 1.0, 2.0**40])  # products stay exact
+@pytest.mark.parametrize("cells", [64, 4 << 20])
+def test_copies_tie_to_the_smaller_id_at_any_scale(metric, scale, cells, monkeypatch):
+    monkeypatch.setattr(ops, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    some = np.vstack([np.repeat(rng.integers(-3, 4, size=(3, 4)), 200, axis=0), np.zeros((5, 4)), rng.integers(-3, 4, size=(200, 4))]) * scale
+    ids = rng.permutation(len(some))
+    chunks = pa.table({"chunk": pa.array(ids), "vector": pa.array(list(some))})
+    asked = pa.table({"query": pa.array(range(20)), "vector": pa.array(list(some[::40][:20]))})
+    d = ops._distances(ops._points(asked), some, metric)
+    found = ops._nearest(asked, chunks, 4, metric, ("q", "c")).to_pylist()
+    for q in range(20):
+        got = sorted((r["distance"], r["c"]) for r in found if r["q"] == q)
+        assert [c for _, c in got] == [c for _, c in sorted(zip(d[q], ids))[:4]]
+
+
+def test_blocks_keep_every_core_busy(spark, monkeypatch):
+    monkeypatch.setattr(ops, "SMALL_BLOCK", 10)
+    held = spark.range(400).select(F.col("id").alias("chunk_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    seen = []
+    monkeypatch.setattr(ops, "stored", lambda df, name: seen.append(df.first()) or df)
+    ops.search(held, held.withColumnRenamed("chunk_id", "query_id"))
+    assert (seen[0]["__q_blocks"], seen[0]["__c_blocks"]) == (4, 4)  # 16 pairs of blocks for 4 cores
