@@ -207,7 +207,7 @@ def _let_go() -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Fewer rows per Arrow batch for the jobs run inside; the session's own setting is put back."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name, None)

@@ -28,7 +28,11 @@ PLAIN = "^[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+$"
 def _expand(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """first, first + 1, ... `counts` times each, and where each run begins in that."""
     before = np.concatenate([[0], np.cumsum(counts)])
-    return np.repeat(first - before[:-1], counts) + np.arange(before[-1]), before
+    largest = max(int(before[-1]), int(first.max(initial=0)) + int(counts.max(initial=0)))
+    kind = np.int32 if largest < 1 << 31 else np.int64  # these arrays are the largest of an encoder
+    out = np.repeat((first - before[:-1]).astype(kind), counts)
+    out += np.arange(len(out), dtype=kind)
+    return out, before
 
 
 class WordEncoder:
@@ -120,11 +124,12 @@ class WordEncoder:
         order[side], order[other] = begins[:-1], len(piece) + np.arange(len(other))
         units = np.concatenate([piece, len(pieces) + np.arange(len(other))])
         spread, starts = _expand(order[numbers], runs[numbers])
+        unit, begin = units[spread], starts[offsets]
+        del spread, starts, numbers, piece, units
         pool = np.frombuffer(b"".join(coded), "<u4")
         lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        unit = units[spread]
         at, ends = _expand((np.cumsum(lengths) - lengths)[unit], lengths[unit])
-        return pool[at], ends[starts[offsets]]
+        return pool[at], ends[begin]
 
     def encode_with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As `encode`, with `end_id` behind the ids of each text."""

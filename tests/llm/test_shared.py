@@ -3,10 +3,11 @@
 import threading
 import time
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from rollbook.llm import shared
+from rollbook.llm import shared, tokens
 from test_operators import docs, empty  # noqa: F401  (fixtures)
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -59,3 +60,13 @@ def test_stages_leave_the_settings_alone(spark, docs):  # noqa: F811
         stage(spark, table, docs)
     after = dict(spark.conf.getAll)
     assert after.get(BATCH, "") == before.get(BATCH, "")
+
+
+def test_index_arrays_of_an_encoder_are_small(spark):
+    found, before = tokens._expand(np.array([5, 0, 9]), np.array([2, 0, 3]))
+    assert found.tolist() == [5, 6, 9, 10, 11] and before.tolist() == [0, 2, 2, 5] and found.itemsize == 4
+    far, _ = tokens._expand(np.array([1 << 31]), np.array([2]))
+    assert far.tolist() == [1 << 31, (1 << 31) + 1]
+    assert tokens._expand(np.array([], int), np.array([], int))[0].tolist() == []
+    with shared.small_batches(spark):
+        assert int(spark.conf.get(BATCH)) <= 500
