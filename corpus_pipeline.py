@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm import language, packing, secrets, similar, simhash, toxicity
 from rollbook.llm.queries import END_ID, WORD_TOKENIZER
-from rollbook.llm.shared import small_batches, stored
+from rollbook.llm.shared import only, small_batches, stored
 
 ROW = "pipeline_row"
 #: Words that a packing worker keeps; less than in a job of its own, as the stages share their workers.
@@ -45,7 +45,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         candidates = by_fingerprint.select(F.col("component_id").alias("a"), F.col("id").alias("b")).filter("a < b")
         groups = similar.similar_copies(numbered, id_column=ROW, words=5, least=0.8, candidates=candidates)
     first = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(ROW))
-    return numbered.join(first, ROW, "left_semi").select(*docs.columns)
+    return only(numbered, ROW, first).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,48 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(where)
 
 
+#: Files that a list of ids is dealt to.
+ID_FILES = 512
+
+
+def only(rows: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id (long) is among `ids`, a table of one column.
+
+    The rows, with texts as long as they may be, stay where they are: the ids go to files in the shared folder, those of 2^18
+    consecutive numbers to the same one, and a task reads the files that its rows fall in.
+    """
+    folder = new_folder(rows.sparkSession, "ids")
+    high = [F.shiftright(F.col(ids.columns[0]), by) for by in (18, 33)]
+    file = F.pmod(high[0].bitwiseXOR(high[1]), F.lit(ID_FILES)).cast("int")
+    placed = ids.select(F.col(ids.columns[0]).alias("id"), file.alias("file")).filter("id is not null")
+    placed.repartition("file").write.partitionBy("file").parquet(folder)
+    read: dict[int, np.ndarray] = {}
+
+    def listed(file: int) -> np.ndarray:
+        files, path = file_system(f"{folder}/file={file}")
+        found = [np.zeros(0, np.int64)]
+        for info in files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with files.open_input_file(info.path) as data:
+                    found.append(pq.read_table(data, columns=["id"])["id"].to_numpy())
+        return np.sort(np.concatenate(found))
+
+    @F.arrow_udf("boolean")
+    def among(column: pa.Array) -> pa.Array:
+        numbers = pc.fill_null(column, 0).to_numpy()
+        file = ((numbers >> 18) ^ (numbers >> 33)) % ID_FILES
+        found = np.zeros(len(numbers), bool)
+        for one in np.unique(file).tolist():
+            if one not in read:
+                read[one] = listed(one)
+            places = np.flatnonzero(file == one)
+            after = np.searchsorted(read[one], numbers[places], "right")
+            found[places] = after > np.searchsorted(read[one], numbers[places], "left")
+        return pc.and_(pa.array(found, pa.bool_()), column.is_valid())
+
+    return rows.filter(among(F.col(id_column)))
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder, for tasks that write or read binary files."""
     if "://" not in uri and not uri.startswith("file:"):

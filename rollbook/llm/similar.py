@@ -6,12 +6,14 @@ held to its exact similarity.
 
 A cell is a band's value with the documents that have it. Its documents are first held against the one that shares most cells
 with others (of copies with scattered edits that is the one closest to all), which costs a row per document. In cells that components
-then leave apart, those outside the cell's main component are held against all others, in blocks of bounded size; a pair becomes a
-row only if the two agree in a share of `ESTIMATE` of all min-hashes (two sets of similarity 0.8 do in 199 of 200 cases, and most
-have several cells to meet in). So no step makes rows of all pairs of a group, though their blocks are compared within tasks.
+then leave apart, those outside the cell's main component are held against all others, in blocks of bounded size: first by their
+min-hashes (two sets of similarity 0.8 agree in a share of `ESTIMATE` in 199 of 200 cases, and most have several cells to meet in),
+then, in groups of documents that agreed, by the sets themselves. Either time a block returns only links that connect what no other
+link of it connects, fewer than it has documents. So no step makes rows of all pairs of a group, though they are compared within
+tasks.
 
 Candidates pass a lower bound of the symmetric difference (the Manhattan distance of bucket counts, more buckets for larger sets)
-before their sets meet. Equal sets cost one document. Words are lower-cased runs without blanks, as in op6; a text of fewer words
+before their sets meet. Texts are never shuffled: tasks look up which of their rows are wanted (`shared.only`). Equal sets cost one document. Words are lower-cased runs without blanks, as in op6; a text of fewer words
 than a shingle is one shingle, texts without words are copies of each other. Ids must be unique and not null. Different shingles
 meet only if their 64-bit hashes do.
 """
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import kept, slices, stored, text_or_empty, words_of
+from rollbook.llm.shared import kept, only, slices, stored, text_or_empty, words_of
 from rollbook.llm.simhash import components
 from rollbook.scale import keyed_join
 
@@ -118,28 +120,26 @@ def possible(size: int, counts: bytes, other: int, others: bytes, least: float)
     return bool(np.abs(a - b).sum() <= _most_apart(size, other, least))
 
 
-MARKS = "key long, n int, counts binary, mins binary, bands array<long>"
+MARKS = "key long, n int, counts binary, bands array<long>"
 
 
 def _marked(texts: DataFrame, words: int) -> DataFrame:
-    """id, hash of the set, its size, bucket counts, the lowest bytes of its min-hashes, and bands of every document."""
+    """id, hash of the set, its size, bucket counts and bands of every document."""
 
     @F.arrow_udf(MARKS)
     def of(column: pa.Array) -> pa.Array:
         kept("similar", "", object)
         plain = text_or_empty(column)
-        keys, sizes, counts, mins, found = [], [], [], [], [np.zeros((0, BANDS), np.int64)]
+        keys, sizes, counts, found = [], [], [], [np.zeros((0, BANDS), np.int64)]
         for begin, until in slices(plain):
             sets = list(shingles(plain[begin:until], words))
-            signed = signatures(sets)
             keys += [xxhash.xxh64_intdigest(own.tobytes()) for own in sets]
             sizes += map(len, sets)
             counts += [bucket_counts(own).tobytes() for own in sets]
-            mins += [row.tobytes() for row in signed.astype(np.uint8)]
-            found.append(bands(signed))
+            found.append(bands(signatures(sets)))
         flat = np.concatenate(found).ravel()
         lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), flat)
-        columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), pa.array(mins, pa.binary()), lists]
+        columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), lists]
         return pa.StructArray.from_arrays(columns, [f.split()[0] for f in MARKS.split(", ")])
 
     return texts.select("id", of("text").alias("m")).select("id", "m.*")
@@ -158,6 +158,31 @@ def _bounded(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """id and set of every document."""
+
+    @F.arrow_udf("array<long>")
+    def whole(column: pa.Array) -> pa.Array:
+        plain = text_or_empty(column)
+        found = [s.view(np.int64) for a, b in slices(plain) for s in shingles(plain[a:b], words)]
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *found]))
+
+    return texts.select("id", whole("text").alias("set"))
+
+
+def _mins(texts: DataFrame, words: int) -> DataFrame:
+    """id and the lowest bytes of the min-hashes of every document."""
+
+    @F.arrow_udf("binary")
+    def lowest(column: pa.Array) -> pa.Array:
+        plain = text_or_empty(column)
+        found = [row.tobytes() for a, b in slices(plain) for row in signatures(list(shingles(plain[a:b], words))).astype(np.uint8)]
+        return pa.array(found, pa.binary())
+
+    return texts.select("id", lowest("text").alias("mins"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of `least` or more."""
     near = stored(pairs, "candidates")
@@ -168,15 +193,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
             near = [jaccard(*(v[o[i] : o[i + 1]] for v, o in sets)) >= least - 1e-12 for i in range(len(batch))]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    @F.arrow_udf("array<long>")
-    def whole(column: pa.Array) -> pa.Array:
-        plain = text_or_empty(column)
-        found = [s.view(np.int64) for a, b in slices(plain) for s in shingles(plain[a:b], words)]
-        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *found]))
-
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(texts.join(wanted, "id", "left_semi").select("id", whole("text").alias("set")), "sets")
+    sets = stored(_sets(only(texts, "id", wanted), words), "sets")
     sides = [sets.select(F.col("id").alias(s), F.col("set").alias(f"set_{s}")) for s in "ab"]
     return near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long")
 
@@ -190,49 +208,63 @@ def _stars(cells: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def _apart(cells: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (cell, id, root, main, rows, others) of the cells of three documents or more that lie in different components, with the
+def _apart(cells: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """Rows (cell, id, root, main, rows, others) of the cells of `least` documents or more that lie in different components, with the
     cell's most frequent component, its number of documents and of those outside that."""
     rows = cells.select("cell", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = stored(rows, "members")
     per_root = rows.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"))
     main = per_root.groupBy("cell").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("rows"), F.max("n").alias("most"))
-    main = main.filter("rows > 2 and most < rows").select("cell", "main", "rows", (F.col("rows") - F.col("most")).alias("others"))
+    main = main.filter((F.col("rows") >= least) & (F.col("most") < F.col("rows"))).select("cell", "main", "rows", (F.col("rows") - F.col("most")).alias("others"))
     return stored(keyed_join(rows, main, ["cell"], "inner"), "apart")
 
 
-def alike(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> list[tuple[int, int]]:
-    """Pairs (smaller id, larger id) of two blocks (ids, roots, min-hashes) in different components that agree in enough of them."""
-    enough, out = int(np.ceil(ESTIMATE * BANDS * ROWS)), []
-    for own, root, mins in zip(*left, strict=True):
-        other = np.flatnonzero(right[1] != root)
-        near = right[0][other[(right[2][other] == mins).sum(1) >= enough]]
-        out += [(min(own, x), max(own, x)) for x in near.tolist()]
+#: ids, components, main components of the cell, min-hashes, and sets if the block has them.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray] | None]
+
+
+def connected(left: Block, right: Block, least: float) -> list[tuple[int, int]]:
+    """Links (smaller id, larger id) from documents outside the main component to those of other components that agree in enough
+    min-hashes, of blocks with sets those of similarity `least` or more; without what other links connect already: documents, of
+    blocks with sets their components."""
+    enough, out, what = int(np.ceil(ESTIMATE * BANDS * ROWS)), [], 0 if left[4] is None else 1
+    label = np.unique(np.concatenate([left[what], right[what]]), return_inverse=True)[1]
+    own, others = label[: len(left[0])], label[len(left[0]) :]
+    for at in np.flatnonzero(left[1] != left[2]).tolist():
+        # of two documents outside the main component, the smaller asks
+        rest = np.flatnonzero((others != own[at]) & (right[1] != left[1][at]) & ((right[1] == right[2]) | (right[0] > left[0][at])))
+        for other in rest[(right[3][rest] == left[3][at]).sum(1) >= enough].tolist():
+            if others[other] != own[at] and (left[4] is None or jaccard(left[4][at], right[4][other]) >= least - 1e-12):
+                pair = int(left[0][at]), int(right[0][other])
+                out.append((min(pair), max(pair)))
+                label[label == others[other]] = own[at]
     return out
 
 
-def _block(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+def _block(table: pa.Table) -> Block:
     mins = np.frombuffer(b"".join(table.column("mins").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    return table.column("id").to_numpy(), table.column("root").to_numpy(), mins
+    sets = None
+    if "set" in table.column_names:
+        chunks = [(c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in table.column("set").chunks]
+        sets = [values[a:b] for values, offsets in chunks for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return *(table.column(c).to_numpy() for c in ("id", "root", "main")), mins, sets
 
 
-def _candidates(apart: DataFrame, marked: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) in different components of a cell whose min-hashes agree in enough places.
+def _connected(apart: DataFrame, marks: DataFrame, block: int, least: float) -> DataFrame:
+    """Pairs (a, b) in different components of a cell, as `connected` finds them by `marks` (id, mins, and set where they are to be exact).
 
     Cells of up to `block` documents are read as a stream, larger ones as pairs of blocks: a block of those outside the cell's
     main component, and a block of all.
     """
-    rows = apart.join(marked.select("id", "mins"), "id")
+    rows = apart.join(marks, "id")
 
     def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
         edges = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     def within(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        table = pa.Table.from_batches(parts)
-        ids, roots, mins = _block(table)
-        out = roots != table.column("main").to_numpy()
-        return alike((ids[out].tolist(), roots[out].tolist(), mins[out]), (ids, roots, mins))
+        whole = _block(pa.Table.from_batches(parts))
+        return connected(whole, whole, least)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -251,7 +283,7 @@ def _candidates(apart: DataFrame, marked: DataFrame, block: int) -> DataFrame:
         if parts:
             yield pairs(within(parts))
 
-    columns = ["cell", "id", "root", "main", "mins"]
+    columns = ["cell", "id", "root", "main", *marks.columns[1:]]
     small = rows.filter(F.col("rows") <= block).select(*columns).repartition("cell").sortWithinPartitions("cell")
     sizes = {"q": F.ceil(F.col("others") / block), "c": F.ceil(F.col("rows") / block)}
     large = rows.filter(F.col("rows") > block).withColumns(sizes)
@@ -259,12 +291,11 @@ def _candidates(apart: DataFrame, marked: DataFrame, block: int) -> DataFrame:
     asking = large.filter("root <> main").withColumns({"at": F.pmod(number, F.col("q")), "beside": F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))})
     asked = large.withColumns({"beside": F.pmod(number, F.col("c")), "at": F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1))})
     # the two sides come from one table, so their columns need names that are told apart
-    asking, asked = (side.select(*[F.col(c).alias(c) for c in ("cell", "at", "beside", "id", "root", "mins")]) for side in (asking, asked))
+    asking, asked = (side.select(*[F.col(c).alias(c) for c in ("at", "beside", *columns)]) for side in (asking, asked))
     both = asking.groupBy("cell", "at", "beside").cogroup(asked.groupBy("cell", "at", "beside"))
 
     def across(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, roots, mins = _block(left)
-        return pa.Table.from_batches([pairs(alike((ids.tolist(), roots.tolist(), mins), _block(right)) if len(left) and len(right) else [])])
+        return pa.Table.from_batches([pairs(connected(_block(left), _block(right), least) if len(left) and len(right) else [])])
 
     return small.mapInArrow(stream, "a long, b long").unionByName(both.applyInArrow(across, "a long, b long")).distinct()
 
@@ -277,7 +308,7 @@ def similar_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     marked = stored(_marked(texts, words), "marked")
     classes = stored(marked.groupBy("key").agg(F.min("id").alias("id")), "classes")
-    spread = marked.join(classes.select("id"), "id", "left_semi").select(F.explode("bands").alias("cell"), "id")
+    spread = only(marked, "id", classes.select("id")).select(F.explode("bands").alias("cell"), "id")
     roots = texts.sparkSession.createDataFrame([], "node long, root long")
     links = tried = None
     if candidates is not None:
@@ -286,17 +317,23 @@ def similar_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str
         tried = stored(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "tried")
         links = stored(_verified(_bounded(tried, marked, least), texts, words, least), "links")
         roots = stored(components(links), "roots")
-    sizes = spread.groupBy("cell").count().filter("count > 1")
-    cells = stored(keyed_join(spread, sizes, ["cell"], "inner"), "cells")
-    for whole in (False, True):
-        pairs = _candidates(_apart(cells, roots), marked, block) if whole else _stars(cells)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else stored(tried.unionByName(pairs), "tried")
-        found = stored(_verified(_bounded(pairs, marked, least), texts, words, least), "links")
+    sizes = stored(spread.groupBy("cell").count().filter("count > 1"), "sizes")
+    # stored as it is joined, so that Spark may split a cell that many share
+    cells = stored(spread.join(sizes, "cell"), "cells")
+    pairs = _stars(cells)
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    found = stored(_verified(_bounded(stored(pairs, "pairs"), marked, least), texts, words, least), "links")
+    links = found if links is None else stored(links.unionByName(found), "all-links")
+    roots = stored(components(links), "roots")
+    apart = _apart(cells, roots, 3)
+    mins = stored(_mins(only(texts, "id", apart.select("id").distinct()), words), "mins")
+    agreed = stored(_connected(apart, mins, block, least), "agreed")
+    if not agreed.isEmpty():
+        groups = stored(components(agreed).select(F.col("root").alias("cell"), F.col("node").alias("id")), "groups")
+        sets = stored(_sets(only(texts, "id", groups.select("id")), words), "sets")
+        found = stored(_connected(_apart(groups, roots, 2), mins.join(sets, "id"), block, least), "links")
         if not found.isEmpty():
-            links = found if links is None else stored(links.unionByName(found), "all-links")
-            roots = stored(components(links), "roots")
+            roots = stored(components(stored(links.unionByName(found), "all-links")), "roots")
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
     return marked.select("id", "key").join(named, "key").select("id", "component_id")

@@ -70,3 +70,12 @@ def test_index_arrays_of_an_encoder_are_small(spark):
     assert tokens._expand(np.array([], int), np.array([], int))[0].tolist() == []
     with shared.small_batches(spark):
         assert int(spark.conf.get(BATCH)) <= 500
+
+
+def test_only_the_wanted_rows_stay(spark):
+    numbers = [0, 1, -1, (1 << 18) - 1, 1 << 18, (1 << 33) + 5, (3 << 33) + (1 << 18), (512 << 33) + 7, -(1 << 62), (1 << 63) - 1]
+    rows = spark.createDataFrame([(n, f"t{n}") for n in [*numbers, *numbers[:3], 2, 1 << 19, None]], "id long, text string")
+    for wanted in (numbers, numbers[::2], numbers[1::2] * 2, [None], []):
+        ids = spark.createDataFrame([(n,) for n in wanted], "wanted long")
+        found = sorted(r.id for r in shared.only(rows, "id", ids).collect())
+        assert found == sorted(n for n in [*numbers, *numbers[:3]] if n in wanted)

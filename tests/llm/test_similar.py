@@ -145,3 +145,26 @@ def test_bucket_counts_never_rule_out_similar_sets():
             assert similar.jaccard(a, b) < 0.8 or similar.possible(*marks[0], *marks[1], 0.8)
         other = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
         assert size < 60 or not similar.possible(*marks[0], len(other), similar.bucket_counts(other).tobytes(), 0.8)
+
+
+def test_a_group_that_is_almost_similar_makes_no_rows_of_its_pairs(spark, monkeypatch):
+    """60 documents of similarity 0.77, all pairs of which the min-hashes leave possible."""
+    texts = [" ".join([f"c{i}" for i in range(180)] + [f"d{n}w{i}" for i in range(27)]) for n in range(60)]
+    sizes = {}
+
+    def counted(df, name, plain=similar.stored):
+        table = plain(df, name)
+        sizes[name] = max(sizes.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(similar, "stored", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = similar.similar_copies(df, words=1)
+    assert {r.id: r.component_id for r in found.collect()} == {n: n for n in range(60)}
+    assert max(sizes.get(name, 0) for name in ("pairs", "tried", "candidates", "agreed", "links")) < 10 * len(texts), sizes
+
+
+def test_texts_stay_where_they_are(spark):
+    df = spark.createDataFrame(list(enumerate(edited_texts())), "doc_id long, text string")
+    plan = corpus_pipeline.one_of_near_copies(spark, df, "")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
